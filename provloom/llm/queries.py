@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from provloom.llm import classifier, language
 from provloom.llm.packing import pack_documents
+from provloom.llm.rules import cascade
+from provloom.llm.token_files import token_digests, write_token_files
 from provloom.llm.urls import Rule, judge_urls
-from provloom.storage import load
+from provloom.storage import Scratch, load
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,7 +36,47 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {"op7_url_filters": op7_url_filters, "op9_packing": op9_packing}
+def bucket_of(mod: int):
+    """crc32 of doc_id as text, modulo ``mod``: how the queries hold rows out of training."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.SubwordModel:
+    return classifier.fit(docs, load(spark, sf_dir, "labels"), "quality", may_learn=bucket_of(4) != 2)
+
+
+def language_model(docs: DataFrame) -> language.KernelModel:
+    return language.fit(docs, may_learn=bucket_of(5) != 0)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return classifier.score_quality(docs, quality_model(spark, docs, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade(load(spark, sf_dir, "documents"))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op4").path("files")
+    write_token_files(load(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return token_digests(spark, path)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return language.identify(docs, language_model(docs))
+
+
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_token_ids": op4_token_ids,
+    "op7_url_filters": op7_url_filters,
+    "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
+}
 
 ORACLE_SQL = {
     "op7_url_filters": """
@@ -48,4 +92,26 @@ ORACLE_SQL = {
             FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
         )
         SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM parts p LEFT JOIN best b USING (page_id)""",
+    "op3_quality_rules": r"""
+        WITH words AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)
+        ), repeats AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(8) r(k) WHERE n > 1 GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        ), m AS (
+            SELECT doc_id, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(l.n_dup, 0) AS n_dup_lines, coalesce(l.n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words,
+                   length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters,
+                   len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letterless
+            FROM words LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+        ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 5 * n_symbols > n_words OR 2 * upper > letters OR 10 * letterless > 3 * n_words
+                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+        FROM b""",
 }
