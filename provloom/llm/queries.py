@@ -107,11 +107,12 @@ ORACLE_SQL = {
             SELECT doc_id, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                    coalesce(l.n_dup, 0) AS n_dup_lines, coalesce(l.n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words,
                    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters,
-                   len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letterless
+                   len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letterless,
+                   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS again
             FROM words LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
         ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT (base_failed OR 5 * n_symbols > n_words OR 2 * upper > letters OR 10 * letterless > 3 * n_words
-                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines OR 5 * again > n_words) AS kept
         FROM b""",
 }

@@ -156,7 +156,15 @@ def _same_lines(texts):
     return 10 * again > 3 * lines
 
 
-RULES = [QualityRule("symbols", _symbols), QualityRule("capitals", _capitals), QualityRule("letterless", _letterless), QualityRule("word_length", _word_length), QualityRule("same_lines", _same_lines)]
+def _stutter(texts):
+    """Over a fifth of the words equal the word before them."""
+    _, codes, sizes = coded_words(texts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    same = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    return 5 * np.bincount(owner[1:][same], minlength=len(sizes)) > sizes
+
+
+RULES = [QualityRule("symbols", _symbols), QualityRule("capitals", _capitals), QualityRule("letterless", _letterless), QualityRule("word_length", _word_length), QualityRule("same_lines", _same_lines), QualityRule("stutter", _stutter)]
 
 
 def _plain(docs: DataFrame) -> DataFrame:
