@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.llm import classifier, language
+from provloom.llm.embeddings import near_vectors
 from provloom.llm.packing import pack_documents
 from provloom.llm.rules import cascade
 from provloom.llm.token_files import token_digests, write_token_files
@@ -32,6 +33,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
     "op7_url_filters": op7_url_filters,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
