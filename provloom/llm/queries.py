@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provloom.llm import classifier, language
 from provloom.llm.embeddings import near_vectors
+from provloom.llm.ngram_join import jaccard_components
 from provloom.llm.packing import pack_documents
 from provloom.llm.rules import cascade
 from provloom.llm.token_files import token_digests, write_token_files
@@ -59,6 +60,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(docs, quality_model(spark, docs, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(load(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
     "op7_url_filters": op7_url_filters,
