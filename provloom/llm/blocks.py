@@ -106,3 +106,21 @@ def crc_bucket(ids: pa.Array | np.ndarray, mod: int) -> np.ndarray:
 
     values = ids.to_pylist() if isinstance(ids, pa.Array) else ids.tolist()
     return np.fromiter((-1 if v is None else zlib.crc32(str(v).encode()) % mod for v in values), dtype=np.int64, count=len(values))
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """One binary value that holds several arrays."""
+    head = np.array([len(arrays), *[len(a) for a in arrays]], "<u4").tobytes() + "".join(a.dtype.str[1:] for a in arrays).encode()
+    return head + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack_arrays(raw: bytes) -> list[np.ndarray]:
+    many = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes = np.frombuffer(raw, "<u4", many, 4).tolist()
+    at, out = 4 + 4 * many, []
+    kinds = raw[at : at + 2 * many].decode()
+    at += 2 * many
+    for k, size in enumerate(sizes):
+        out.append(np.frombuffer(raw, kinds[2 * k : 2 * k + 2], size, at))
+        at += out[-1].nbytes
+    return out

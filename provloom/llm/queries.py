@@ -10,6 +10,7 @@ from provloom.llm.embeddings import near_vectors
 from provloom.llm.ngram_join import jaccard_components
 from provloom.llm.packing import pack_documents
 from provloom.llm.rules import cascade
+from provloom.llm.suffix_tree import score_texts
 from provloom.llm.token_files import token_digests, write_token_files
 from provloom.llm.urls import Rule, judge_urls
 from provloom.storage import Scratch, load
@@ -30,6 +31,10 @@ URL_RULES = [
 ]
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(load(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
+    "op5_lm_scores": op5_lm_scores,
     "op7_url_filters": op7_url_filters,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
