@@ -413,3 +413,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, ke
     scratch.drop("firsts", "joined", "least")
     keyed = named.withColumn("name", F.when(F.col("n_shingles") > 0, F.col("name")))
     return keyed.join(found, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_firsts(docs: DataFrame, **joining) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that link to a lesser doc_id."""
+    found = jaccard_components(docs, **joining)
+    later = found.where("component_id <> doc_id").select(F.col("doc_id").alias("later")).distinct()
+    later = Scratch(docs.sparkSession, "later-copies").keep(later, "ids")
+    return docs.join(later, F.col("doc_id").cast("long") == F.col("later"), "left_anti")

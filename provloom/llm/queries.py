@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provloom.llm import classifier, language
 from provloom.llm.embeddings import near_vectors
+from provloom.llm.mixing import mixing_rates
 from provloom.llm.ngram_join import jaccard_components
 from provloom.llm.packing import pack_documents
 from provloom.llm.rules import cascade
@@ -35,6 +36,25 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(load(spark, sf_dir, "documents"))
 
 
+#: Target shares of tokens by domain.
+MIX_WEIGHTS = {"clean": 0.93, "toxic": 0.06, "low": 0.01}
+
+
+def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.SubwordModel:
+    labels = load(spark, sf_dir, "labels")
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
+    return classifier.fit(docs, labels.select("doc_id", domain.alias("domain")), "domain", epochs=15, rate=1.5)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also the posterior of each domain, from the classes of the model."""
+    docs = load(spark, sf_dir, "documents")
+    model = domain_model(spark, docs, sf_dir)
+    rates = mixing_rates(docs, model, MIX_WEIGHTS, anchor="clean")
+    at = {d: F.col("posterior")[k] if d in model.classes else F.lit(0.0) for d in MIX_WEIGHTS for k in [model.classes.index(d) if d in model.classes else 0]}
+    return rates.select("doc_id", "tokens", *[at[d].alias(f"p_{d}") for d in MIX_WEIGHTS], "rate", "copies")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
@@ -90,6 +110,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
     "op5_lm_scores": op5_lm_scores,
+    "op6_mixing": op6_mixing,
     "op7_url_filters": op7_url_filters,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
