@@ -1,17 +1,58 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage works on what the one before kept: documents whose language is unknown go,
+then those that the quality classifier rejects, then all but one of each group of near
+copies; the rest are sampled towards target weights of domains and packed into windows.
+"""
 
 from __future__ import annotations
 
-from provloom.storage import Scratch
+from pyspark.sql import DataFrame, SparkSession
+
+from provloom.llm import classifier, language
+from provloom.llm.mixing import resample
+from provloom.llm.ngram_join import keep_firsts
+from provloom.llm.packing import pack_documents
+from provloom.llm.queries import MIX_WEIGHTS, domain_model, language_model, quality_model, tokenizer_file
+from provloom.storage import Scratch, load
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_rows(docs, language_model(docs))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.keep_rows(docs, quality_model(spark, docs, sf_dir))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_firsts(docs)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resample(docs, domain_model(spark, docs, sf_dir), MIX_WEIGHTS, anchor="clean")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard", near_copies),
+    ("mixing", mix_to_weights),
+    ("packing", packing),
+]
 
-STAGES = []
+#: The learned models have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = load(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:
