@@ -37,7 +37,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Target shares of tokens by domain.
-MIX_WEIGHTS = {"clean": 0.93, "toxic": 0.06, "low": 0.01}
+MIX_WEIGHTS = {"clean": 0.90, "toxic": 0.09, "low": 0.01}
 
 
 def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.SubwordModel:
