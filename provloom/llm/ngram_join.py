@@ -259,11 +259,11 @@ def _scatter_sets(parts: int):
 
 
 def _min_hashes(keys: int):
-    """name and ``keys`` min-hash keys of every set."""
+    """name, share of tokens that other sets hold, and ``keys`` min-hash keys of every set."""
 
     def run(batches):
         for batch in text_blocks(batches, column="tokens"):
-            (names, _, _), tokens = _arrays(batch)
+            (names, _, n), tokens = _arrays(batch)
             if not tokens:
                 continue
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -271,7 +271,7 @@ def _min_hashes(keys: int):
             found = np.zeros((len(names), keys), U64)
             for k in range(keys):
                 found[:, k] = mix(np.minimum.reduceat(mix(flat ^ mix(np.array([k + 1], U64))), starts) + U64(k))
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["name", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes / n), pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["name", "share", "keys"])
 
     return run
 
@@ -314,11 +314,15 @@ def _links(links: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
-def _group_links(sets: DataFrame, scratch: Scratch, percent: int, keys: int) -> DataFrame:
-    """Exact links of sets that share a min-hash key, around pivots."""
-    hashed = scratch.keep(sets.mapInArrow(_min_hashes(keys), "name long, keys array<long>").select("name", F.explode("keys").alias("key")), "keys")
-    pivots = scratch.keep(hashed.groupBy("key").agg(F.min("name").alias("pivot"), F.count("*").alias("many")).where("many > 1").select("key", "pivot"), "pivots")
-    pairs = scratch.keep(hashed.join(pivots, "key").where("name <> pivot").groupBy("pivot", "name").agg(F.lit(1).alias("one")).select("pivot", "name"), "pairs")
+def _group_links(sets: DataFrame, scratch: Scratch, percent: int, keys: int) -> tuple[DataFrame, DataFrame]:
+    """Exact links of sets that share a min-hash key, around pivots; and each set's best pivot."""
+    hashed = scratch.keep(sets.mapInArrow(_min_hashes(keys), "name long, share double, keys array<long>").select("name", "share", F.explode("keys").alias("key")), "keys")
+    # The pivot is the set with the fewest tokens of its own: what the others are copies of.
+    pivots = hashed.groupBy("key").agg(F.max(F.struct("share", "name")).alias("best"), F.count("*").alias("many")).where("many > 1")
+    pivots = scratch.keep(pivots.select("key", F.col("best.share").alias("pivot_share"), F.col("best.name").alias("pivot")), "pivots")
+    met = hashed.join(pivots, "key")
+    homes = scratch.keep(met.groupBy("name").agg(F.max(F.struct("pivot_share", "pivot")).alias("best")).select("name", F.col("best.pivot").alias("home")), "homes")
+    pairs = scratch.keep(met.where("name <> pivot").groupBy("pivot", "name").agg(F.lit(1).alias("one")).select("pivot", "name"), "pairs")
     salts = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts")), "salts")
     members = pairs.join(salts, "pivot").select("pivot", "name", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     leads = salts.select("pivot", F.col("pivot").alias("name"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
@@ -326,7 +330,7 @@ def _group_links(sets: DataFrame, scratch: Scratch, percent: int, keys: int) ->
     rows = wanted.join(sets.select("name", "n", "tokens"), "name").select("pivot", "salt", "role", "name", "n", "tokens")
     links = scratch.keep(rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "name").mapInArrow(_around_pivots(percent), "a long, b long"), "group-links")
     scratch.drop("keys", "pivots", "pairs", "salts", "wanted")
-    return links
+    return links, homes
 
 
 def _first_tokens(percent: int):
@@ -348,42 +352,60 @@ def _open_blocks(percent: int):
 
     def run(batches):
         key, members, union, links = None, [], None, []
-        for k, role, name, n, raw in _chunks(batches, ["block", "salt"]):
-            tokens = np.frombuffer(raw, "<u8")
-            if k != key:
-                key, members, union = k, [], None
-            if role == 0:
-                members.append((name, n, tokens))
-                continue
-            if union is None:
-                union = np.unique(np.concatenate([m[2] for m in members]))
-            at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-            if (union[at] == tokens).sum() < need(n, percent):
-                continue
-            links += [(name, other) for other, m, held in members if linked(tokens, n, held, m, percent)][:1]
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("block", "salt", "role", "grp", "name", "n", "tokens")]
+            for block, salt, role, grp, name, n, raw in zip(*columns):
+                tokens = np.frombuffer(raw, "<u8")
+                if (block, salt) != key:
+                    key, members, union = (block, salt), [], None
+                if role == 0:
+                    members.append((grp, name, n, tokens))
+                    continue
+                if union is None:
+                    union = np.unique(np.concatenate([m[3] for m in members]))
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                if (union[at] == tokens).sum() < need(n, percent):
+                    continue
+                met = {grp}  # a link to one set of a group is enough
+                for other, its_name, m, held in members:
+                    if other not in met and linked(tokens, n, held, m, percent):
+                        met.add(other)
+                        links.append((name, its_name))
+            if len(links) > 10_000:
+                yield _links(links)
+                links = []
         if links:
             yield _links(links)
 
     return run
 
 
-def _cross_links(rest: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Exact links between sets of different groups, one per query and block at least."""
+def _cross_links(rest: DataFrame, homes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Exact links between sets of different groups, one per query and group of a block at least.
+
+    A block holds sets of one group, or sets that are groups of their own but share a pivot.
+    The smaller of two groups asks; sets of their own ask the blocks from theirs on.
+    """
     many = scratch.keep(rest.groupBy("grp").agg(F.count("*").alias("members")), "rest-groups")
-    named = scratch.keep(rest.select("name", "grp", "n").join(many, "grp").select("name", "grp", "n", "members", F.xxhash64("grp", F.pmod(F.xxhash64("name"), F.ceil(F.col("members") / BLOCK))).alias("block")), "rest-named")
+    placed = rest.select("name", "grp", "n").join(many, "grp").join(homes, "name", "left")
+    placed = placed.withColumn("kin", F.when(F.col("members") == 1, F.xxhash64(F.coalesce("home", "name"), F.lit(1))).otherwise(F.xxhash64("grp", F.lit(2)))).select("name", "grp", "n", "members", "kin")
+    placed = scratch.keep(placed, "rest-placed")
+    kin = scratch.keep(placed.groupBy("kin").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "rest-kin")
+    named = scratch.keep(placed.join(kin, "kin").select("name", "grp", "n", "members", F.xxhash64("kin", F.pmod(F.xxhash64("name"), "blocks")).alias("block")), "rest-named")
     first = rest.mapInArrow(_first_tokens(percent), "name long, token long")
-    placed = scratch.keep(first.join(named, "name"), "rest-first")
-    held = placed.groupBy("token", F.col("block").alias("asked")).agg(F.first("grp").alias("g"), F.first("members").alias("g_members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asking = scratch.keep(first.join(named, "name"), "rest-first")
+    held = asking.groupBy("token", F.col("block").alias("asked")).agg(F.first("grp").alias("g"), F.first("members").alias("g_members"), F.min("n").alias("least"), F.max("n").alias("most"))
     held = scratch.keep(held, "rest-held")
-    met = placed.join(held, "token").where("struct(members, grp) < struct(g_members, g)").where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
+    turn = "(g_members > 1 and struct(members, grp) < struct(g_members, g)) or (g_members = 1 and members = 1 and block <= asked)"
+    met = asking.join(held, "token").where(turn).where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
     queries = scratch.keep(met.groupBy("name", "asked").agg(F.lit(1).alias("role")).withColumnRenamed("asked", "block"), "rest-queries")
     salts = scratch.keep(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).cast("int").alias("salts")), "rest-salts")
     asked = queries.join(salts, "block").select("block", "name", "role", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"))
     held_sets = named.join(salts, "block").select("block", "name", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wanted = scratch.keep(asked.unionByName(held_sets), "rest-wanted")
-    rows = wanted.join(rest.select("name", "n", "tokens"), "name").select("block", "salt", "role", "name", "n", "tokens")
+    rows = wanted.join(rest, "name").select("block", "salt", "role", "grp", "name", "n", "tokens")
     links = scratch.keep(rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "role", "name").mapInArrow(_open_blocks(percent), "a long, b long"), "cross-links")
-    scratch.drop("rest-groups", "rest-named", "rest-first", "rest-held", "rest-queries", "rest-salts", "rest-wanted")
+    scratch.drop("rest-groups", "rest-placed", "rest-kin", "rest-named", "rest-first", "rest-held", "rest-queries", "rest-salts", "rest-wanted")
     return links
 
 
@@ -396,15 +418,15 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, ke
     named = scratch.keep(_names(texts, width), "names")
     packed = texts.select("text").mapInArrow(_scatter_texts(width, parts), PACKED)
     sets = scratch.keep(_shared_sets(packed, parts, percent), "sets")
-    near = _group_links(sets, scratch, percent, keys)
+    near, homes = _group_links(sets, scratch, percent, keys)
     groups = connected_components(near, scratch)
     grouped = sets.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("component", "grp").alias("grp"), "n", "tokens")
     grouped = scratch.keep(grouped, "grouped")
     rest = scratch.keep(_shared_sets(grouped.mapInArrow(_scatter_sets(parts), PACKED), parts, percent), "rest")
-    across = _cross_links(rest, scratch, percent)
+    across = _cross_links(rest, homes, scratch, percent)
     links = scratch.keep(near.unionByName(across), "links")
     roots = connected_components(links, scratch)
-    scratch.drop("sets", "grouped", "rest", "group-links", "cross-links", "links")
+    scratch.drop("sets", "homes", "grouped", "rest", "group-links", "cross-links", "links")
     # From sets back to documents: only sets with copies or links need a look-up.
     firsts = scratch.keep(named.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "firsts")
     joined = scratch.keep(firsts.join(roots.withColumnRenamed("node", "name"), "name", "left").where("copies > 1 or component is not null").select("name", "first", F.coalesce("component", "name").alias("root")), "joined")
