@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.operators import graph, semantic, store
+from provloom.operators import assets, execution, graph, semantic, store
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
@@ -129,3 +129,51 @@ def context_bundle(spark: SparkSession, d: str) -> DataFrame:
     related = graph.related_entities(a.base_edges(spark, d), root, 1).select("node", F.lit("related").alias("part"))
     callers = a.call_sites(spark, d).where("target = 'contract:supplier:3'").select(F.col("source").alias("node"), F.lit("caller").alias("part")).distinct()
     return root.select(F.col("root").alias("node"), F.lit("target").alias("part")).unionByName(related).unionByName(callers)
+
+
+def asset_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Customers and nations as contracts, pinned signatures dealt to them by their keys, orders as variables."""
+    customers = load(spark, d, "customer").select(F.concat(F.lit("contract:customer:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("T"), (F.col("c_custkey") % 90).cast("string"), F.col("c_mktsegment")).alias("name"), F.col("c_custkey").alias("k"))
+    nations = load(spark, d, "nation").select(F.concat(F.lit("contract:nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("k"))
+    contracts = customers.unionByName(nations)
+    signatures = spark.createDataFrame([(s, k) for k, s in enumerate(SIGNATURES)], "signature string, s int")
+    dealt = contracts.join(F.broadcast(signatures), (F.col("k") * 7 + F.col("s") * F.col("s")) % 5 < 2)
+    functions_ = dealt.select(F.concat(F.lit("function:"), "id", F.lit(":"), "signature").alias("id"), F.col("id").alias("contract_id"), "signature")
+    variables = load(spark, d, "orders").select(F.concat(F.lit("state:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("contract:customer:"), F.col("o_custkey").cast("string")).alias("contract_id"),
+                                                F.concat(F.lit("T"), (F.col("o_orderkey") % 90).cast("string"), F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("type"))
+    return variables, contracts.select("id", "name"), functions_, a.base_edges(spark, d)
+
+
+SIGNATURES = [s for names in assets.PINS.values() for s in names]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+ASSETS = f"""pins(family, signature, s) AS (VALUES {', '.join(f"('{f}', '{s}', {SIGNATURES.index(s)})" for f, names in assets.PINS.items() for s in names)}),
+    con AS (SELECT 'contract:customer:' || c_custkey AS id, 'T' || (c_custkey % 90) || c_mktsegment AS name, c_custkey::BIGINT AS k FROM customer UNION ALL SELECT 'contract:nation:' || n_nationkey, n_name, n_nationkey::BIGINT FROM nation),
+    fun AS (SELECT 'function:' || id || ':' || signature AS id, id AS contract_id, signature, family FROM con JOIN pins ON (k * 7 + s * s) % 5 < 2),
+    clo AS (SELECT id AS contract, id AS base FROM con UNION SELECT b.source, b.target FROM base_edges b JOIN con x ON x.id = b.source JOIN con y ON y.id = b.target),
+    abi AS (SELECT DISTINCT contract, f.signature, f.family, f.id FROM clo JOIN fun f ON f.contract_id = clo.base),
+    hit AS (SELECT contract, family FROM abi GROUP BY contract, family HAVING count(DISTINCT signature) = (SELECT count(*) FROM pins p WHERE p.family = abi.family)),
+    one AS (SELECT contract, min(family) AS family FROM hit GROUP BY contract HAVING count(*) = 1),
+    uni AS (SELECT name, min(id) AS id FROM con GROUP BY name HAVING count(*) = 1),
+    var AS (SELECT 'state:' || o_orderkey AS id, 'contract:customer:' || o_custkey AS contract_id, 'T' || (o_orderkey % 90) || ({SEGMENTS})[o_orderkey % 5 + 1] AS type FROM orders),
+    ast AS (SELECT 'sema:' || substr(sha256('{{"contract_id":"' || contract_id || '","state_var_id":"' || v.id || '"}}'), 1, 16) AS asset_id, v.id AS state_var_id, contract_id, type AS name, coalesce(family, 'unknown') AS asset_type,
+            2 + (SELECT count(*) FROM abi WHERE abi.contract = u.id) AS n_basis FROM var v JOIN uni u ON u.name = v.type LEFT JOIN one ON one.contract = u.id),
+    tok AS (SELECT contract_id, min(asset_id) AS token FROM ast WHERE asset_type = 'erc20' GROUP BY contract_id HAVING count(*) = 1)"""
+
+
+@query("asset_classes", sql("base_edges", f"WITH {ASSETS} SELECT asset_id, state_var_id, name, asset_type, n_basis, CASE WHEN asset_type IN ('debt', 'collateral', 'reward', 'lp') THEN token END AS represents_asset_id FROM ast LEFT JOIN tok USING (contract_id)"))
+def asset_classes(spark: SparkSession, d: str) -> DataFrame:
+    made, _ = assets.assets(*asset_inputs(spark, d))
+    return made.select("asset_id", "state_var_id", "name", "asset_type", F.size("basis").cast("long").alias("n_basis"), "represents_asset_id")
+
+
+@query("esm_accesses", f"""WITH {LAYERS}, g AS (SELECT target AS location, file || ':' || ls || '-' || le AS span, bool_or(type = 'READS') AS r, bool_or(type = 'WRITES') AS w, count(DISTINCT id) AS edges FROM rel WHERE type <> 'CALLS' GROUP BY 1, 2),
+    o AS (SELECT *, CASE WHEN r AND w THEN 'readwrite' WHEN r THEN 'read' ELSE 'write' END AS op FROM g)
+    SELECT 'seme:' || substr(sha256('{{"location":"' || location || '","op":"' || op || '","span":"' || span || '"}}'), 1, 16) AS id, location, span, op, edges FROM o""")
+def esm_accesses(spark: SparkSession, d: str) -> DataFrame:
+    return execution.state_accesses(relationships(spark, d)).select("id", "location", "span", "op", F.size("basis").cast("long").alias("edges"))
+
+
+@query("esm_boundaries", f"""WITH {LAYERS}, s AS (SELECT DISTINCT id AS site, call_kind AS kind, CASE WHEN known THEN target ELSE 'unknown' END AS target FROM known WHERE type = 'CALLS' AND call_kind = 'external')
+    SELECT 'seme:' || substr(sha256('{{"kind":"' || kind || '","site":"' || site || '","target":"' || target || '"}}'), 1, 16) AS id, site, kind, target FROM s""")
+def esm_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return execution.external_boundaries(relationships(spark, d), functions(spark, d))
