@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from provloom.plans import graphs, relational, semantics  # noqa: F401
+from provloom.plans import checks, graphs, relational, semantics  # noqa: F401
 from provloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
