@@ -1,7 +1,8 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged, softmax.
 
-A document's features are its words and the character n-grams of its words (between word
-marks), hashed into ``buckets`` rows of a learned table.  The vectors of all occurrences
+A document's features are its words, the character n-grams of its words (between word
+marks) and its word pairs that say one word twice, hashed into ``buckets`` rows of a
+learned table (all such pairs share a row).  The vectors of all occurrences
 are averaged and a softmax layer gives class probabilities.  Table and layer are trained
 together by numpy stochastic gradient descent on a bounded sample of labelled documents
 (``max_rows``, chosen by hash); scoring covers whole texts.
@@ -31,6 +32,17 @@ from provloom.storage import attach
 NGRAMS = (2, 3, 4)
 
 
+def twice(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each text has a word right after itself."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    same = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    return np.bincount(owner[1:][same], minlength=len(sizes))
+
+
+def twice_bucket(buckets: int) -> int:
+    return int(word_hashes(["<word> <word>"])[0] % U64(buckets))
+
+
 def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of every word and its n-grams, word after word, and how many each word has."""
     marked = [f"<{w}>" for w in words]
@@ -65,15 +77,16 @@ class SubwordModel:
             ends = np.cumsum(counts)
             total = np.vstack([np.zeros((1, per_feature.shape[1])), np.cumsum(per_feature, 0, dtype=np.float64)])
             per_word = total[ends] - total[ends - counts]
-            n = segment_sums(counts[codes], sizes)
+            pairs, row = twice(codes, sizes), self.logits[twice_bucket(len(self.logits))].astype(np.float64)
+            n = segment_sums(counts[codes], sizes) + pairs
             for k in range(per_word.shape[1]):
-                out[:, k] += segment_sums(per_word[codes, k], sizes) / np.maximum(n, 1)
+                out[:, k] += (segment_sums(per_word[codes, k], sizes) + pairs * row[k]) / np.maximum(n, 1)
         out -= out.max(1, keepdims=True)
         out = np.exp(out)
         return out / out.sum(1, keepdims=True)
 
 
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]], classes: list, buckets: int, *, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> SubwordModel:
+def train(samples: list[tuple[int, np.ndarray, np.ndarray]], classes: list, buckets: int, *, dim: int = 16, epochs: int = 15, rate: float = 1.5, seed: int = 7) -> SubwordModel:
     """samples: (class number, distinct buckets, weights summing to 1) of each document."""
     rng, n = np.random.default_rng(seed), len(classes)
     table = (rng.random((buckets, dim), np.float32) - 0.5) / dim
@@ -105,9 +118,10 @@ def _features_of(buckets: int):
             words, codes, sizes = coded_words(texts_of(batch))
             found, counts = word_features(words, buckets) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             starts, first, rows = np.cumsum(counts) - counts, offsets(sizes), []
+            pairs, again = twice(codes, sizes), twice_bucket(buckets)
             for i in range(len(sizes)):
                 own = codes[first[i] : first[i + 1]]
-                at, n = np.unique(found[ragged(starts[own], counts[own])], return_counts=True)
+                at, n = np.unique(np.append(found[ragged(starts[own], counts[own])], [again] * pairs[i]).astype(np.int64), return_counts=True)
                 rows.append((at.astype("<u4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "at", "weight"])
 

@@ -43,7 +43,7 @@ MIX_WEIGHTS = {"clean": 0.90, "toxic": 0.09, "low": 0.01}
 def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.SubwordModel:
     labels = load(spark, sf_dir, "labels")
     domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
-    return classifier.fit(docs, labels.select("doc_id", domain.alias("domain")), "domain", epochs=15, rate=1.5)
+    return classifier.fit(docs, labels.select("doc_id", domain.alias("domain")), "domain")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
