@@ -177,3 +177,26 @@ def esm_accesses(spark: SparkSession, d: str) -> DataFrame:
     SELECT 'seme:' || substr(sha256('{{"kind":"' || kind || '","site":"' || site || '","target":"' || target || '"}}'), 1, 16) AS id, site, kind, target FROM s""")
 def esm_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return execution.external_boundaries(relationships(spark, d), functions(spark, d))
+
+
+CONDITIONS = f"""WITH {LAYERS}, c AS (
+    SELECT 'modifier-gate' AS kind, id AS function, gate AS descriptor, id AS ref FROM fn WHERE gate <> '' UNION ALL SELECT 'visibility-gate', id, CASE WHEN mutability = 'payable' THEN 'external' ELSE 'public' END, id FROM fn
+    UNION ALL SELECT 'mutability-gate', id, mutability, id FROM fn
+    UNION ALL SELECT 'unresolved-branch', subject, 'custom-error:E' || e.e, f.id FROM fact f JOIN (SELECT 'fact:' || event_id AS id, event_id % 4 AS e FROM events) e ON e.id = f.id WHERE event_type = 'error' AND e.e <> 0 AND subject IN (SELECT id FROM fn))"""
+
+
+@query("esm_conditions", CONDITIONS + """ SELECT 'seme:' || substr(sha256('{"descriptor":"' || descriptor || '","function":"' || function || '","kind":"' || kind || '"}'), 1, 16) AS id, kind, function, descriptor,
+    count(DISTINCT ref) FILTER (ref <> function) + 1 AS n_basis FROM c GROUP BY kind, function, descriptor""")
+def esm_conditions(spark: SparkSession, d: str) -> DataFrame:
+    fns = functions(spark, d).withColumn("visibility", F.when(F.col("mutability") == "payable", "external").otherwise("public"))
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 4
+    used = function_facts(spark, d).withColumn("value", F.when(F.col("predicate") == "USES", F.when(number == 0, "custom-error:").otherwise(F.concat(F.lit("custom-error:E"), number.cast("string")))))
+    return execution.conditions(fns, used).select("id", "kind", "function", "descriptor", F.size("basis").cast("long").alias("n_basis"))
+
+
+@query("esm_temporals", """WITH o AS (SELECT l_partkey AS u, array_to_string(list_sort(list_distinct(list('function:' || l_suppkey))), '","') AS c, len(list_distinct(list(l_suppkey))) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT 'seme:' || substr(sha256('{"consumers":["' || c || '"],"kind":"unknown"}'), 1, 16) AS id, replace(c, '","', ',') AS consumers, any_value(n) + count(*) AS n_basis FROM o GROUP BY c""")
+def esm_temporals(spark: SparkSession, d: str) -> DataFrame:
+    """Uses of a builtin (parts) grouped by the suppliers that consume them."""
+    uses = load(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("descriptor"), F.concat(F.lit("function:"), F.col("l_suppkey").cast("string")).alias("consumer"))
+    return execution.temporal_sources(uses).select("id", F.array_join("consumers", ",").alias("consumers"), F.size("basis").cast("long").alias("n_basis"))
