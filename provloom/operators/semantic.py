@@ -15,7 +15,7 @@ from provloom.functions.canonical import content_id
 
 #: Kinds a call may have, and those that a fact's marker stands for.
 CALL_KINDS = ["internal", "external", "super", "self-external", "lowlevel", "delegatecall", "staticcall", "new", "indirect"]
-MARKERS = {"unresolved-lowlevel": "lowlevel", "unresolved-delegatecall": "delegatecall", "unresolved-staticcall": "staticcall", "unresolved-indirect": "indirect"}
+MARKERS = {"unresolved-lowlevel-call": "lowlevel", "unresolved-delegatecall": "delegatecall", "unresolved-staticcall": "staticcall", "unresolved-indirect-call": "indirect"}
 #: The storage types by which a role is known.
 ROLE_STORAGE = {"owner": "IOwnable", "admin": "IAdmin", "governance": "IGovernance"}
 

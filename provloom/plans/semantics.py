@@ -33,7 +33,7 @@ def relationships(spark: SparkSession, d: str) -> DataFrame:
 def function_facts(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_type")
     predicate = F.when(e == "purchase", "WRITES").when(e == "view", "READS").when(e == "click", "CALLS").when(e == "signup", "EMITS").otherwise("USES")
-    value = F.when(e == "click", F.element_at(F.array(F.lit("unresolved-lowlevel"), F.lit("unresolved-indirect"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")))
+    value = F.when(e == "click", F.element_at(F.array(F.lit("unresolved-lowlevel-call"), F.lit("unresolved-indirect-call"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")))
     return load(spark, d, "events").select(
         F.concat(F.lit("fact:"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("function:"), (F.col("user_id") * 10 + F.col("event_id") % 10).cast("string")).alias("subject"), predicate.alias("predicate"), value.alias("value"),
         F.concat(F.lit("e"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") % 50).alias("line_start"), (F.col("event_id") % 50).alias("line_end"))
@@ -173,10 +173,10 @@ def esm_accesses(spark: SparkSession, d: str) -> DataFrame:
     return execution.state_accesses(relationships(spark, d)).select("id", "location", "span", "op", F.size("basis").cast("long").alias("edges"))
 
 
-@query("esm_boundaries", f"""WITH {LAYERS}, s AS (SELECT DISTINCT id AS site, call_kind AS kind, CASE WHEN known THEN target ELSE 'unknown' END AS target FROM known WHERE type = 'CALLS' AND call_kind = 'external')
+@query("esm_boundaries", f"""WITH {LAYERS}, s AS (SELECT DISTINCT id AS site, call_kind AS kind, CASE WHEN known THEN target ELSE 'unknown' END AS target FROM known WHERE type = 'CALLS' AND call_kind = 'external' UNION SELECT id, 'unresolved-' || mark || '-call', id FROM fact WHERE mark IS NOT NULL)
     SELECT 'seme:' || substr(sha256('{{"kind":"' || kind || '","site":"' || site || '","target":"' || target || '"}}'), 1, 16) AS id, site, kind, target FROM s""")
 def esm_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    return execution.external_boundaries(relationships(spark, d), functions(spark, d))
+    return execution.external_boundaries(relationships(spark, d), functions(spark, d), function_facts(spark, d))
 
 
 CONDITIONS = f"""WITH {LAYERS}, c AS (

@@ -12,7 +12,7 @@ def state(spark):
     relationships = spark.createDataFrame([
         ("r1", "READS", "f1", "s1", None, "A.sol", 5, 5), ("r2", "WRITES", "f1", "s1", None, "A.sol", 6, 6), ("r3", "WRITES", "f1", "s2", None, "A.sol", 7, 7),
         ("r5", "CALLS", "f1", "f2", "internal", "A.sol", 9, 9), ("r4", "CALLS", "f1", "gone", "external", "A.sol", 8, 8), ("r6", "CALLS", "f1", "f2", "odd", "A.sol", 3, 3), ("r7", "CALLS", "f2", "f1", "internal", "A.sol", 12, 12)], REL)
-    facts = spark.createDataFrame([("e2", "f1", "EMITS", "B()", "A.sol", 11, 11), ("e1", "f1", "EMITS", "A()", "A.sol", 10, 10), ("k1", "f1", "CALLS", "unresolved-lowlevel", "A.sol", 2, 2), ("k2", "f1", "CALLS", "other", "A.sol", 1, 1)], FACT)
+    facts = spark.createDataFrame([("e2", "f1", "EMITS", "B()", "A.sol", 11, 11), ("e1", "f1", "EMITS", "A()", "A.sol", 10, 10), ("k1", "f1", "CALLS", "unresolved-lowlevel-call", "A.sol", 2, 2), ("k2", "f1", "CALLS", "other", "A.sol", 1, 1)], FACT)
     issues = spark.createDataFrame([("Bad.sol", "compilation_failed"), ("Asm.sol", "unsupported_assembly")], "file string, code string")
     return functions, relationships, facts, issues
 
@@ -59,11 +59,11 @@ def test_assets_by_pinned_closures(spark):
 
 
 def test_accesses_boundaries_and_trust(spark):
-    functions, relationships, _, _ = state(spark)
+    functions, relationships, facts, _ = state(spark)
     same_line = relationships.withColumn("line_start", relationships["line_start"] * 0 + 1).withColumn("line_end", relationships["line_end"] * 0 + 1)
     ops = {r["location"]: (r["op"], r["basis"]) for r in execution.state_accesses(same_line).collect()}
     assert ops == {"s1": ("readwrite", ["r1", "r2"]), "s2": ("write", ["r3"])}
-    assert sorted((r["site"], r["target"]) for r in execution.external_boundaries(relationships, functions).collect()) == [("r4", "unknown"), ("r6", "f2")]
+    assert sorted((r["site"], r["target"]) for r in execution.external_boundaries(relationships, functions, facts).collect()) == [("k1", "k1"), ("r4", "unknown"), ("r6", "f2")]
     deps = {r["dependency"]: (r["calls"], r["first_kind"]) for r in trust.dependencies(relationships, functions).collect()}
     assert deps == {"external:c1": (3, "odd"), "external:unknown": (1, "external")}
     one = spark.createDataFrame([("c1",)], "contract string")
