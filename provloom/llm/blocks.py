@@ -6,6 +6,7 @@ memory follows the block and the longest document, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,14 @@ MAX_BYTES = 6 << 20
 U64 = np.uint64
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, since workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = MAX_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches, cut before the text of a slice passes ``max_bytes``."""
     for batch in batches:
@@ -27,6 +36,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = MAX_BYTES, c
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+            release_memory()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

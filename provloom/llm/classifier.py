@@ -72,11 +72,11 @@ class SubwordModel:
         words, codes, sizes = coded_words(texts)
         out = np.repeat(self.bias[None, :], len(texts), 0)
         if len(words):
-            found, counts = word_features(words, len(self.logits))
-            per_feature = self.logits[found]
-            ends = np.cumsum(counts)
-            total = np.vstack([np.zeros((1, per_feature.shape[1])), np.cumsum(per_feature, 0, dtype=np.float64)])
-            per_word = total[ends] - total[ends - counts]
+            per_word, counts = np.zeros((len(words), len(self.bias))), np.zeros(len(words), np.int64)
+            for a in range(0, len(words), 10_000):  # a few thousand words' features at a time
+                found, counts[a : a + 10_000] = word_features(words[a : a + 10_000], len(self.logits))
+                own = counts[a : a + 10_000]
+                per_word[a : a + 10_000] = np.add.reduceat(self.logits[found].astype(np.float64), np.cumsum(own) - own, 0)
             pairs, row = twice(codes, sizes), self.logits[twice_bucket(len(self.logits))].astype(np.float64)
             n = segment_sums(counts[codes], sizes) + pairs
             for k in range(per_word.shape[1]):

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provloom.llm.blocks import U64, coded_words, mix, offsets, ragged, segment_sums, text_blocks, texts_of, window_hashes, word_hashes
+from provloom.llm.blocks import U64, coded_words, mix, offsets, ragged, release_memory, segment_sums, text_blocks, texts_of, window_hashes, word_hashes
 from provloom.llm.components import connected_components
 from provloom.storage import Scratch
 
@@ -187,6 +187,9 @@ def _column_sums(parts: int):
         at = order[_shared(order, tokens, groups[owner])]
         at = at[names[owner[at]] > TWICE[1]]
         out = list(_emit((names[owner[at]] % U64(parts)).astype(np.int64), owner[at], tokens[at], names, groups, n, 1)) if len(at) else []
+        del names, groups, n, counts, tokens, owner, order, at
+        kinds.clear()
+        release_memory()
         for k in range(0, len(out), 16):
             yield _rows(out[k : k + 16])
 
@@ -219,6 +222,8 @@ def _enough(percent: int):
         for k in range(0, len(good), 1000):
             g = good[k : k + 1000]
             yield _sets(name[cuts[g]], groups[owner[cuts[g]]], size[g], [tokens[a:b].tobytes() for a, b in zip(cuts[g].tolist(), ends[g].tolist())])
+        del names, groups, n, counts, tokens, owner, order, name, fresh
+        release_memory()
 
     return run
 

@@ -84,11 +84,11 @@ def _columns(rows: list[tuple], closed: bool, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, pa.array([closed] * len(rows), pa.bool_()), pa.array([part] * len(rows), pa.int64())], names=[*names, "closed", "part"])
 
 
-def _pack_partition(path: str, size: int, end_id: int, open_windows: int, max_slack: int):
+def _pack_partition(path: str, size: int, end_id: int, open_windows: int, max_slack: int, remembered: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         packer = OnlinePacker(size, open_windows, max_slack, part << 32)
-        encode = encoder(path).encode
+        encode = encoder(path, remembered).encode
         for batch in text_blocks(batches):
             ids, counts = encode(texts_of(batch))
             rows: list[tuple] = []
@@ -130,16 +130,16 @@ def _merge_group(size: int, fan_in: int):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end_id: int = 0, open_windows: int = 32, max_slack: int = 12, fan_in: int = 16,
+    docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end_id: int = 0, open_windows: int = 32, max_slack: int = 12, fan_in: int = 16, remembered: int = 400_000,
 ) -> DataFrame:
     """One row per piece: where its ids stand in the document and in its sequence.
 
-    Memory per task: the open windows and one block of ids.  The only shuffle carries the
+    Memory per task: the open windows, one block of ids, and the ids of ``remembered`` words.  The only shuffle carries the
     leftover pieces of each partition (``open_windows`` windows at most).
     """
     scratch = Scratch(docs.sparkSession, "packing")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _pack_partition(tokenizer_path, size, end_id, open_windows, max_slack), f"{PIECES}, closed boolean, part long")
+        _pack_partition(tokenizer_path, size, end_id, open_windows, max_slack, remembered), f"{PIECES}, closed boolean, part long")
     packed = scratch.keep(packed, "pieces")
     names = [x.split()[0] for x in PIECES.split(", ")]
     merged = packed.where(~F.col("closed")).groupBy(F.floor(F.col("part") / fan_in).alias("merge_group")).applyInArrow(_merge_group(size, fan_in), PIECES)

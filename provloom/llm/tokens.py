@@ -138,11 +138,11 @@ class TextEncoder:
         return pool[ragged(start[codes], per_word)], segment_sums(per_word, sizes)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, limit: int = 400_000) -> TextEncoder:
     """The worker's own encoder of a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = TextEncoder(path, limit)
+    return _ENCODERS[path, limit]
