@@ -34,7 +34,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), remembered=150_000)
 
 
 STAGES = [
