@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.operators import assets, execution, graph, semantic, store
+from provloom.operators import assets, execution, graph, holdings, semantic, store
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
@@ -146,18 +146,19 @@ def asset_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 
 SIGNATURES = [s for names in assets.PINS.values() for s in names]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-ASSETS = f"""pins(family, signature, s) AS (VALUES {', '.join(f"('{f}', '{s}', {SIGNATURES.index(s)})" for f, names in assets.PINS.items() for s in names)}),
-    con AS (SELECT 'contract:customer:' || c_custkey AS id, 'T' || (c_custkey % 90) || c_mktsegment AS name, c_custkey::BIGINT AS k FROM customer UNION ALL SELECT 'contract:nation:' || n_nationkey, n_name, n_nationkey::BIGINT FROM nation),
-    fun AS (SELECT 'function:' || id || ':' || signature AS id, id AS contract_id, signature, family FROM con JOIN pins ON (k * 7 + s * s) % 5 < 2),
-    clo AS (SELECT id AS contract, id AS base FROM con UNION SELECT b.source, b.target FROM base_edges b JOIN con x ON x.id = b.source JOIN con y ON y.id = b.target),
+DERIVED = f"""clo AS (SELECT id AS contract, id AS base FROM con UNION SELECT b.source, b.target FROM base_edges b JOIN con x ON x.id = b.source JOIN con y ON y.id = b.target),
     abi AS (SELECT DISTINCT contract, f.signature, f.family, f.id FROM clo JOIN fun f ON f.contract_id = clo.base),
     hit AS (SELECT contract, family FROM abi GROUP BY contract, family HAVING count(DISTINCT signature) = (SELECT count(*) FROM pins p WHERE p.family = abi.family)),
     one AS (SELECT contract, min(family) AS family FROM hit GROUP BY contract HAVING count(*) = 1),
     uni AS (SELECT name, min(id) AS id FROM con GROUP BY name HAVING count(*) = 1),
-    var AS (SELECT 'state:' || o_orderkey AS id, 'contract:customer:' || o_custkey AS contract_id, 'T' || (o_orderkey % 90) || ({SEGMENTS})[o_orderkey % 5 + 1] AS type FROM orders),
     ast AS (SELECT 'sema:' || substr(sha256('{{"contract_id":"' || contract_id || '","state_var_id":"' || v.id || '"}}'), 1, 16) AS asset_id, v.id AS state_var_id, contract_id, type AS name, coalesce(family, 'unknown') AS asset_type,
             2 + (SELECT count(*) FROM abi WHERE abi.contract = u.id) AS n_basis FROM var v JOIN uni u ON u.name = v.type LEFT JOIN one ON one.contract = u.id),
     tok AS (SELECT contract_id, min(asset_id) AS token FROM ast WHERE asset_type = 'erc20' GROUP BY contract_id HAVING count(*) = 1)"""
+ASSETS = f"""pins(family, signature, s) AS (VALUES {', '.join(f"('{f}', '{s}', {SIGNATURES.index(s)})" for f, names in assets.PINS.items() for s in names)}),
+    con AS (SELECT 'contract:customer:' || c_custkey AS id, 'T' || (c_custkey % 90) || c_mktsegment AS name, c_custkey::BIGINT AS k FROM customer UNION ALL SELECT 'contract:nation:' || n_nationkey, n_name, n_nationkey::BIGINT FROM nation),
+    fun AS (SELECT 'function:' || id || ':' || signature AS id, id AS contract_id, signature, family FROM con JOIN pins ON (k * 7 + s * s) % 5 < 2),
+    var AS (SELECT 'state:' || o_orderkey AS id, 'contract:customer:' || o_custkey AS contract_id, 'T' || (o_orderkey % 90) || ({SEGMENTS})[o_orderkey % 5 + 1] AS type FROM orders),
+    {DERIVED}"""
 
 
 @query("asset_classes", sql("base_edges", f"WITH {ASSETS} SELECT asset_id, state_var_id, name, asset_type, n_basis, CASE WHEN asset_type IN ('debt', 'collateral', 'reward', 'lp') THEN token END AS represents_asset_id FROM ast LEFT JOIN tok USING (contract_id)"))
@@ -166,6 +167,55 @@ def asset_classes(spark: SparkSession, d: str) -> DataFrame:
     return made.select("asset_id", "state_var_id", "name", "asset_type", F.size("basis").cast("long").alias("n_basis"), "represents_asset_id")
 
 
+def holding_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Customers as contracts with one family each, nations as their bases with the balance function, orders as variables."""
+    customers = load(spark, d, "customer").select(F.concat(F.lit("contract:customer:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_custkey") % 6).alias("f"))
+    nations = load(spark, d, "nation").select(F.concat(F.lit("contract:nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
+    pins = spark.createDataFrame([(f, x) for f, names in enumerate(assets.PINS.values()) for x in names], "f long, signature string")
+    fns = customers.join(F.broadcast(pins), "f").select("id", "signature").unionByName(nations.select("id", F.lit(holdings.ENTITLEMENT).alias("signature")))
+    variables = load(spark, d, "orders").select(F.concat(F.lit("state:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("contract:customer:"), F.col("o_custkey").cast("string")).alias("contract_id"), F.concat(F.lit("T"), (F.col("o_orderkey") % 97 + 1).cast("string")).alias("type"))
+    return variables, customers.select("id", "name").unionByName(nations), fns.select(F.concat(F.lit("function:"), "id", F.lit(":"), "signature").alias("id"), F.col("id").alias("contract_id"), "signature"), a.base_edges(spark, d)
+
+
+def holding_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' numbers as functions that read or write orders; seventh lines call a nation's balance function."""
+    lines = load(spark, d, "lineitem")
+    source = F.concat(F.lit("function:"), (F.col("l_suppkey") % 20).cast("string")).alias("source")
+    access = lines.select(F.when(F.col("l_returnflag") == "N", "READS").otherwise("WRITES").alias("type"), source, F.concat(F.lit("state:"), F.col("l_orderkey").cast("string")).alias("target"))
+    called = F.concat(F.lit("function:contract:nation:"), (F.col("l_partkey") % 25).cast("string"), F.lit(":balanceOf(address)"))
+    return access.unionByName(lines.where("l_linenumber = 7").select(F.lit("CALLS").alias("type"), source, called.alias("target")))
+
+
+HOLDINGS = f"""pins(family, signature, f) AS (VALUES {', '.join(f"('{n}', '{x}', {f})" for f, (n, names) in enumerate(assets.PINS.items()) for x in names)}),
+    con AS (SELECT 'contract:customer:' || c_custkey AS id, 'T' || c_custkey AS name, c_custkey % 6 AS f FROM customer UNION ALL SELECT 'contract:nation:' || n_nationkey, n_name, NULL FROM nation),
+    fun AS (SELECT 'function:' || id || ':' || signature AS id, id AS contract_id, signature, family FROM con JOIN pins USING (f) UNION ALL SELECT 'function:' || id || ':balanceOf(address)', id, 'balanceOf(address)', 'erc20' FROM con WHERE f IS NULL),
+    var AS (SELECT 'state:' || o_orderkey AS id, 'contract:customer:' || o_custkey AS contract_id, 'T' || (o_orderkey % 97 + 1) AS type FROM orders),
+    {DERIVED}"""
+USES = """use AS (SELECT DISTINCT CASE WHEN l_returnflag = 'N' THEN 'READS' ELSE 'WRITES' END AS type, 'function:' || (l_suppkey % 20) AS source, 'state:' || l_orderkey AS target FROM lineitem
+    UNION SELECT 'CALLS', 'function:' || (l_suppkey % 20), 'function:contract:nation:' || (l_partkey % 25) || ':balanceOf(address)' FROM lineitem WHERE l_linenumber = 7)"""
+
+
+@query("accounting_pairs", sql("base_edges", f"""WITH {HOLDINGS}, {USES}, own AS (SELECT DISTINCT a.contract_id, a.asset_id, a.asset_type, u.source FROM ast a JOIN use u ON u.target = a.state_var_id WHERE u.type <> 'CALLS'),
+    p AS (SELECT l.contract_id, 'debt_collateral' AS relation_kind, l.asset_id AS a, r.asset_id AS b, l.source FROM own l JOIN own r USING (contract_id, source) WHERE l.asset_type = 'debt' AND r.asset_type = 'collateral'
+        UNION ALL SELECT l.contract_id, 'reserves_liquidity', l.asset_id, r.asset_id, l.source FROM own l JOIN own r USING (contract_id, source) WHERE l.asset_type = 'erc20' AND r.asset_type = 'lp')
+    SELECT 'semacc:' || substr(sha256('{{"derivation":"paired-storage","endpoints":["' || least(a, b) || '","' || greatest(a, b) || '"],"relation_kind":"' || relation_kind || '"}}'), 1, 16) AS id, relation_kind, least(a, b) || ',' || greatest(a, b) AS endpoints,
+        string_agg(DISTINCT source, ',' ORDER BY source) AS accessors FROM p GROUP BY contract_id, relation_kind, a, b"""))
+def accounting_pairs(spark: SparkSession, d: str) -> DataFrame:
+    made, _ = assets.assets(*holding_inputs(spark, d))
+    found = holdings.accounting_pairs(made, holding_uses(spark, d).where("type <> 'CALLS'"))
+    return found.select("id", "relation_kind", F.array_join("endpoints", ",").alias("endpoints"), F.array_join("accessors", ",").alias("accessors"))
+
+
+@query("claims", sql("base_edges", f"""WITH {HOLDINGS}, {USES}, typ AS (SELECT a.*, u.id AS type_contract FROM ast a JOIN uni u ON u.name = a.name), bal AS (SELECT DISTINCT contract, id AS function FROM abi WHERE signature = 'balanceOf(address)'),
+    rep AS (SELECT asset_id AS via, token AS claim_on, state_var_id, type_contract FROM typ JOIN tok USING (contract_id) WHERE asset_type IN ('debt', 'collateral', 'reward', 'lp') AND token IN (SELECT asset_id FROM typ WHERE type_contract IN (SELECT contract FROM bal))),
+    found AS (SELECT source AS holder_ref, claim_on, via FROM rep JOIN use ON target = state_var_id AND type = 'READS' UNION SELECT source, claim_on, via FROM rep JOIN bal ON contract = type_contract JOIN use ON target = function AND type = 'CALLS')
+    SELECT 'semcl:' || substr(sha256('{{"claim_on":"' || claim_on || '","holder_ref":"' || holder_ref || '","via":"' || via || '"}}'), 1, 16) AS id, holder_ref, claim_on, via FROM found"""))
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    inputs = holding_inputs(spark, d)
+    made, _ = assets.assets(*inputs)
+    return holdings.claims(made, *inputs[1:], holding_uses(spark, d)).select("id", "holder_ref", "claim_on", "via")
+
+
 @query("esm_accesses", f"""WITH {LAYERS}, g AS (SELECT target AS location, file || ':' || ls || '-' || le AS span, bool_or(type = 'READS') AS r, bool_or(type = 'WRITES') AS w, count(DISTINCT id) AS edges FROM rel WHERE type <> 'CALLS' GROUP BY 1, 2),
     o AS (SELECT *, CASE WHEN r AND w THEN 'readwrite' WHEN r THEN 'read' ELSE 'write' END AS op FROM g)
     SELECT 'seme:' || substr(sha256('{{"location":"' || location || '","op":"' || op || '","span":"' || span || '"}}'), 1, 16) AS id, location, span, op, edges FROM o""")
