@@ -69,3 +69,20 @@ def test_accesses_boundaries_and_trust(spark):
     one = spark.createDataFrame([("c1",)], "contract string")
     assert {r["function_id"]: r["direction"] for r in trust.callbacks(functions, one).collect()} == {"f1": "offered", "f2": "offered", "f3": "consumed", "f4": "consumed"}
     assert {r["direction"] for r in trust.callbacks(functions, one.where("false")).collect()} == {"offered"}
+
+
+def test_pairs_need_a_common_accessor_and_claims_a_reader(spark):
+    from provloom.operators import holdings
+
+    made = spark.createDataFrame(
+        [("t", "sv1", "c", "Tok", "erc20", None, ["sv1"]), ("l", "sv2", "c", "Pool", "lp", "t", ["sv2"]), ("d", "sv3", "c", "Debt", "debt", "t", ["sv3"]), ("k", "sv4", "c", "Col", "collateral", "t", ["sv4"])],
+        "asset_id string, state_var_id string, contract_id string, name string, asset_type string, represents_asset_id string, basis array<string>")
+    uses = spark.createDataFrame([("WRITES", "f", "sv1"), ("READS", "f", "sv2"), ("READS", "g", "sv2"), ("READS", "f", "sv3"), ("READS", "g", "sv4"), ("CALLS", "h", "bal:k")], "type string, source string, target string")
+    pairs = holdings.accounting_pairs(made, uses.where("type <> 'CALLS'")).collect()
+    assert [(r["relation_kind"], r["endpoints"], r["accessors"], r["basis"]) for r in pairs] == [("reserves_liquidity", ["l", "t"], ["f"], ["c", "f", "sv1", "sv2"])]
+    contracts = spark.createDataFrame([("ct", "Tok"), ("cl", "Pool"), ("cd", "Debt"), ("ck", "Col")], "id string, name string")
+    fns = spark.createDataFrame([("bal:t", "ct", holdings.ENTITLEMENT), ("bal:k", "ck", holdings.ENTITLEMENT)], "id string, contract_id string, signature string")
+    none = spark.createDataFrame([], "source string, target string, type string")
+    found = holdings.claims(made, contracts, fns, none, uses).collect()
+    assert {(r["holder_ref"], r["claim_on"], r["via"]) for r in found} == {("f", "t", "l"), ("g", "t", "l"), ("f", "t", "d"), ("g", "t", "k"), ("h", "t", "k")} and len(found) == 5
+    assert holdings.claims(made.limit(0), contracts, fns, none, uses).count() == 0 == holdings.accounting_pairs(made.limit(0), uses).count()
