@@ -232,6 +232,19 @@ def test_suffix_tree_learns_contexts(spark):
     assert got and all(r["score"] > r["base_score"] / 4 for r in got)
 
 
+def test_words_and_contexts_of_a_share_of_3e_5_are_learned(spark):
+    """Of 200,000 tokens, six are "qx", each before "zz"; "yy" is as frequent and never follows it."""
+    rng = random.Random(3)
+    learned = [k for k in range(100) if held(k, 7) != 2][:50]
+    texts = [[rng.choice(EN) for _ in range(4000)] for _ in learned]
+    for k in range(6):
+        texts[k][100:102], texts[k][200] = ["qx", "zz"], "yy"
+    asked = [k for k in range(1000, 1100) if held(k, 7) == 2][:2]
+    rows = [(k, " ".join(t)) for k, t in zip(learned, texts)] + [(asked[0], "the qx zz"), (asked[1], "the qx yy")]
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs_of(spark, rows)).collect()}
+    assert got[asked[0]] > got[asked[1]] + 1
+
+
 # Vectors
 
 
