@@ -13,7 +13,7 @@ more surely; ``bits`` should grow with the logarithm of the vectors per label.
 Defined cases: vectors that are null, zero, or hold null or non-finite components link
 with nothing, as do rows without a label; only vectors of one length are compared; each
 of several rows with one vec_id is a vector of its own; a null vec_id is a row with null
-component_id that counts as a vector for its copies; an empty table gives no rows; other
+component_id that links and is counted like any other; an empty table gives no rows; other
 columns of the input are neither read nor returned.
 """
 
@@ -186,10 +186,10 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, tables: int = 24, b
     usable = F.col("label").isNotNull() & F.coalesce(F.forall("vector", number) & F.exists("vector", lambda x: x != 0), F.lit(False))
     # 128 bits name a class: its label and components.
     own = own.withColumn("usable", usable).withColumn("c1", F.xxhash64("label", "vector")).withColumn("c2", F.xxhash64(F.lit(SEED), "vector", "label"))
-    classes = own.where("usable").groupBy("c1", "c2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label"))
-    # A class without any vec_id has no name to be linked by; its copies still count each other.
-    classes = scratch.keep(classes, "classes")
-    bucketed = classes.where("rep is not null").select("rep", "copies", "label", "vector").mapInArrow(_with_buckets(tables, bits), f"rep long, copies long, label string, vector {kind}, buckets array<short>")
+    classes = own.where("usable").groupBy("c1", "c2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label"))
+    # Numbered once they are written, so that classes without any vec_id are linked too.
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    bucketed = classes.select("rep", "copies", "label", "vector").mapInArrow(_with_buckets(tables, bits), f"rep long, copies long, label string, vector {kind}, buckets array<short>")
     bucketed = scratch.keep(bucketed, "bucketed")
     placed = bucketed.select("*", F.posexplode("buckets").alias("table", "bucket")).withColumn("at", F.xxhash64("label", F.size("vector"), "table", "bucket"))
     large = scratch.keep(placed.groupBy("at").count().where(F.col("count") > block), "large")
@@ -201,8 +201,11 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, tables: int = 24, b
     found = scratch.keep(rows.mapInArrow(_compare(least), "rep long, other long, met long"), "found")
     components = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)
     met = scratch.keep(found.where("other is null").groupBy("rep").agg(F.sum("met").alias("met")), "met")
-    named = classes.select("c1", "c2", "rep", "copies").join(met, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    named = scratch.keep(named.select("c1", "c2", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")).where("n_links > 0"), "named")
+    linked = classes.select("c1", "c2", "rep", "least", "copies").join(met, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = scratch.keep(linked.select("c1", "c2", "least", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root")).where("n_links > 0"), "linked")
+    roots = scratch.keep(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    named = scratch.keep(linked.join(roots, "root").select("c1", "c2", "n_links", "component_id"), "named")
+    scratch.drop("linked", "roots")
     scratch.drop("bucketed", "large", "found", "met")
     ids = own.select("vec_id", F.when(F.col("usable"), F.col("c1")).alias("c1"), F.when(F.col("usable"), F.col("c2")).alias("c2"))
     out = ids.join(named, ["c1", "c2"], "left")
