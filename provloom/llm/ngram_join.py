@@ -11,12 +11,14 @@ tokens, so groups below that bound are never opened.
     exactly, and joined into groups of linked sets.
 3.  Column sums again, now with these groups: only sets with enough tokens in *other*
     groups can still have a link that joins two groups.
-4.  For those, blocks of a group's sets are opened by the sets whose overlap with the
-    block's token union reaches the bound, and compared exactly.
+4.  For those, a matrix of tokens by columns (a group's sets, or lone sets of one pivot)
+    tells which columns a set must ask; their blocks are opened where the set's overlap
+    with the block's stored token union reaches the bound, and compared exactly.
 
 No link between two groups is lost: its sets share enough tokens across groups (3), hence
-one of their first tokens in a fixed order (4), hence meet in a block.  Tokens travel
-packed in binary rows; tokens that a block of documents holds in two groups are known to
+one of their first tokens in a fixed order (4), hence meet in a block.  That order puts
+rare tokens first, and sets meet columns rather than sets, so rows grow with tokens and
+columns, not with pairs of a group.  Tokens travel packed in binary rows; tokens that a block of documents holds in two groups are known to
 be shared and travel once for the count, so a passage in a third of all documents does
 not gather in one task.
 
@@ -28,6 +30,7 @@ rows; other columns of the input are neither read nor returned.
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -36,14 +39,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provloom.llm.blocks import U64, coded_words, mix, offsets, ragged, release_memory, segment_sums, text_blocks, texts_of, window_hashes, word_hashes
+from provloom.llm.blocks import U64, coded_words, mix, offsets, pack_arrays, ragged, release_memory, segment_sums, text_blocks, texts_of, unpack_arrays, window_hashes, word_hashes
 from provloom.llm.components import connected_components
 from provloom.storage import Scratch
 
 HEAD = struct.Struct("<QQ?")
 CHUNK = 128  # sets compared around one copy of a pivot
-BLOCK = 64  # sets of a group that are opened together
-QUERIES_A_BLOCK = 512
+BLOCK = 1024  # sets of a kin that are opened together, and queries that meet them in one task
+BLOCK_TOKENS = 1 << 20  # tokens in either
+PART_BYTES = 64 << 20  # tokens that one task counts
+SKETCH_SHIFT = U64(44)
+SKETCH = 1 << 20
+RARE = 32
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +88,16 @@ def linked(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int, percent: int) -> bo
 
 
 def _names(df: DataFrame, width: int) -> DataFrame:
+    """The columns but text (all long), and size and name of each text's set."""
+
     def run(batches):
         for batch in text_blocks(batches):
             tokens, sizes = shingle_sets(texts_of(batch), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(set_names(tokens, sizes).view(np.int64))], names=["doc_id", "n_shingles", "name"])
+            kept = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes), pa.array(set_names(tokens, sizes).view(np.int64))], names=[*kept.schema.names, "n_shingles", "name"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, name long")
+    rest = ", ".join(f"{c} long" for c in df.columns if c != "text")
+    return df.mapInArrow(run, f"{rest}, n_shingles long, name long")
 
 
 # Packed rows: sets (name, group, size) with some of their tokens.
@@ -338,44 +349,94 @@ def _group_links(sets: DataFrame, scratch: Scratch, percent: int, keys: int) ->
     return links, homes
 
 
-def _first_tokens(percent: int):
-    """The tokens of which any partner in another group must share one: first by hash."""
+def _sketch_sums(batches):
+    """How many sets hold a token of each of ``SKETCH`` buckets."""
+    sums = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for raw in batch.column("tokens").to_pylist():
+            sums += np.bincount(np.frombuffer(raw, "<u8") >> SKETCH_SHIFT, minlength=SKETCH)
+    at = np.flatnonzero(sums)
+    for k in range(0, len(at), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(sums[at[k : k + 50_000]])], names=["bucket", "n"])
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """The order of tokens from rare to common: log2 of the sets that hold a token of its bucket.
+
+    Its size is fixed (1 MB), and any one order keeps the join exact; rare tokens first
+    keep common passages out of the tokens by which sets meet.
+    """
+    sums = sets.select("tokens").mapInArrow(_sketch_sums, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    levels = np.zeros(SKETCH, np.uint8)
+    for row in sums.where(f"n >= {RARE}").select("bucket", F.log2("n").cast("int").alias("level")).toLocalIterator():
+        levels[row["bucket"]] = row["level"]
+    return levels
+
+
+def _first_tokens(percent: int, shared):
+    """The tokens of which any partner in another group must share one: first by rarity, then hash."""
 
     def run(batches):
         for batch in text_blocks(batches, column="tokens"):
-            (names, groups, n), tokens = _arrays(batch)
-            first = [t[: max(0, len(t) - int(need(m, percent)) + 1)] for t, m in zip(tokens, n)]
-            sizes = np.fromiter(map(len, first), np.int64, len(first))
-            flat = np.concatenate(first) if first else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(flat.view(np.int64))], names=["name", "token"])
+            (names, _, n), tokens = _arrays(batch)
+            if not tokens:
+                continue
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), sizes)
+            flat = flat[np.lexsort((flat, shared.value[flat >> SKETCH_SHIFT], owner))]
+            first = np.maximum(0, sizes - need(n, percent) + 1)
+            flat = flat[ragged(offsets(sizes)[:-1], first)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, first)), pa.array(flat.view(np.int64))], names=["name", "token"])
 
     return run
 
 
+def _pack_blocks(batches):
+    """One row of the matrix per block: its token union, the sets that hold each, and the sets."""
+    key, rows = None, []
+
+    def packed():
+        tokens = [np.frombuffer(raw, "<u8") for _, _, _, raw in rows]
+        flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
+        order = np.argsort(flat, kind="stable")
+        union, first = np.unique(flat[order], return_index=True)
+        ends = np.append(first[1:], len(flat))
+        names, groups, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 0, 2))
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([pack_arrays(union, ends.astype("<u4"), owner[order].astype("<u4"), names, groups, n)], pa.binary())], names=["block", "matrix"])
+
+    for batch in batches:
+        for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "grp", "name", "n", "tokens"))):
+            if block != key and rows:
+                yield packed()
+                rows = []
+            key = block
+            rows.append(row)
+    if rows:
+        yield packed()
+
+
 def _open_blocks(percent: int):
-    """Queries against a block: bound by its token union, then each of its sets exactly."""
+    """Queries against a block: bound by its token union, then its sets' exact overlaps."""
 
     def run(batches):
-        key, members, union, links = None, [], None, []
+        links: list = []
+        union = ends = holders = names = groups = sizes = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "salt", "role", "grp", "name", "n", "tokens")]
-            for block, salt, role, grp, name, n, raw in zip(*columns):
-                tokens = np.frombuffer(raw, "<u8")
-                if (block, salt) != key:
-                    key, members, union = (block, salt), [], None
+            for role, grp, name, n, raw in zip(*(batch.column(c).to_pylist() for c in ("role", "grp", "name", "n", "tokens"))):
                 if role == 0:
-                    members.append((grp, name, n, tokens))
+                    union, ends, holders, names, groups, sizes = unpack_arrays(raw)
+                    ends = ends.astype(np.int64)
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([m[3] for m in members]))
+                tokens = np.frombuffer(raw, "<u8")
                 at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                if (union[at] == tokens).sum() < need(n, percent):
+                at = at[union[at] == tokens]
+                if len(at) < need(n, percent):
                     continue
-                met = {grp}  # a link to one set of a group is enough
-                for other, its_name, m, held in members:
-                    if other not in met and linked(tokens, n, held, m, percent):
-                        met.add(other)
-                        links.append((name, its_name))
+                starts = np.where(at > 0, ends[at - 1], 0)
+                common = np.bincount(holders[ragged(starts, ends[at] - starts)], minlength=len(names))
+                near = np.flatnonzero((100 * common >= percent * (n + sizes - common)) & (groups != grp))
+                near = near[np.unique(groups[near], return_index=True)[1]]  # a link to one set of a group is enough
+                links += [(name, other) for other in names[near].tolist()]
             if len(links) > 10_000:
                 yield _links(links)
                 links = []
@@ -388,39 +449,49 @@ def _open_blocks(percent: int):
 def _cross_links(rest: DataFrame, homes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Exact links between sets of different groups, one per query and group of a block at least.
 
-    A block holds sets of one group, or sets that are groups of their own but share a pivot.
-    The smaller of two groups asks; sets of their own ask the blocks from theirs on.
+    A column of the matrix is a kin: the sets of one group, or lone sets that share a pivot.
+    Sets meet columns, never each other, through the tokens that come first; of two kins the
+    smaller asks the larger, and a kin of several groups asks itself.  A column that is asked
+    is opened in blocks of bounded size, each stored once with its token union.
     """
+    spark = rest.sparkSession
+    levels = spark.sparkContext.broadcast(_levels(rest))
     many = scratch.keep(rest.groupBy("grp").agg(F.count("*").alias("members")), "rest-groups")
-    placed = rest.select("name", "grp", "n").join(many, "grp").join(homes, "name", "left")
-    placed = placed.withColumn("kin", F.when(F.col("members") == 1, F.xxhash64(F.coalesce("home", "name"), F.lit(1))).otherwise(F.xxhash64("grp", F.lit(2)))).select("name", "grp", "n", "members", "kin")
-    placed = scratch.keep(placed, "rest-placed")
-    kin = scratch.keep(placed.groupBy("kin").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "rest-kin")
-    named = scratch.keep(placed.join(kin, "kin").select("name", "grp", "n", "members", F.xxhash64("kin", F.pmod(F.xxhash64("name"), "blocks")).alias("block")), "rest-named")
-    first = rest.mapInArrow(_first_tokens(percent), "name long, token long")
-    asking = scratch.keep(first.join(named, "name"), "rest-first")
-    held = asking.groupBy("token", F.col("block").alias("asked")).agg(F.first("grp").alias("g"), F.first("members").alias("g_members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    held = scratch.keep(held, "rest-held")
-    turn = "(g_members > 1 and struct(members, grp) < struct(g_members, g)) or (g_members = 1 and members = 1 and block <= asked)"
-    met = asking.join(held, "token").where(turn).where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
-    queries = scratch.keep(met.groupBy("name", "asked").agg(F.lit(1).alias("role")).withColumnRenamed("asked", "block"), "rest-queries")
-    salts = scratch.keep(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_A_BLOCK).cast("int").alias("salts")), "rest-salts")
-    asked = queries.join(salts, "block").select("block", "name", "role", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"))
-    held_sets = named.join(salts, "block").select("block", "name", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    wanted = scratch.keep(asked.unionByName(held_sets), "rest-wanted")
-    rows = wanted.join(rest, "name").select("block", "salt", "role", "grp", "name", "n", "tokens")
-    links = scratch.keep(rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "role", "name").mapInArrow(_open_blocks(percent), "a long, b long"), "cross-links")
-    scratch.drop("rest-groups", "rest-placed", "rest-kin", "rest-named", "rest-first", "rest-held", "rest-queries", "rest-salts", "rest-wanted")
+    placed = rest.select("name", "grp", "n", (F.length("tokens") / 8).cast("long").alias("held")).join(many, "grp").join(homes, "name", "left")
+    kin = F.when(F.col("members") == 1, F.xxhash64(F.coalesce("home", "name"), F.lit(1))).otherwise(F.xxhash64("grp", F.lit(2)))
+    placed = scratch.keep(placed.select("name", "grp", "n", "held", kin.alias("kin")), "rest-placed")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_TOKENS))
+    kins = scratch.keep(placed.groupBy("kin").agg(F.count("*").alias("sets"), (F.min("grp") < F.max("grp")).alias("mixed"), blocks.alias("blocks")), "rest-kins")
+    named = scratch.keep(placed.join(kins, "kin").withColumn("at", F.pmod(F.xxhash64("name"), "blocks")), "rest-named")
+    asking = rest.mapInArrow(_first_tokens(percent, levels), "name long, token long").join(named.select("name", "n", "kin", "sets", "mixed"), "name")
+    asking = scratch.keep(asking, "rest-first")
+    columns = asking.groupBy("token", F.col("kin").alias("asked")).agg(F.first("sets").alias("asked_sets"), F.min("n").alias("least"), F.max("n").alias("most"))
+    columns = scratch.keep(columns, "rest-columns")
+    turn = "(struct(sets, kin) < struct(asked_sets, asked) or (mixed and kin = asked))"
+    met = asking.join(columns, "token").where(f"{turn} and 100 * most >= {percent} * n and 100 * n >= {percent} * least")
+    queries = scratch.keep(met.groupBy("name", "asked").agg(F.lit(1).alias("one")).select("name", F.col("asked").alias("kin")), "rest-queries")
+    own = named.select("name", "at", "held", F.col("kin").alias("own"))
+    opened = queries.join(kins.select("kin", "blocks"), "kin").join(own, "name")
+    opened = opened.withColumn("at", F.explode(F.sequence(F.when(F.col("kin") == F.col("own"), F.col("at")).otherwise(F.lit(0)), F.col("blocks") - 1)))
+    opened = scratch.keep(opened.select("name", "held", F.xxhash64("kin", "at").alias("block")), "rest-opened")
+    salts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_TOKENS)).cast("int")
+    salts = scratch.keep(opened.groupBy("block").agg(salts.alias("salts")), "rest-salts")
+    members = named.select("name", F.xxhash64("kin", "at").alias("block")).join(salts.select("block"), "block").join(rest, "name")
+    matrix = members.select("block", "grp", "name", "n", "tokens").repartition("block").sortWithinPartitions("block", "name").mapInArrow(_pack_blocks, "block long, matrix binary")
+    matrix = scratch.keep(matrix, "rest-matrix")
+    asked = opened.join(salts, "block").select("block", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), "name").join(rest, "name")
+    asked = asked.select("block", "salt", F.lit(1).alias("role"), "grp", "name", "n", "tokens")
+    held = matrix.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("name"), F.lit(0).cast("long").alias("n"), F.col("matrix").alias("tokens"))
+    rows = asked.unionByName(held).repartition("block", "salt").sortWithinPartitions("block", "salt", "role", "name")
+    links = scratch.keep(rows.mapInArrow(_open_blocks(percent), "a long, b long"), "cross-links")
+    scratch.drop(*(f"rest-{x}" for x in ("groups", "placed", "kins", "named", "first", "columns", "queries", "opened", "salts", "matrix")))
     return links
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, keys: int = 6) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = scratch.keep(_names(texts, width), "names")
+def _linked_sets(named: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int, keys: int) -> DataFrame:
+    """(name, root) of every set that links to another; root names its component."""
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(8 * total / PART_BYTES))
     packed = texts.select("text").mapInArrow(_scatter_texts(width, parts), PACKED)
     sets = scratch.keep(_shared_sets(packed, parts, percent), "sets")
     near, homes = _group_links(sets, scratch, percent, keys)
@@ -430,21 +501,59 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, ke
     rest = scratch.keep(_shared_sets(grouped.mapInArrow(_scatter_sets(parts), PACKED), parts, percent), "rest")
     across = _cross_links(rest, homes, scratch, percent)
     links = scratch.keep(near.unionByName(across), "links")
-    roots = connected_components(links, scratch)
+    roots = scratch.keep(connected_components(links, scratch).select(F.col("node").alias("name"), F.col("component").alias("root")), "roots")
     scratch.drop("sets", "homes", "grouped", "rest", "group-links", "cross-links", "links")
+    return roots
+
+
+def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 75, keys: int = 6) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = scratch.keep(_names(texts, width), "names")
+    roots = _linked_sets(named, texts, scratch, width, percent, keys)
     # From sets back to documents: only sets with copies or links need a look-up.
     firsts = scratch.keep(named.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "firsts")
-    joined = scratch.keep(firsts.join(roots.withColumnRenamed("node", "name"), "name", "left").where("copies > 1 or component is not null").select("name", "first", F.coalesce("component", "name").alias("root")), "joined")
+    joined = scratch.keep(firsts.join(roots, "name", "left").where("copies > 1 or root is not null").select("name", "first", F.coalesce("root", "name").alias("root")), "joined")
     least = scratch.keep(joined.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     found = scratch.keep(joined.join(least, "root").select("name", "component_id"), "found")
-    scratch.drop("firsts", "joined", "least")
+    scratch.drop("roots", "firsts", "joined", "least")
     keyed = named.withColumn("name", F.when(F.col("n_shingles") > 0, F.col("name")))
     return keyed.join(found, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_firsts(docs: DataFrame, **joining) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that link to a lesser doc_id."""
-    found = jaccard_components(docs, **joining)
-    later = found.where("component_id <> doc_id").select(F.col("doc_id").alias("later")).distinct()
-    later = Scratch(docs.sparkSession, "later-copies").keep(later, "ids")
-    return docs.join(later, F.col("doc_id").cast("long") == F.col("later"), "left_anti")
+def keep_firsts(docs: DataFrame, *, width: int = 5, percent: int = 75, keys: int = 6) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of linked texts.
+
+    The row with the least doc_id stays (null ids last, then by a hash of the row); of rows
+    equal in every column one stays.  Rows are told apart by all their columns, never by
+    doc_id alone, so another text under a copy's doc_id is kept.  Texts without words link
+    with nothing and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "first-copies")
+    h1, h2, keep, many = (_fresh(docs, x) for x in ("row_1", "row_2", "keep", "many"))
+    comparable = [F.to_json(F.struct(c)) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    keyed = docs.withColumns({h1: F.xxhash64(*comparable), h2: F.xxhash64(F.lit(1), *comparable)})
+    texts = keyed.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = scratch.keep(_names(texts, width), "names")
+    roots = _linked_sets(named, texts, scratch, width, percent, keys)
+    rows = named.where("n_shingles > 0").groupBy("name", "h1", "h2", "doc_id").agg(F.count("*").alias("many"))
+    rows = scratch.keep(rows.join(roots, "name", "left").select("h1", "h2", "doc_id", "many", F.coalesce("root", "name").alias("root")), "rows")
+    # The least row of each group, and how often it stands in the table.
+    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("first"), F.sum("many").alias("all")).where(F.col("all") > 1)
+    firsts = scratch.keep(firsts.select("root", F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2")), "firsts")
+    marks = rows.join(firsts, "root").select(F.col("h1").alias(h1), F.col("h2").alias(h2), ((F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).alias(keep), F.col("many").alias(many))
+    marks = scratch.keep(marks, "marks")
+    scratch.drop("names", "roots", "rows", "firsts")
+    left = keyed.join(marks, [h1, h2], "left").where(F.coalesce(F.col(keep), F.lit(True)))
+    once = left.where(F.coalesce(F.col(many), F.lit(1)) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = left.where(F.col(many) > 1).dropDuplicates([h1, h2]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return once.union(repeated)
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
