@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_FILE = 500_000
 PACKAGE_PARENT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -39,6 +40,11 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, in no more partitions than these rows are worth."""
+    return df.coalesce(1 + rows // ROWS_A_FILE)
+
+
 class Scratch:
     """Tables written by one operator call; ``drop`` removes those no longer read."""
 
@@ -49,8 +55,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-        """Write ``df`` once and return it as a table read back from storage."""
+    def keep(self, df: DataFrame, name: str, codec: str | None = None, rows: int | None = None) -> DataFrame:
+        """Write ``df`` once and return it as a table read back from storage.
+
+        ``rows`` bounds its rows where the caller knows them: a small table then comes in
+        few files instead of one a shuffle partition.
+        """
+        if rows is not None:
+            df = few(df, rows)
         writer = df.write.mode("overwrite")
         if codec:
             writer = writer.option("compression", codec)
