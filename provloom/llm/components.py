@@ -17,7 +17,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provloom.storage import Scratch
+from provloom.storage import Scratch, few
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -27,19 +27,20 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     edges = scratch.keep(edges.groupBy("low", "high").agg(F.lit(1).alias("one")).select("low", "high"), "cc-edges")
+    many = 2 * edges.count()  # nodes at most
     ends = edges.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("label")))
-    labels = scratch.keep(ends.groupBy("node").agg(F.min("label").alias("label")), "cc-0")
+    labels = scratch.keep(few(ends.groupBy("node").agg(F.min("label").alias("label")), many), "cc-0")
     for k in count(1):
         by_low = edges.join(labels.withColumnRenamed("node", "low"), "low").select(F.col("high").alias("node"), "label")
         by_high = edges.join(labels.withColumnRenamed("node", "high"), "high").select(F.col("low").alias("node"), "label")
         own = labels.withColumn("own", F.col("label"))
         heard = own.unionByName(by_low, allowMissingColumns=True).unionByName(by_high, allowMissingColumns=True)
-        heard = scratch.keep(heard.groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own")), f"cc-{k}-heard")
+        heard = scratch.keep(few(heard.groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own")), many), f"cc-{k}-heard")
         hooks = heard.where("label < own").select(F.col("own").alias("node"), "label")
-        hooked = scratch.keep(heard.select("node", "label").unionByName(hooks).groupBy("node").agg(F.min("label").alias("label")), f"cc-{k}-hooked")
+        hooked = scratch.keep(few(heard.select("node", "label").unionByName(hooks).groupBy("node").agg(F.min("label").alias("label")), many), f"cc-{k}-hooked")
         roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = hooked.join(roots, "label").select("node", F.col("root").alias("label"))
-        new = scratch.keep(jumped, f"cc-{k}")
+        new = scratch.keep(few(jumped, many), f"cc-{k}")
         moved = new.alias("n").join(labels.alias("o"), "node").where("n.label <> o.label").limit(1).count()
         scratch.drop(f"cc-{k}-heard", f"cc-{k}-hooked", f"cc-{k - 1}")
         labels = new

@@ -333,16 +333,17 @@ def _links(links: list) -> pa.RecordBatch:
 def _group_links(sets: DataFrame, scratch: Scratch, percent: int, keys: int) -> tuple[DataFrame, DataFrame]:
     """Exact links of sets that share a min-hash key, around pivots; and each set's best pivot."""
     hashed = scratch.keep(sets.mapInArrow(_min_hashes(keys), "name long, share double, keys array<long>").select("name", "share", F.explode("keys").alias("key")), "keys")
+    many = hashed.count()
     # The pivot is the set with the fewest tokens of its own: what the others are copies of.
     pivots = hashed.groupBy("key").agg(F.max(F.struct("share", "name")).alias("best"), F.count("*").alias("many")).where("many > 1")
-    pivots = scratch.keep(pivots.select("key", F.col("best.share").alias("pivot_share"), F.col("best.name").alias("pivot")), "pivots")
+    pivots = scratch.keep(pivots.select("key", F.col("best.share").alias("pivot_share"), F.col("best.name").alias("pivot")), "pivots", rows=many)
     met = hashed.join(pivots, "key")
-    homes = scratch.keep(met.groupBy("name").agg(F.max(F.struct("pivot_share", "pivot")).alias("best")).select("name", F.col("best.pivot").alias("home")), "homes")
-    pairs = scratch.keep(met.where("name <> pivot").groupBy("pivot", "name").agg(F.lit(1).alias("one")).select("pivot", "name"), "pairs")
-    salts = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts")), "salts")
+    homes = scratch.keep(met.groupBy("name").agg(F.max(F.struct("pivot_share", "pivot")).alias("best")).select("name", F.col("best.pivot").alias("home")), "homes", rows=many)
+    pairs = scratch.keep(met.where("name <> pivot").groupBy("pivot", "name").agg(F.lit(1).alias("one")).select("pivot", "name"), "pairs", rows=many)
+    salts = scratch.keep(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts")), "salts", rows=many)
     members = pairs.join(salts, "pivot").select("pivot", "name", F.pmod(F.xxhash64("name"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     leads = salts.select("pivot", F.col("pivot").alias("name"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = scratch.keep(members.unionByName(leads), "wanted")
+    wanted = scratch.keep(members.unionByName(leads), "wanted", rows=many)
     rows = wanted.join(sets.select("name", "n", "tokens"), "name").select("pivot", "salt", "role", "name", "n", "tokens")
     links = scratch.keep(rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "name").mapInArrow(_around_pivots(percent), "a long, b long"), "group-links")
     scratch.drop("keys", "pivots", "pairs", "salts", "wanted")
@@ -456,13 +457,14 @@ def _cross_links(rest: DataFrame, homes: DataFrame, scratch: Scratch, percent: i
     """
     spark = rest.sparkSession
     levels = spark.sparkContext.broadcast(_levels(rest))
-    many = scratch.keep(rest.groupBy("grp").agg(F.count("*").alias("members")), "rest-groups")
-    placed = rest.select("name", "grp", "n", (F.length("tokens") / 8).cast("long").alias("held")).join(many, "grp").join(homes, "name", "left")
+    total = rest.count()
+    groups = scratch.keep(rest.groupBy("grp").agg(F.count("*").alias("members")), "rest-groups", rows=total)
+    placed = rest.select("name", "grp", "n", (F.length("tokens") / 8).cast("long").alias("held")).join(groups, "grp").join(homes, "name", "left")
     kin = F.when(F.col("members") == 1, F.xxhash64(F.coalesce("home", "name"), F.lit(1))).otherwise(F.xxhash64("grp", F.lit(2)))
-    placed = scratch.keep(placed.select("name", "grp", "n", "held", kin.alias("kin")), "rest-placed")
+    placed = scratch.keep(placed.select("name", "grp", "n", "held", kin.alias("kin")), "rest-placed", rows=total)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_TOKENS))
-    kins = scratch.keep(placed.groupBy("kin").agg(F.count("*").alias("sets"), (F.min("grp") < F.max("grp")).alias("mixed"), blocks.alias("blocks")), "rest-kins")
-    named = scratch.keep(placed.join(kins, "kin").withColumn("at", F.pmod(F.xxhash64("name"), "blocks")), "rest-named")
+    kins = scratch.keep(placed.groupBy("kin").agg(F.count("*").alias("sets"), (F.min("grp") < F.max("grp")).alias("mixed"), blocks.alias("blocks")), "rest-kins", rows=total)
+    named = scratch.keep(placed.join(kins, "kin").withColumn("at", F.pmod(F.xxhash64("name"), "blocks")), "rest-named", rows=total)
     asking = rest.mapInArrow(_first_tokens(percent, levels), "name long, token long").join(named.select("name", "n", "kin", "sets", "mixed"), "name")
     asking = scratch.keep(asking, "rest-first")
     columns = asking.groupBy("token", F.col("kin").alias("asked")).agg(F.first("sets").alias("asked_sets"), F.min("n").alias("least"), F.max("n").alias("most"))
