@@ -1,298 +1,58 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A text is its words, lower-cased (A-Z), and one end.  Words that make up ``heavy_share`` of
-the training tokens (so ``1 / heavy_share`` at most) are symbols of their own, all others
-share the symbol REST, within which they keep their root probabilities.  The root gives
-unseen words, as one class, the mass of the words seen once (Good-Turing) and the others
-add-one shares of what is left.  Contexts are the last symbols of the text, ``depth`` at
-most.  A context is a candidate if it makes up ``min_share`` of all positions, and becomes
-a state if its next-symbol distribution diverges from its suffix's: by ``min_gain`` nats
-of leave-one-out likelihood over its occurrences; suffixes of states are states.  A
-state's distribution is smoothed by its suffix's (weight: the number of its distinct next
-symbols) down to the root, and each symbol is scored by the longest state that ends what
-precedes it.
-
-Word counts are taken over all training documents.  The tree is fitted in two passes:
-contexts frequent in some partition (a frequent one must be), then exact counts of those.
-It has ``depth / min_share`` states at most, so it can be broadcast.  All rarer words meet
-their counts in partitions by word, packed, and return sums by text.
+A text is its words, lower-cased (A-Z), and one end; every word is a symbol.  The root
+gives unseen words, as one class, the mass of the words seen once (Good-Turing) and the
+others add-one shares of what is left.  Contexts are the last 1 to ``depth`` symbols of
+the text, its opening included.  A context is a candidate if training texts hold it
+``min_count`` times, at every size of corpus, and becomes a state if its next-symbol
+distribution diverges from that of the longest state that is its suffix: by ``min_gain``
+nats of leave-one-out likelihood over its occurrences.  A state's distribution is smoothed
+by that suffix state's (``weight`` occurrences of it), down to the root, and each symbol is
+scored by the longest state that ends what precedes it.
+
+The tree is never gathered: counts and states lie in partitions by hash.  Texts are kept in
+packed blocks, dealt to partitions once.  Level by level a block asks for the totals of its
+distinct words, then of its n-grams whose context is a candidate, and of its contexts'
+gains; each ask is one sorted array per target partition, each answer an array in the same
+order.  So a word, pair or passage that is in a third of all texts is asked for once a
+block, tasks hold blocks and hash partitions of bounded size, and what is learned grows
+with the corpus.
 
 Defined cases: null and empty texts are the end alone; without training documents all
 counts are 0 and every token has probability one half; null or repeated doc_ids are carried
-row by row (a null is not held out and is not learned from); whole texts are read; an
-empty table gives no rows; other columns of the input are neither read nor returned.
+row by row (a null is not held out and is not learned from); whole texts are read, a very
+long one is a block of its own; an empty table gives no rows; other columns of the input
+are neither read nor returned.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, pack_arrays, ragged, segment_sums, text_blocks, texts_of, unpack_arrays, window_hashes, word_hashes
+from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, pack_arrays, ragged, release_memory, segment_sums, text_blocks, texts_of, unpack_arrays, window_hashes, word_hashes
 from provloom.storage import Scratch
 
-OPEN, REST, END = 0xFFFFFFF1, 0xFFFFFFF2, 0xFFFFFFF3
-ROOT = U64(0x524F4F54)
-MAX_CANDIDATES = 2_000_000
-PACKED = "part int, kind int, packed binary"
-
-
-# Word counts
-
-
-def _count_words(mod: int, held: int):
-    def run(batches):
-        parts, rows = [], 0
-        for batch in text_blocks(batches):
-            words, codes, sizes = coded_words(pc.ascii_lower(texts_of(batch)))
-            remainder = crc_bucket(batch.column("doc_id"), mod)
-            learned = np.repeat((remainder != held) & (remainder >= 0), sizes)
-            n = np.bincount(codes[learned], minlength=len(words))
-            parts.append(pa.table({"word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())}))
-            rows += len(words)
-            if rows > 400_000:
-                yield from _sums(parts)
-                parts, rows = [], 0
-        if parts:
-            yield from _sums(parts)
-
-    return run
-
-
-def _sums(parts: list) -> list[pa.RecordBatch]:
-    got = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
-    return pa.table({"word": got["word"], "n": got["n_sum"]}).to_batches(max_chunksize=50_000)
-
-
-# The tree
-
-
-def _symbols(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """OPEN, symbols, END of every text, and how many each text has."""
-    longer = sizes + 2
-    out = np.full(int(longer.sum()), END, np.uint32)
-    first = offsets(longer)[:-1]
-    out[first] = OPEN
-    out[ragged(first + 1, sizes)] = codes
-    return out, longer
-
-
-def _sequences(shared, mod: int, held: int):
-    """The symbols of the training texts, packed by block."""
-
-    def run(batches):
-        heavy = shared.value
-        for batch in text_blocks(batches):
-            words, codes, sizes = coded_words(pc.ascii_lower(texts_of(batch)))
-            remainder = crc_bucket(batch.column("doc_id"), mod)
-            learned = (remainder != held) & (remainder >= 0)
-            own = _symbol_of(heavy, words)[codes[np.repeat(learned, sizes)]]
-            symbols, longer = _symbols(own, sizes[learned])
-            yield pa.RecordBatch.from_arrays([pa.array([pack_arrays(symbols, longer)], pa.binary())], names=["packed"])
-
-    return run
-
-
-def _symbol_of(heavy: np.ndarray, words: list[str]) -> np.ndarray:
-    """A heavy word's place in the sorted table, or REST."""
-    at = _lookup(heavy, word_hashes(words))
-    return np.where(at >= 0, at, REST).astype(np.uint32)
-
-
-def _contexts(symbols: np.ndarray, sizes: np.ndarray, depth: int):
-    """For each length d: positions with d symbols before them in their text, and their hash."""
-    first = np.repeat(offsets(sizes)[:-1], sizes)
-    since = np.arange(len(symbols)) - first
-    salted = mix(symbols.astype(U64))
-    after = np.flatnonzero(since >= 1)  # every symbol but OPEN is predicted
-    yield 0, after, np.full(len(after), ROOT)
-    for d in range(1, depth + 1):
-        at = np.flatnonzero(since >= d)
-        if not len(at):
-            return
-        yield d, at, window_hashes(salted, d)[at - d]
-
-
-def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context ^ mix(symbol.astype(U64) + U64(1)))
-
-
-def _unpacked(batches):
-    for batch in batches:
-        for raw in batch.column("packed").to_pylist():
-            symbols, sizes = unpack_arrays(raw)
-            yield symbols, sizes
-
-
-def _grouped(keys: list[np.ndarray], weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums of ``weight`` per distinct first key (the other keys follow from it)."""
-    weight = np.ones(len(keys[0]), np.int64) if weight is None else weight
-    order = np.argsort(keys[0], kind="stable")
-    starts = np.flatnonzero(np.append(True, keys[0][order][1:] != keys[0][order][:-1])) if len(order) else np.zeros(0, np.int64)
-    return [k[order][starts] for k in keys], np.add.reduceat(weight[order], starts) if len(starts) else weight
-
-
-def _frequent_here(depth: int, share: float):
-    def run(batches):
-        found: list = []
-        total = 0
-        for symbols, sizes in _unpacked(batches):
-            for d, at, context in _contexts(symbols, sizes, depth):
-                if d:
-                    found.append(_grouped([context]))
-                else:
-                    total += len(at)
-            if len(found) > 6 * depth:
-                found = [_grouped([np.concatenate([f[0][0] for f in found])], np.concatenate([f[1] for f in found]))]
-        if found:
-            (context,), n = _grouped([np.concatenate([f[0][0] for f in found])], np.concatenate([f[1] for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(context[n >= share * total].view(np.int64))], names=["context"])
-
-    return run
-
-
-COUNTED = ("d", "context", "suffix", "next")
-
-
-def _count_pairs(depth: int, wanted):
-    """Exact counts of (context, next symbol); wanted: broadcast contexts, or None for all."""
-
-    def run(batches):
-        held, rows = [], 0
-        for symbols, sizes in _unpacked(batches):
-            at_before = before = None
-            for d, at, context in _contexts(symbols, sizes, depth):
-                suffix = np.full(len(at), ROOT) if d < 2 else before[np.searchsorted(at_before, at)]
-                at_before, before = at, context
-                use = np.flatnonzero(_lookup(wanted.value, context) >= 0) if d and wanted is not None else np.arange(len(at))
-                if len(use):
-                    nexts = symbols[at[use]]
-                    (_, c, s, x), n = _grouped([_pair(context[use], nexts), context[use], suffix[use], nexts])
-                    held.append(pa.table({"d": np.full(len(c), d, np.int32), "context": c.view(np.int64), "suffix": s.view(np.int64), "next": x.astype(np.int64), "n": n}))
-                    rows += len(c)
-            if rows > 1_000_000:
-                yield from _pair_sums(held)
-                held, rows = [], 0
-        if held:
-            yield from _pair_sums(held)
-
-    return run
-
-
-def _pair_sums(held: list) -> list[pa.RecordBatch]:
-    got = pa.concat_tables(held).group_by(list(COUNTED)).aggregate([("n", "sum")])
-    return pa.table({**{c: got[c] for c in COUNTED}, "n": got["n_sum"]}).to_batches(max_chunksize=50_000)
-
-
-@dataclass
-class SuffixTree:
-    """States by context hash with occurrences and distinct next symbols; counts by pair hash."""
-
-    depth: int
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
-    totals: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def log10(self, symbols: np.ndarray, sizes: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of each text's symbols after its OPEN; root: of each symbol."""
-        p = root.copy()
-        going = np.ones(len(symbols), bool)  # a longer state exists only below a state
-        for d, at, context in _contexts(symbols, sizes, self.depth):
-            if not d:
-                continue
-            keep = going[at]
-            at, context = at[keep], context[keep]
-            state = _lookup(self.contexts, context)
-            hit = state >= 0
-            at, context, state = at[hit], context[hit], state[hit]
-            going[:] = False
-            going[at] = True
-            if not len(at):
-                break
-            pair = _lookup(self.pairs, _pair(context, symbols[at]))
-            seen = np.where(pair >= 0, self.counts[np.maximum(pair, 0)], 0.0)
-            p[at] = (seen + self.kinds[state] * p[at]) / (self.totals[state] + self.kinds[state])
-        value = np.log10(p)
-        value[offsets(sizes)[:-1]] = 0
-        return segment_sums(value, sizes)
-
-
-def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-def _packed_pairs(batches):
-    for batch in batches:
-        context, nexts, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "next", "n"))
-        yield pa.RecordBatch.from_arrays([pa.array([pack_arrays(_pair(context.view(U64), nexts), n)], pa.binary())], names=["packed"])
-
-
-def fit_tree(sequences: DataFrame, scratch: Scratch, *, depth: int = 4, min_share: float = 1e-5, min_gain: float = 8.0) -> SuffixTree:
-    """Count contexts and next symbols, test each context's divergence, keep the states."""
-    spark = sequences.sparkSession
-    near = sequences.mapInArrow(_frequent_here(depth, min_share), "context long").groupBy("context").agg(F.lit(1).alias("one")).select("context")
-    near = scratch.keep(near, "candidates")
-    wanted = None
-    if near.count() <= MAX_CANDIDATES:
-        known = np.sort(np.array([r["context"] for r in near.toLocalIterator()], np.int64).view(U64))
-        wanted = spark.sparkContext.broadcast(known)
-    pairs = sequences.mapInArrow(_count_pairs(depth, wanted), "d int, context long, suffix long, next long, n long")
-    if wanted is None:  # too many to send: each pair meets its candidate in a join
-        pairs = pairs.where("d = 0").unionByName(pairs.where("d > 0").join(near, "context", "left_semi"))
-    pairs = scratch.keep(pairs.groupBy(*COUNTED).agg(F.sum("n").alias("n")), "pairs")
-    # Exact counts decide: at most depth / min_share contexts, which may be broadcast.
-    totals = pairs.groupBy("d", "context", "suffix").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    whole = pairs.where("d = 0").agg(F.sum("n")).first()[0] or 0
-    totals = scratch.keep(totals.where(F.col("total") >= min_share * whole), "totals")
-    own = F.broadcast(totals.select("context", "total", "kinds"))
-    above = F.broadcast(totals.select(F.col("context").alias("suffix"), F.col("total").alias("above")))
-    before = pairs.select(F.col("context").alias("suffix"), "next", F.col("n").alias("before"))
-    p = F.col("before") / F.col("above")
-    # Likelihood of every occurrence under the state's smoothed counts of all others.
-    left_out = (F.col("n") - 1 + F.col("kinds") * p) / (F.col("total") - 1 + F.col("kinds")) / p
-    tested = pairs.where("d > 0").join(own, "context").join(before, ["suffix", "next"]).join(above, "suffix")
-    gains = tested.groupBy("d", "context", "suffix").agg(F.sum(F.col("n") * F.log(left_out)).alias("gain"))
-    found = scratch.keep(gains, "gains").collect()
-    states = {r["context"] for r in found if r["gain"] >= min_gain}
-    for r in sorted(found, key=lambda r: -r["d"]):
-        if r["context"] in states and r["d"] > 1:
-            states.add(r["suffix"])
-    chosen = F.broadcast(spark.createDataFrame([(c,) for c in sorted(states)], "context long"))
-    tree = SuffixTree(depth)
-    rows = totals.join(chosen, "context").select("context", "total", "kinds").toPandas()
-    order = np.argsort(rows["context"].to_numpy(np.int64).view(U64))
-    tree.contexts = rows["context"].to_numpy(np.int64).view(U64)[order]
-    tree.totals, tree.kinds = rows["total"].to_numpy(float)[order], rows["kinds"].to_numpy(float)[order]
-    found = [unpack_arrays(r["packed"]) for r in pairs.join(chosen, "context").select("context", "next", "n").mapInArrow(_packed_pairs, "packed binary").toLocalIterator()]
-    pair, n = (np.concatenate(x) for x in zip(*found)) if found else (tree.pairs, tree.counts)
-    order = np.argsort(pair)
-    tree.pairs, tree.counts = pair[order], n[order].astype(np.float32)
-    scratch.drop("candidates", "pairs", "totals", "gains")
-    return tree
-
-
-# Scores
+OPEN, END = U64(0x4F50454E), U64(0x454E44)
+ENTRIES_A_PART = 2_000_000
+BLOCKS_A_PART = 2
+ASKED = "block long, kind int, part int, packed binary"
 
 
 @dataclass
 class Root:
     """Word probabilities without context, and the base scores."""
 
-    tokens: int
-    distinct: int
-    once: int
-    ends: int
+    tokens: int = 0
+    distinct: int = 0
+    once: int = 0
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1.0) / (self.tokens + self.distinct + 1))
@@ -306,146 +66,196 @@ class Root:
         return np.where(n > 0, (1 - u) * (n + 1.0) / max(1, self.tokens + self.distinct), u)
 
 
-def _place(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-
-
-def _out(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "kind", "packed"])
+@dataclass(frozen=True)
+class TreeRules:
+    depth: int = 4
+    min_count: int = 4
+    min_gain: float = 8.0
+    weight: float = 2.0
 
 
-def _slices(part: np.ndarray):
-    """(partition, its places) for an array of partition numbers."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
-        yield int(part[order[a]]), order[a:b]
+def _pack_texts(mod: int, held: int):
+    """Blocks of texts: ids, whether held out and learned from, and words as codes into hashes."""
 
-
-def _send_words(parts: int):
     def run(batches):
-        for batch in batches:
-            h, n = word_hashes(batch.column("word").to_numpy(zero_copy_only=False).tolist()), batch.column("n").to_numpy(zero_copy_only=False)
-            rows = [(k, 0, pack_arrays(h[at], n[at])) for k, at in _slices(_place(h, parts))]
-            if rows:
-                yield _out(rows)
+        block = TaskContext.get().partitionId() << 32
+        for batch in text_blocks(batches):
+            words, codes, sizes = coded_words(pc.ascii_lower(texts_of(batch)))
+            ids = batch.column("doc_id")
+            remainder = crc_bucket(ids, mod)
+            flags = (remainder == held) + 2 * ((remainder != held) & (remainder >= 0)) + 4 * ids.is_null().to_numpy(zero_copy_only=False)
+            packed = pack_arrays(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), flags.astype("u1"), sizes.astype("<u4"), codes.astype("<u2" if len(words) < 65536 else "<u4"), word_hashes(words))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(codes) + len(sizes)]), pa.array([packed], pa.binary())], names=["block", "tokens", "texts"])
+            block += 1
 
     return run
 
 
-def _send_texts(parts: int, shared, mod: int, held: int):
-    """Per text: sums over heavy words and the end (kind 2), and its other words (kind 1)."""
+class Block:
+    """The symbols of a block's texts; ``advance`` applies answers and asks for what is next."""
+
+    def __init__(self, raw: bytes):
+        self.ids, flags, sizes, codes, hashes = unpack_arrays(raw)
+        self.held, self.learned, self.null = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
+        sizes = sizes.astype(np.int64)
+        self.sizes = sizes + 2
+        first = offsets(self.sizes)
+        self.symbols = np.full(first[-1], len(hashes) + 1, np.int64)
+        self.symbols[first[:-1]] = len(hashes)
+        self.symbols[ragged(first[:-1] + 1, sizes)] = codes
+        self.keys = np.append(hashes, [OPEN, END])
+        self.salted = mix(self.keys)[self.symbols]
+        self.since = np.arange(first[-1]) - np.repeat(first[:-1], self.sizes)
+        self.taught = np.repeat(self.learned, self.sizes)
+
+    def grams(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct n-grams that end at ``at``, and which of them each position has."""
+        return np.unique(window_hashes(self.salted, n)[at - n + 1], return_inverse=True)
+
+    def advance(self, answers: dict[int, np.ndarray], root: Root | None, rules: TreeRules):
+        """(asks by kind, p of each symbol, word counts); kinds: 2d counts of level d, 2d + 1 its gains."""
+        words = np.unique(np.delete(self.keys, -2))  # all symbols but OPEN
+        if 0 not in answers:
+            own = np.bincount(self.symbols[self.taught], minlength=len(self.keys))
+            n = np.zeros(len(words))
+            n[np.searchsorted(words, np.delete(self.keys, -2))] = np.delete(own, -2)
+            return {0: (words, n)}, None, None
+        counts = np.zeros(len(self.keys))
+        place = np.searchsorted(words, np.delete(self.keys, -2))
+        counts[[*range(len(self.keys) - 2), len(self.keys) - 1]] = answers[0][place]
+        p = root.word(counts)[self.symbols]
+        counts[-2] = counts[-1]  # a text that is learned from opens and ends once
+        before, asks = counts[self.symbols], {}
+        for d in range(1, rules.depth + 1):
+            total = np.append(0.0, before[:-1])
+            at = np.flatnonzero((self.since >= d) & (total >= rules.min_count))
+            if not len(at):
+                break
+            grams, which = self.grams(at, d + 1)
+            if 2 * d not in answers:
+                asks[2 * d] = (grams, np.bincount(which, self.taught[at], len(grams)))
+                break
+            n, total, lower = answers[2 * d][which], total[at], p[at]
+            contexts, context = self.grams(at - 1, d)
+            if 2 * d + 1 not in answers:
+                use = self.taught[at]
+                gain = np.log((n[use] - 1 + rules.weight * lower[use]) / (total[use] - 1 + rules.weight) / lower[use])
+                asks[2 * d + 1] = (contexts, np.bincount(context[use], gain, len(contexts)))
+            else:
+                state = answers[2 * d + 1][context] >= rules.min_gain
+                p[at[state]] = ((n + rules.weight * lower) / (total + rules.weight))[state]
+            before = np.zeros(len(before))
+            before[at] = n
+        return asks, p, counts
+
+    def scores(self, p: np.ndarray, counts: np.ndarray, root: Root) -> pa.RecordBatch:
+        said = self.since > 0  # all but OPEN
+        sums = lambda x: segment_sums(np.where(said, x, 0), self.sizes)
+        n = counts[self.symbols]
+        columns = [pa.array(self.ids, pa.int64(), mask=self.null), pa.array(self.held), pa.array(self.sizes - 1), pa.array(sums((n > 0).astype(np.int64))), pa.array(sums(root.base(n))), pa.array(sums(np.log10(p)))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _place(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Target partition of each key; rises with the key."""
+    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
+def _asks(block: int, asks: dict, parts: int):
+    for kind, (keys, values) in asks.items():
+        part = _place(keys, parts)
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        kept = "<u4" if kind % 2 == 0 else "<f8"
+        rows = [(block, kind, int(part[a]), pack_arrays(keys[a:b], values[a:b].astype(kept))) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "part", "packed"])
+
+
+def _totals(batches):
+    """Totals of every key of this partition, to each block in the order of its ask.
+
+    Also, as a row of block -1, the sum of the words' totals, and how many are over 0 and 1.
+    """
+    kinds: dict[int, list] = {}
+    for batch in batches:
+        for block, kind, part, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "packed"))):
+            kinds.setdefault(kind, []).append((block, part, *unpack_arrays(raw)))
+    for kind in sorted(kinds):
+        asked = kinds.pop(kind)
+        keys, which = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+        total = np.bincount(which, np.concatenate([a[3] for a in asked]), len(keys))
+        rows = [(-1, kind, asked[0][1], pack_arrays(np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])))]
+        at = 0
+        for block, part, own, _ in asked:
+            answer = total[which[at : at + len(own)]]
+            rows.append((block, kind, part, pack_arrays(answer.astype("<u4" if kind % 2 == 0 and (not len(own) or answer.max() < 2**32) else "<f8"))))
+            at += len(own)
+        del asked, keys, which, total
+        for k in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "part", "packed"])
+    release_memory()
+
+
+def _blocks_with_answers(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            answers: dict[int, list] = {}
+            for a in sorted(batch.column("answers")[k].as_py() or [], key=lambda a: (a["kind"], a["part"])):
+                answers.setdefault(a["kind"], []).append(unpack_arrays(a["packed"])[0].astype(float))
+            yield batch.column("block")[k].as_py(), Block(batch.column("texts")[k].as_py()), {kind: np.concatenate(x) for kind, x in answers.items()}
+            release_memory()
+
 
+def _ask_next(root: Root | None, rules: TreeRules, parts: int):
     def run(batches):
-        heavy, heavy_n, root, tree = shared.value
-        heavy_base, heavy_p = root.base(heavy_n), root.word(heavy_n)
-        p_end = root.word(np.array([root.ends]))
-        p_rest = max(1e-12, 1 - heavy_p.sum() - p_end[0]) if root.tokens else 0.5
-        of_symbol = np.concatenate([heavy_p, [p_rest], p_end])  # then REST, then END
-        row = TaskContext.get().partitionId() << 36
-        for batch in text_blocks(batches):
-            words, codes, sizes = coded_words(pc.ascii_lower(texts_of(batch)))
-            docs = len(sizes)
-            entry, tf = np.unique(np.repeat(np.arange(docs), sizes) * max(1, len(words)) + codes, return_counts=True)
-            doc, code = np.divmod(entry, max(1, len(words)))
-            hashes = word_hashes(words)[code] if words else np.zeros(0, U64)
-            at = _lookup(heavy, hashes)
-            hit = at >= 0
-            base = np.bincount(doc[hit], tf[hit] * heavy_base[at[hit]], docs) + root.base(np.array([root.ends]))
-            known = np.bincount(doc[hit], tf[hit], docs).astype(np.int64) + (root.ends > 0)
-            symbols, longer = _symbols(_symbol_of(heavy, words)[codes], sizes)
-            order = np.where(symbols < len(heavy), symbols, np.where(symbols == REST, len(heavy), len(heavy) + 1))
-            model = tree.log10(symbols, longer, of_symbol[order])
-            model -= np.bincount(doc[~hit], tf[~hit], docs) * np.log10(p_rest)  # rarer words bring their own
-            rows_ = (np.arange(docs) + row).astype(U64)
-            row += docs
-            ids = batch.column("doc_id")
-            plain, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-            out_ = crc_bucket(ids, mod) == held
-            rows = [(k, 2, pack_arrays(rows_[a], plain[a], null[a].astype("u1"), out_[a].astype("u1"), sizes[a] + 1, known[a], base[a], model[a])) for k, a in _slices((rows_ % U64(parts)).astype(np.int64))]
-            doc, tf, hashes = doc[~hit], tf[~hit], hashes[~hit]
-            for k, a in _slices(_place(hashes, parts)):
-                own, counts = np.unique(doc[a], return_counts=True)
-                rows.append((k, 1, pack_arrays(rows_[own], counts.astype("<u4"), hashes[a], tf[a].astype("<u4"))))
-            for k in range(0, len(rows), 32):
-                yield _out(rows[k : k + 32])
+        for number, block, answers in _blocks_with_answers(batches):
+            yield from _asks(number, block.advance(answers, root, rules)[0], parts)
 
     return run
 
 
-def _answer(parts: int, shared):
-    """Sums over the words of this partition, by text, back to the texts' partitions."""
-
+def _score(root: Root, rules: TreeRules):
     def run(batches):
-        root = shared.value[2]
-        kinds: dict[int, list] = {0: [], 1: []}
-        for batch in batches:
-            for part, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "packed"))):
-                if kind == 2:
-                    yield _out([(part, 2, raw)])
-                else:
-                    kinds[kind].append(unpack_arrays(raw))
-        if not kinds[1]:
-            return
-        h, n = (np.concatenate(x) for x in zip(*kinds[0]))
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        rows, counts, hashes, tf = (np.concatenate(x) for x in zip(*kinds[1]))
-        at = np.searchsorted(h, hashes)
-        counts = counts.astype(np.int64)
-        base = segment_sums(tf * root.base(n[at]), counts)
-        model = segment_sums(tf * np.log10(root.word(n[at])), counts)
-        known = segment_sums(tf.astype(np.int64) * (n[at] > 0), counts)
-        out = [(k, 3, pack_arrays(rows[a], known[a], base[a], model[a])) for k, a in _slices((rows % U64(parts)).astype(np.int64))]
-        for k in range(0, len(out), 32):
-            yield _out(out[k : k + 32])
+        for _, block, answers in _blocks_with_answers(batches):
+            yield block.scores(*block.advance(answers, root, rules)[1:], root)
 
     return run
 
 
-def _collect(batches):
-    texts, sums = [], []
-    for batch in batches:
-        for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("packed").to_pylist()):
-            (texts if kind == 2 else sums).append(unpack_arrays(raw))
-    if not texts:
-        return
-    rows, ids, null, held, size, known, base, model = (np.concatenate(x) for x in zip(*texts))
-    order = np.argsort(rows)
-    rows, ids, null, held, size, known, base, model = (x[order].copy() for x in (rows, ids, null, held, size, known, base, model))
-    if sums:
-        own, k, b, m = (np.concatenate(x) for x in zip(*sums))
-        at = np.searchsorted(rows, own)
-        known += np.bincount(at, k, len(rows)).astype(np.int64)
-        base += np.bincount(at, b, len(rows))
-        model += np.bincount(at, m, len(rows))
-    for a in range(0, len(rows), 10_000):
-        s = slice(a, a + 10_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64(), mask=null[s].astype(bool)), pa.array(held[s].astype(bool)), pa.array(size[s]), pa.array(known[s]), pa.array(base[s]), pa.array(model[s])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-
-def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, heavy_share: float = 2e-5, **tree) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    Learns from the rows whose crc32 of doc_id modulo ``mod`` is not ``held``; ``tree``: the
+    fields of TreeRules.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rules = TreeRules(**tree)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = texts.mapInArrow(_count_words(mod, held), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = scratch.keep(words, "words")
-    ends = texts.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod) != held).count()
-    found = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
-    root = Root((found["n"] or 0) + ends, found["v"] + (ends > 0), found["once"], ends)
-    is_heavy = F.col("n") > heavy_share * root.tokens
-    heavy = words.where(is_heavy).collect()  # 1 / heavy_share words at most
-    table = word_hashes([r["word"] for r in heavy])
-    order = np.argsort(table)
-    table, many = table[order], np.array([r["n"] for r in heavy], np.int64)[order]
-    sequences = scratch.keep(texts.mapInArrow(_sequences(spark.sparkContext.broadcast(table), mod, held), "packed binary"), "sequences", codec="zstd")
-    model = fit_tree(sequences, scratch, **tree)
-    scratch.drop("sequences")
-    shared = spark.sparkContext.broadcast((table, many, root, model))
-    rest = words.where(~is_heavy)
-    sent = rest.mapInArrow(_send_words(parts), PACKED).unionByName(texts.mapInArrow(_send_texts(parts, shared, mod, held), PACKED))
-    answered = sent.repartitionById(parts, "part").mapInArrow(_answer(parts, shared), PACKED)
-    sums = answered.repartitionById(parts, "part").mapInArrow(_collect, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    written = scratch.keep(texts.mapInArrow(_pack_texts(mod, held), "block long, tokens long, texts binary"), "texts", codec="zstd")
+    size = written.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("blocks")).first()
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, places = max(at_least, math.ceil(size["tokens"] / ENTRIES_A_PART)), max(at_least, math.ceil(size["blocks"] / BLOCKS_A_PART))
+    blocks = written.repartition(places, "block").persist(StorageLevel.DISK_ONLY)
+
+    def with_answers(tables: list[DataFrame]) -> DataFrame:
+        if not tables:
+            return blocks.select("block", "texts", F.array().cast("array<struct<kind:int,part:int,packed:binary>>").alias("answers"))
+        found = tables[0]
+        for more in tables[1:]:
+            found = found.unionByName(more)
+        found = found.where("block >= 0").repartition(places, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "packed")).alias("answers"))
+        return blocks.select("block", "texts").join(found, "block")  # every block asks for its END
+
+    answers, root = [], None
+    for step in range(rules.depth + 2):
+        asks = with_answers(answers).mapInArrow(_ask_next(root, rules, parts), ASKED)
+        answers.append(scratch.keep(asks.repartitionById(parts, "part").mapInArrow(_totals, ASKED), f"answers-{step}", codec="zstd"))
+        if root is None:  # three numbers a partition
+            sums = [unpack_arrays(r["packed"])[0] for r in answers[0].where("block < 0").select("packed").toLocalIterator()]
+            root = Root(*(int(x) for x in np.sum(sums, 0))) if sums else Root()
+    scores = with_answers(answers).mapInArrow(_score(root, rules), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = scratch.keep(scores, "scores")
+    blocks.unpersist()
+    scratch.drop("texts", *(f"answers-{step}" for step in range(rules.depth + 2)))
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")
