@@ -7,6 +7,7 @@ JVM (tests, notebooks) is a temporary folder created instead.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -45,6 +46,12 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(1 + rows // ROWS_A_FILE)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, as it does once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written by one operator call; ``drop`` removes those no longer read."""
 
