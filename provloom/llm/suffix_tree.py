@@ -16,7 +16,8 @@ distinct words, then of its n-grams whose context is a candidate, and of its con
 gains; each ask is one sorted array per target partition, each answer an array in the same
 order.  So a word, pair or passage that is in a third of all texts is asked for once a
 block, tasks hold blocks and hash partitions of bounded size, and what is learned grows
-with the corpus.
+with the corpus.  Words are told apart by 64 bits of hash, n-grams by as many as give one
+in ``2 ** SPARE_BITS`` of them the bits of another.
 
 Defined cases: null and empty texts are the end alone; without training documents all
 counts are 0 and every token has probability one half; null or repeated doc_ids are carried
@@ -37,12 +38,13 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, pack_arrays, ragged, release_memory, segment_sums, text_blocks, texts_of, unpack_arrays, window_hashes, word_hashes
-from provloom.storage import Scratch
+from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, ragged, release_memory, segment_sums, squeeze_arrays, text_blocks, texts_of, unsqueeze_arrays, window_hashes, word_hashes
+from provloom.storage import Scratch, release_shuffles
 
 OPEN, END = U64(0x4F50454E), U64(0x454E44)
 ENTRIES_A_PART = 2_000_000
-BLOCKS_A_PART = 2
+CHARS_A_PLACE = 16 << 20
+SPARE_BITS = 14
 ASKED = "block long, kind int, part int, packed binary"
 
 
@@ -84,8 +86,11 @@ def _pack_texts(mod: int, held: int):
             ids = batch.column("doc_id")
             remainder = crc_bucket(ids, mod)
             flags = (remainder == held) + 2 * ((remainder != held) & (remainder >= 0)) + 4 * ids.is_null().to_numpy(zero_copy_only=False)
-            packed = pack_arrays(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), flags.astype("u1"), sizes.astype("<u4"), codes.astype("<u2" if len(words) < 65536 else "<u4"), word_hashes(words))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(codes) + len(sizes)]), pa.array([packed], pa.binary())], names=["block", "tokens", "texts"])
+            rank = np.empty(len(words), np.int64)  # frequent words first: smaller codes
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            rank[order] = np.arange(len(words))
+            packed = squeeze_arrays(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), flags.astype("u1"), sizes.astype("<u4"), rank[codes].astype("<u4"), word_hashes(words)[order])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed], pa.binary())], names=["block", "texts"])
             block += 1
 
     return run
@@ -95,7 +100,7 @@ class Block:
     """The symbols of a block's texts; ``advance`` applies answers and asks for what is next."""
 
     def __init__(self, raw: bytes):
-        self.ids, flags, sizes, codes, hashes = unpack_arrays(raw)
+        self.ids, flags, sizes, codes, hashes = unsqueeze_arrays(raw)
         self.held, self.learned, self.null = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
         sizes = sizes.astype(np.int64)
         self.sizes = sizes + 2
@@ -108,44 +113,49 @@ class Block:
         self.since = np.arange(first[-1]) - np.repeat(first[:-1], self.sizes)
         self.taught = np.repeat(self.learned, self.sizes)
 
-    def grams(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, at: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct n-grams that end at ``at``, and which of them each position has."""
-        return np.unique(window_hashes(self.salted, n)[at - n + 1], return_inverse=True)
+        return np.unique(window_hashes(self.salted, n)[at - n + 1] >> U64(64 - bits), return_inverse=True)
 
-    def advance(self, answers: dict[int, np.ndarray], root: Root | None, rules: TreeRules):
-        """(asks by kind, p of each symbol, word counts); kinds: 2d counts of level d, 2d + 1 its gains."""
-        words = np.unique(np.delete(self.keys, -2))  # all symbols but OPEN
+    def advance(self, answers: dict[int, np.ndarray], root: Root | None, rules: TreeRules, bits: int):
+        """(asks by kind, p of each symbol, word counts); kinds: 2d counts of level d, 2d + 1 its states."""
+        named = np.delete(np.arange(len(self.keys)), -2)  # all symbols but OPEN
+        words, place = np.unique(self.keys[named], return_inverse=True)
         if 0 not in answers:
             own = np.bincount(self.symbols[self.taught], minlength=len(self.keys))
-            n = np.zeros(len(words))
-            n[np.searchsorted(words, np.delete(self.keys, -2))] = np.delete(own, -2)
-            return {0: (words, n)}, None, None
+            return {0: (words, np.bincount(place, own[named], len(words)))}, None, None
         counts = np.zeros(len(self.keys))
-        place = np.searchsorted(words, np.delete(self.keys, -2))
-        counts[[*range(len(self.keys) - 2), len(self.keys) - 1]] = answers[0][place]
+        counts[named] = answers[0][place]
         p = root.word(counts)[self.symbols]
         counts[-2] = counts[-1]  # a text that is learned from opens and ends once
+        # Counts of what ends at each position, and which context it is for the next symbol.
         before, asks = counts[self.symbols], {}
+        keys, which = self.keys, self.symbols
         for d in range(1, rules.depth + 1):
             total = np.append(0.0, before[:-1])
             at = np.flatnonzero((self.since >= d) & (total >= rules.min_count))
             if not len(at):
                 break
-            grams, which = self.grams(at, d + 1)
+            grams, own = self.grams(at, d + 1, bits)
             if 2 * d not in answers:
-                asks[2 * d] = (grams, np.bincount(which, self.taught[at], len(grams)))
+                asks[2 * d] = (grams, np.bincount(own, self.taught[at], len(grams)))
                 break
-            n, total, lower = answers[2 * d][which], total[at], p[at]
-            contexts, context = self.grams(at - 1, d)
+            n, total, lower, context = answers[2 * d][own], total[at], p[at], which[at - 1]
+            use = np.flatnonzero(self.taught[at])
+            held = np.zeros(len(keys), bool)
+            held[context] = True
+            held = np.flatnonzero(held)
+            held = held[np.argsort(keys[held])]
             if 2 * d + 1 not in answers:
-                use = self.taught[at]
                 gain = np.log((n[use] - 1 + rules.weight * lower[use]) / (total[use] - 1 + rules.weight) / lower[use])
-                asks[2 * d + 1] = (contexts, np.bincount(context[use], gain, len(contexts)))
+                asks[2 * d + 1] = (keys[held], np.bincount(context[use], gain, len(keys))[held])
             else:
-                state = answers[2 * d + 1][context] >= rules.min_gain
+                is_state = np.zeros(len(keys), bool)
+                is_state[held] = answers[2 * d + 1]
+                state = is_state[context]
                 p[at[state]] = ((n + rules.weight * lower) / (total + rules.weight))[state]
-            before = np.zeros(len(before))
-            before[at] = n
+            before, which = np.zeros(len(before)), np.zeros(len(before), np.int64)
+            before[at], which[at], keys = n, own, grams
         return asks, p, counts
 
     def scores(self, p: np.ndarray, counts: np.ndarray, root: Root) -> pa.RecordBatch:
@@ -156,44 +166,53 @@ class Block:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _place(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Target partition of each key; rises with the key."""
-    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+def _place(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Target partition of each key of so many bits; rises with the key."""
+    high = keys >> U64(bits - 32)
+    return (high * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def _asks(block: int, asks: dict, parts: int):
+def _rows(rows: list):
+    for k in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "part", "packed"])
+
+
+def _asks(block: int, asks: dict, bits: int, parts: int):
     for kind, (keys, values) in asks.items():
-        part = _place(keys, parts)
+        part = _place(keys, 64 if kind < 2 or kind == 3 else bits, parts)
         cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-        kept = "<u4" if kind % 2 == 0 else "<f8"
-        rows = [(block, kind, int(part[a]), pack_arrays(keys[a:b], values[a:b].astype(kept))) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
-        for k in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "part", "packed"])
+        kept = "<f4" if kind % 2 else "<u4"
+        yield from _rows([(block, kind, int(part[a]), squeeze_arrays(np.diff(keys[a:b], prepend=U64(0)), values[a:b].astype(kept))) for a, b in zip(cuts, [*cuts[1:], len(keys)])])
 
 
-def _totals(batches):
-    """Totals of every key of this partition, to each block in the order of its ask.
+def _totals(min_gain: float):
+    """Answers every key of this partition, to each block in the order of its ask.
 
-    Also, as a row of block -1, the sum of the words' totals, and how many are over 0 and 1.
+    Counts get their totals, contexts (odd kinds) whether they are states.  Also, as a row
+    of block -1, the sum of the words' totals, and how many are over 0 and exactly 1.
     """
-    kinds: dict[int, list] = {}
-    for batch in batches:
-        for block, kind, part, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "packed"))):
-            kinds.setdefault(kind, []).append((block, part, *unpack_arrays(raw)))
-    for kind in sorted(kinds):
-        asked = kinds.pop(kind)
-        keys, which = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
-        total = np.bincount(which, np.concatenate([a[3] for a in asked]), len(keys))
-        rows = [(-1, kind, asked[0][1], pack_arrays(np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])))]
-        at = 0
-        for block, part, own, _ in asked:
-            answer = total[which[at : at + len(own)]]
-            rows.append((block, kind, part, pack_arrays(answer.astype("<u4" if kind % 2 == 0 and (not len(own) or answer.max() < 2**32) else "<f8"))))
-            at += len(own)
-        del asked, keys, which, total
-        for k in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "part", "packed"])
-    release_memory()
+
+    def run(batches):
+        kinds: dict[int, list] = {}
+        for batch in batches:
+            for block, kind, part, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "packed"))):
+                steps, values = unsqueeze_arrays(raw)
+                kinds.setdefault(kind, []).append((block, part, np.cumsum(steps, dtype=U64), values))
+        for kind in sorted(kinds):
+            asked = kinds.pop(kind)
+            keys, which = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+            total = np.bincount(which, np.concatenate([a[3] for a in asked]), len(keys))
+            rows = [] if kind else [(-1, kind, asked[0][1], squeeze_arrays(np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])))]
+            total = (total >= min_gain).astype("u1") if kind % 2 else total.astype("<u8" if total.max() >= 2**32 else "<u4")
+            at = 0
+            for block, part, own, _ in asked:
+                rows.append((block, kind, part, squeeze_arrays(total[which[at : at + len(own)]])))
+                at += len(own)
+            del asked, keys, which, total
+            yield from _rows(rows)
+        release_memory()
+
+    return run
 
 
 def _blocks_with_answers(batches):
@@ -201,23 +220,23 @@ def _blocks_with_answers(batches):
         for k in range(batch.num_rows):
             answers: dict[int, list] = {}
             for a in sorted(batch.column("answers")[k].as_py() or [], key=lambda a: (a["kind"], a["part"])):
-                answers.setdefault(a["kind"], []).append(unpack_arrays(a["packed"])[0].astype(float))
-            yield batch.column("block")[k].as_py(), Block(batch.column("texts")[k].as_py()), {kind: np.concatenate(x) for kind, x in answers.items()}
+                answers.setdefault(a["kind"], []).append(unsqueeze_arrays(a["packed"])[0])
+            yield batch.column("block")[k].as_py(), Block(batch.column("texts")[k].as_py()), {kind: np.concatenate(x).astype(float) for kind, x in answers.items()}
             release_memory()
 
 
-def _ask_next(root: Root | None, rules: TreeRules, parts: int):
+def _ask_next(root: Root | None, rules: TreeRules, bits: int, parts: int):
     def run(batches):
         for number, block, answers in _blocks_with_answers(batches):
-            yield from _asks(number, block.advance(answers, root, rules)[0], parts)
+            yield from _asks(number, block.advance(answers, root, rules, bits)[0], bits, parts)
 
     return run
 
 
-def _score(root: Root, rules: TreeRules):
+def _score(root: Root, rules: TreeRules, bits: int):
     def run(batches):
         for _, block, answers in _blocks_with_answers(batches):
-            yield block.scores(*block.advance(answers, root, rules)[1:], root)
+            yield block.scores(*block.advance(answers, root, rules, bits)[1:], root)
 
     return run
 
@@ -232,11 +251,12 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
     scratch = Scratch(spark, "suffix-tree")
     rules = TreeRules(**tree)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    written = scratch.keep(texts.mapInArrow(_pack_texts(mod, held), "block long, tokens long, texts binary"), "texts", codec="zstd")
-    size = written.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("blocks")).first()
+    size = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, places = max(at_least, math.ceil(size["tokens"] / ENTRIES_A_PART)), max(at_least, math.ceil(size["blocks"] / BLOCKS_A_PART))
-    blocks = written.repartition(places, "block").persist(StorageLevel.DISK_ONLY)
+    tokens = size["texts"] + size["chars"] // 4  # nearly all words are longer
+    parts, places = max(at_least, math.ceil(tokens / ENTRIES_A_PART)), max(at_least, math.ceil(size["chars"] / CHARS_A_PLACE))
+    bits = min(64, max(40, math.ceil(math.log2(1 + tokens)) + SPARE_BITS))
+    blocks = texts.mapInArrow(_pack_texts(mod, held), "block long, texts binary").repartition(places, "block").persist(StorageLevel.DISK_ONLY)
 
     def with_answers(tables: list[DataFrame]) -> DataFrame:
         if not tables:
@@ -249,13 +269,15 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
 
     answers, root = [], None
     for step in range(rules.depth + 2):
-        asks = with_answers(answers).mapInArrow(_ask_next(root, rules, parts), ASKED)
-        answers.append(scratch.keep(asks.repartitionById(parts, "part").mapInArrow(_totals, ASKED), f"answers-{step}", codec="zstd"))
+        asks = with_answers(answers).mapInArrow(_ask_next(root, rules, bits, parts), ASKED)
+        answers.append(scratch.keep(asks.repartitionById(parts, "part").mapInArrow(_totals(rules.min_gain), ASKED), f"answers-{step}", codec="none"))
+        del asks
+        release_shuffles(spark)
         if root is None:  # three numbers a partition
-            sums = [unpack_arrays(r["packed"])[0] for r in answers[0].where("block < 0").select("packed").toLocalIterator()]
+            sums = [unsqueeze_arrays(r["packed"])[0] for r in answers[0].where("block < 0").select("packed").toLocalIterator()]
             root = Root(*(int(x) for x in np.sum(sums, 0))) if sums else Root()
-    scores = with_answers(answers).mapInArrow(_score(root, rules), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = with_answers(answers).mapInArrow(_score(root, rules, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.keep(scores, "scores")
     blocks.unpersist()
-    scratch.drop("texts", *(f"answers-{step}" for step in range(rules.depth + 2)))
+    scratch.drop(*(f"answers-{step}" for step in range(rules.depth + 2)))
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")
