@@ -7,18 +7,22 @@ are counted in the first table alone where they meet.  A bucket of more than ``b
 classes is dealt to pairs of blocks, each small enough for one task.  Components follow
 from a spanning set of the links found.
 
-With 24 tables of 12 bits a pair at cosine 0.93 meets with probability 0.997, closer ones
-more surely; ``bits`` should grow with the logarithm of the vectors per label.
+``bits`` follows from the classes of the largest label, so that about ``bucket`` of them
+share a bucket by chance; ``tables`` from ``bits``, so that a pair at cosine ``least``
+meets in one table with probability ``recall``, closer ones more surely.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link
 with nothing, as do rows without a label; only vectors of one length are compared; each
-of several rows with one vec_id is a vector of its own; a null vec_id is a row with null
+of several rows with one vec_id is a vector of its own; components of any finite size
+are scaled before they are multiplied; a null vec_id is a row with null
 component_id that links and is counted like any other; an empty table gives no rows; other
 columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +33,7 @@ from provloom.llm.components import connected_components
 from provloom.storage import Scratch
 
 SEED = 20
+MIN_BITS, MAX_BITS = 6, 31
 
 
 def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
@@ -37,8 +42,16 @@ def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
 
 def bucket_numbers(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """One number per vector and table."""
-    signs = vectors @ hyperplanes(vectors.shape[1], tables, bits).T > 0
-    return (signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits))).astype(np.int16)
+    planes, powers = hyperplanes(vectors.shape[1], tables, bits).T, 1 << np.arange(bits)
+    parts = [((vectors[a : a + 1024] @ planes > 0).reshape(-1, tables, bits) @ powers).astype(np.int32) for a in range(0, len(vectors), 1024)]
+    return np.concatenate(parts) if parts else np.zeros((0, tables), np.int32)
+
+
+def settings(largest: int, least: float, recall: float, bucket: int) -> tuple[int, int]:
+    """(tables, bits) for a largest label of so many classes."""
+    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, largest) / bucket))))
+    together = (1 - math.acos(least) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - together)), bits
 
 
 def _with_buckets(tables: int, bits: int):
@@ -49,10 +62,10 @@ def _with_buckets(tables: int, bits: int):
             out: list = [None] * len(vectors)
             for dim in set(dims.tolist()):
                 at = np.flatnonzero(dims == dim)
-                found = bucket_numbers(np.array([vectors[i] for i in at], np.float64).reshape(len(at), dim), tables, bits)
+                found = bucket_numbers(_units([vectors[i] for i in at]), tables, bits)
                 for i, row in zip(at, found.tolist()):
                     out[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int16()))], names=[*batch.schema.names, "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "buckets"])
 
     return run
 
@@ -127,6 +140,7 @@ PAIRS = {n: np.triu_indices(n, 1) for n in range(2, SMALL + 1)}
 
 def _units(vectors: list) -> np.ndarray:
     v = np.array(vectors, np.float64)
+    v /= np.abs(v).max(1, keepdims=True)  # squares of very large or small components stay finite
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -175,10 +189,12 @@ def _kept_type(vectors: DataFrame):
     return F.col("embedding").cast("array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>")
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.93, tables: int = 24, bits: int = 12, block: int = 512) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every vector."""
-    if bits > 15:
-        raise ValueError("bucket numbers are kept in 15 bits")
+def near_vectors(vectors: DataFrame, *, least: float = 0.93, recall: float = 0.997, bucket: int = 16, tables: int | None = None, bits: int | None = None, block: int = 512) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector.
+
+    ``tables`` and ``bits`` (31 at most), where given, take the place of those that follow
+    from the data.
+    """
     scratch = Scratch(vectors.sparkSession, "embeddings")
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), _kept_type(vectors).alias("vector"))
     kind = dict(own.dtypes)["vector"]
@@ -189,7 +205,10 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, tables: int = 24, b
     classes = own.where("usable").groupBy("c1", "c2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label"))
     # Numbered once they are written, so that classes without any vec_id are linked too.
     classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    bucketed = classes.select("rep", "copies", "label", "vector").mapInArrow(_with_buckets(tables, bits), f"rep long, copies long, label string, vector {kind}, buckets array<short>")
+    largest = classes.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0] or 0
+    own_tables, own_bits = settings(largest, least, recall, bucket)
+    tables, bits = tables or own_tables, bits or own_bits
+    bucketed = classes.select("rep", "copies", "label", "vector").mapInArrow(_with_buckets(tables, bits), f"rep long, copies long, label string, vector {kind}, buckets array<int>")
     bucketed = scratch.keep(bucketed, "bucketed")
     placed = bucketed.select("*", F.posexplode("buckets").alias("table", "bucket")).withColumn("at", F.xxhash64("label", F.size("vector"), "table", "bucket"))
     large = scratch.keep(placed.groupBy("at").count().where(F.col("count") > block), "large")
