@@ -5,8 +5,11 @@ path.  Of the rules that fit a url the longest wins (host and path together); ur
 no rule fits get the default verdict.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; only a rule
-with an empty host could fit it.  Equal rules: the first given counts.  Empty tables give
-no rows; other columns of the input are neither read nor returned.
+with an empty host could fit it.  Of rules of equal length the one with the longer host
+wins; of rules with one host and path the one whose verdict is last in order (block before
+allow), whatever their order and number.  Null and repeated page_ids are carried row by
+row; urls of any length are read whole; empty tables give no rows; other columns of the
+input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,7 +38,11 @@ class Rule(NamedTuple):
 
 
 class UrlTrie:
-    """Nodes are dicts: labels from the last to the first, then path segments under ``/``."""
+    """Nodes are dicts: labels from the last to the first, then path segments under ``/``.
+
+    The last, perhaps partial, segment of a rule's path is looked up by its prefixes, of the
+    lengths that the node's rules have.
+    """
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
@@ -47,32 +54,38 @@ class UrlTrie:
             node = node.setdefault("/", {})
             for segment in whole:
                 node = node.setdefault(("seg", segment), {})
-            node.setdefault("rules", {}).setdefault(tail, rule)
+            by_size = node.setdefault("rules", {}).setdefault(len(tail), {})
+            by_size[tail] = max(rule, by_size.get(tail, rule), key=lambda r: r.verdict)
+
+    def on_host(self, host: str) -> list[dict]:
+        """Where the paths of the rules for a host start, the longest suffix of the host first."""
+        found, node = [], self.root
+        for label in [None, *reversed(host.split("."))] if host else [None]:
+            node = node if label is None else node.get(label)
+            if node is None:
+                break
+            if "/" in node:
+                found.append(node["/"])
+        return found[::-1]
 
     @staticmethod
-    def _on_path(node: dict, path: str) -> Rule | None:
-        """The longest rule below a host whose path begins ``path``."""
-        best, segments = None, path.split("/")
+    def on_path(node: dict, segments: list[str]) -> Rule | None:
+        """The longest rule below a host whose path begins the segments."""
+        best = None
         for k, segment in enumerate(segments):
-            for tail, rule in node.get("rules", {}).items():
-                if segment.startswith(tail) and (best is None or len(rule.path) > len(best.path)):
+            for size, tails in node.get("rules", {}).items():
+                rule = tails.get(segment[:size]) if size <= len(segment) else None
+                if rule and (best is None or len(rule.path) > len(best.path)):
                     best = rule
             node = node.get(("seg", segment)) if k < len(segments) - 1 else None
             if node is None:
                 break
         return best
 
-    def find(self, host: str, path: str) -> Rule | None:
-        best, node = None, self.root
-        labels = list(reversed(host.split("."))) if host else []
-        for label in [None, *labels]:
-            node = node if label is None else node.get(label)
-            if node is None:
-                break
-            rule = self._on_path(node["/"], path) if "/" in node else None
-            if rule and (best is None or len(rule.text) > len(best.text)):
-                best = rule
-        return best
+    def find(self, places: list[dict], path: str) -> Rule | None:
+        """The winner among the rules at ``places`` (of ``on_host``)."""
+        segments = path.split("/")
+        return max(filter(None, (self.on_path(node, segments) for node in places)), key=lambda r: len(r.text), default=None)
 
 
 def url_parts(url) -> tuple:
@@ -95,8 +108,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> D
     trie = spark.sparkContext.broadcast(UrlTrie(rules))
 
     def run(batches):
+        rules = trie.value
         for batch in batches:
-            found = [trie.value.find(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            hosts = batch.column("host").dictionary_encode()
+            places = [rules.on_host(h) for h in hosts.dictionary.to_pylist()]
+            found = [rules.find(places[h], p) if places[h] else None for h, p in zip(hosts.indices.to_pylist(), batch.column("path").to_pylist())]
             rule = pa.array([r and r.text for r in found], pa.string())
             verdict = pa.array([r.verdict if r else default for r in found], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*batch.schema.names, "rule", "verdict"])
@@ -113,8 +129,8 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow
     labels = F.split("host", r"\.")
     suffixes = F.array_append(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), F.lit(""))
     places = parts.select("row", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"))
-    table = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict").dropDuplicates(["suffix", "rule_path"])
+    table = rules.groupBy(F.col("host").alias("suffix"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("verdict"))
     fits = places.join(table, "suffix").where(F.startswith("path", "rule_path"))
     text = F.concat("suffix", "rule_path")
-    best = fits.groupBy("row").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), "verdict")).alias("best"))
+    best = fits.groupBy("row").agg(F.max(F.struct(F.length(text).alias("n"), F.length("suffix").alias("host"), text.alias("rule"), "verdict")).alias("best"))
     return parts.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
