@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost (seconds a text) and selectivity (share of texts rejected) are estimated
-on a sample; the cascade then runs the rules by rejection per cost, each on the texts that
-all rules before it have passed.  The verdict is that of all rules, whatever their order.
+on a sample of the texts that the base measures pass, since only those meet the rules; the
+cascade then runs the rules by rejection per cost, each on the texts that all rules before
+it have passed.  The verdict is that of all rules, whatever their order.  What is measured
+once (``Measures``) is not measured again by a later rule.
 
 Defined cases: null text counts as empty and fails; null, repeated or tied doc_ids are
 carried as they are; texts of any length are measured whole; an empty table gives no rows;
@@ -83,9 +85,8 @@ def line_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lines, lines - np.bincount(distinct, minlength=len(sizes))
 
 
-def repeated_words(texts: pa.Array, width: int = 8) -> np.ndarray:
+def repeated_words(codes: np.ndarray, sizes: np.ndarray, width: int = 8) -> np.ndarray:
     """Words of each text inside a window of ``width`` words that the text holds twice or more."""
-    _, codes, sizes = coded_words(texts)
     hashes = window_hashes(mix(codes.astype(U64) + U64(1)), width)
     covered = np.zeros(len(codes) + 1, np.int32)
     if len(hashes):
@@ -103,35 +104,53 @@ def repeated_words(texts: pa.Array, width: int = 8) -> np.ndarray:
     return segment_sums((np.cumsum(covered[:-1]) > 0).astype(np.int64), sizes)
 
 
-def base_measures(texts: pa.Array) -> dict[str, np.ndarray]:
+class Measures:
+    """Texts with what is known of them; each measure is taken when it is first asked for."""
+
+    def __init__(self, texts: pa.Array, known: dict[str, np.ndarray] | None = None):
+        self.texts, self.known = texts, known or {}
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.known:
+            self.known |= MEASURES[name](self.texts)
+        return self.known[name]
+
+    def take(self, at: np.ndarray) -> Measures:
+        return Measures(self.texts.take(pa.array(at)), {name: values[at] for name, values in self.known.items()})
+
+
+def _sizes(texts: pa.Array) -> dict[str, np.ndarray]:
     data, sizes = text_bytes(texts)
-    chars = segment_sums((~SPACE[data] & ((data & 0xC0) != 0x80)).astype(np.int32), sizes).astype(np.int64)
+    chars = (~SPACE[data] & ((data & 0xC0) != 0x80)).astype(np.int32)
     return {
         "n_words": segment_sums(word_starts(data, sizes).astype(np.int32), sizes).astype(np.int64),
-        "word_chars": chars,
-        "n_symbols": count_in(texts, SYMBOLS),
-        "n_dup_lines": line_counts(texts)[1],
-        "n_repeat_words": repeated_words(texts),
+        "word_chars": segment_sums(chars, sizes).astype(np.int64),
+        "n_symbols": segment_sums(SYMBOLS[data].astype(np.int32), sizes).astype(np.int64),
     }
 
 
-class QualityRule(NamedTuple):
-    """``rejects`` maps texts to a mask; it stands alone, so that the cascade may order it freely."""
-
-    name: str
-    rejects: Callable[[pa.Array], np.ndarray]
+def _lines(texts: pa.Array) -> dict[str, np.ndarray]:
+    lines, again = line_counts(texts)
+    return {"n_lines": lines, "n_dup_lines": again}
 
 
-def _symbols(texts):
-    return 5 * count_in(texts, SYMBOLS) > count_words(texts)
+def _repeats(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Also how many words equal the word before them."""
+    _, codes, sizes = coded_words(texts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    same = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    return {"n_repeat_words": repeated_words(codes, sizes), "n_again": np.bincount(owner[1:][same], minlength=len(sizes))}
 
 
-def _capitals(texts):
-    return 2 * count_in(texts, UPPER) > count_in(texts, ASCII_LETTERS)
+def _letters(texts: pa.Array) -> dict[str, np.ndarray]:
+    return {"n_upper": count_in(texts, UPPER), "n_letters": count_in(texts, ASCII_LETTERS)}
 
 
-def _letterless(texts):
-    """Over three tenths of the words have neither a letter nor a byte beyond ASCII."""
+def _letterless_words(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Words that have neither a letter nor a byte beyond ASCII."""
     data, sizes = text_bytes(texts)
     starts = word_starts(data, sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -140,48 +159,64 @@ def _letterless(texts):
     lettered = np.zeros(int(starts.sum()), bool)
     lettered[words[good]] = True
     total = np.bincount(owner[starts], minlength=len(sizes))
-    return 10 * (total - np.bincount(owner[starts], weights=lettered, minlength=len(sizes)).astype(np.int64)) > 3 * total
-
+    return {"n_letterless": total - np.bincount(owner[starts], weights=lettered, minlength=len(sizes)).astype(np.int64)}
 
-def _word_length(texts):
-    """Mean word length outside 2 to 15 characters."""
-    data, sizes = text_bytes(texts)
-    chars = segment_sums((~SPACE[data] & ((data & 0xC0) != 0x80)).astype(np.int64), sizes)
-    words = count_words(texts)
-    return (chars < 2 * words) | (chars > 15 * words)
 
+MEASURES = {
+    name: take
+    for take, names in ((_sizes, ("n_words", "word_chars", "n_symbols")), (_lines, ("n_lines", "n_dup_lines")), (_repeats, ("n_repeat_words", "n_again")), (_letters, ("n_upper", "n_letters")), (_letterless_words, ("n_letterless",)))
+    for name in names
+}
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-def _same_lines(texts):
-    lines, again = line_counts(texts)
-    return 10 * again > 3 * lines
 
+class QualityRule(NamedTuple):
+    """``rejects`` maps measures of texts to a mask; it stands alone, so that the cascade may order it freely."""
 
-def _stutter(texts):
-    """Over a fifth of the words equal the word before them."""
-    _, codes, sizes = coded_words(texts)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    same = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
-    return 5 * np.bincount(owner[1:][same], minlength=len(sizes)) > sizes
+    name: str
+    rejects: Callable[[Measures], np.ndarray]
 
 
-RULES = [QualityRule("symbols", _symbols), QualityRule("capitals", _capitals), QualityRule("letterless", _letterless), QualityRule("word_length", _word_length), QualityRule("same_lines", _same_lines), QualityRule("stutter", _stutter)]
+RULES = [
+    QualityRule("symbols", lambda m: 5 * m["n_symbols"] > m["n_words"]),
+    QualityRule("capitals", lambda m: 2 * m["n_upper"] > m["n_letters"]),
+    QualityRule("letterless", lambda m: 10 * m["n_letterless"] > 3 * m["n_words"]),
+    QualityRule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    QualityRule("same_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    QualityRule("stutter", lambda m: 5 * m["n_again"] > m["n_words"]),
+]
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def estimate_rules(docs: DataFrame, rules: list[QualityRule], sample_rows: int = 2000) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) on a sample, by rejection per cost, best first."""
+class Base(NamedTuple):
+    """The least words, and the percent of words in repeated windows, of texts that pass."""
+
+    min_words: int = 20
+    max_repeat_percent: int = 30
+
+    def fails(self, m: Measures) -> np.ndarray:
+        for name in BASE:
+            m[name]
+        return (m["n_words"] < self.min_words) | (100 * m["n_repeat_words"] > self.max_repeat_percent * m["n_words"])
+
+
+def estimate_rules(docs: DataFrame, rules: list[QualityRule], sample_rows: int = 2000, base: Base = Base()) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) on the sampled texts that the base passes, by rejection per cost, best first."""
     share = min(1.0, 2.0 * sample_rows / max(1, docs.select("doc_id").count()))
 
     def run(batches):
         for batch in text_blocks(batches):
-            texts = texts_of(batch)
+            all_texts = Measures(texts_of(batch))
+            met = all_texts.take(np.flatnonzero(~base.fails(all_texts)))
+            if not len(met):
+                continue
             for k, rule in enumerate(rules):
                 began = time.perf_counter()
-                lost = int(rule.rejects(texts).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([time.perf_counter() - began]), pa.array([lost], pa.int64()), pa.array([len(texts)], pa.int64())], names=["rule", "s", "lost", "n"])
+                lost = int(rule.rejects(Measures(met.texts, dict(met.known))).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([time.perf_counter() - began]), pa.array([lost], pa.int64()), pa.array([len(met)], pa.int64())], names=["rule", "s", "lost", "n"])
 
     sample = _plain(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample_rows)
     got = {r["rule"]: r for r in sample.mapInArrow(run, "rule long, s double, lost long, n long").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("lost").alias("lost"), F.sum("n").alias("n")).collect()}
@@ -196,23 +231,25 @@ def cascade(docs: DataFrame, rules: list[QualityRule] | None = None, *, min_word
     rule rejects.
     """
     attach(docs.sparkSession)
-    rules = RULES if rules is None else rules
+    rules, base = RULES if rules is None else rules, Base(min_words, max_repeat_percent)
     by_name = {r.name: r for r in rules}
-    ordered = [by_name[name] for name, _, _ in estimate_rules(docs, rules, sample_rows)]
+    ordered = [by_name[name] for name, _, _ in estimate_rules(docs, rules, sample_rows, base)]
 
     def run(batches):
         for batch in text_blocks(batches):
-            texts = texts_of(batch)
-            found = base_measures(texts)
-            failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > max_repeat_percent * found["n_words"])
+            measures = Measures(texts_of(batch))
+            failed = base.fails(measures)
             alive = np.flatnonzero(~failed)
+            passed = measures.take(alive)
             for rule in ordered:
                 if not len(alive):
                     break
-                alive = alive[~rule.rejects(texts.take(pa.array(alive)))]
-            kept = np.zeros(len(texts), bool)
+                good = np.flatnonzero(~rule.rejects(passed))
+                if len(good) < len(alive):
+                    alive, passed = alive[good], passed.take(good)
+            kept = np.zeros(len(measures), bool)
             kept[alive] = True
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v.astype(np.int64)) for v in found.values()], pa.array(failed), pa.array(kept)], names=["doc_id", *found, "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(measures[name].astype(np.int64)) for name in BASE], pa.array(failed), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     return _plain(docs).mapInArrow(run, schema)
