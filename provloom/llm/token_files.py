@@ -7,8 +7,10 @@ ids' bytes.  Frames are rows of a Parquet folder, which any store that Spark rea
 hold; ``ranks`` beside them maps ranks to ids and is bounded by the vocabulary.
 
 Defined cases: null text is empty and holds its end id only; null doc_ids come first;
-repeated doc_ids follow each other, by text; an empty table gives an empty folder; other
-columns of the input are neither read nor written.
+repeated doc_ids follow each other in the order of the input's partitions, and may lie in
+several of the output's, so that an id of a third of all rows fills no single task; a very
+long text is a frame of its own; an empty table gives an empty folder; other columns of
+the input are neither read nor written.
 """
 
 from __future__ import annotations
@@ -115,7 +117,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-ids")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     blocks = ordered.mapInArrow(_tokenize(tokenizer_path, end_id), "shard long, block long, before long, n long, doc_ids array<long>, sizes array<long>, ids binary")
     blocks = scratch.keep(blocks, "plain", codec="zstd")
     counts = blocks.select("ids", "n").mapInArrow(_count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
