@@ -17,6 +17,7 @@ empty table gives no rows; other columns of the input are neither read nor retur
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,7 +110,7 @@ class KernelModel:
 
 
 def solve(filled: np.ndarray, languages: list[str], landmarks: int, ridge: float) -> KernelModel:
-    """Nyström map over evenly chosen landmarks, then one-versus-rest ridge regression."""
+    """Nyström map over the first rows of each language as landmarks, then one-versus-rest ridge regression."""
     names = sorted(set(languages))
     if not names:
         return KernelModel([], np.zeros((WIDTH, 0), np.float32), np.zeros(0))
@@ -143,23 +144,25 @@ def _sampled_presence(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(packed, pa.binary()), pa.array(seen)], names=["doc_id", "lang", "filled", "seen"])
 
 
-def fit(docs: DataFrame, *, may_learn: Column | None = None, rows_per_language: int = 400, landmarks: int = 200, ridge: float = 0.1) -> KernelModel:
+def fit(docs: DataFrame, *, may_learn: Column | None = None, rows_per_language: int = 400, max_languages: int = 256, landmarks: int = 200, ridge: float = 0.1) -> KernelModel:
     """Learn ``lang`` from about ``rows_per_language`` documents of each language at most.
 
-    The bound is kept by a hash of doc_id against each language's share; what comes to the
-    driver is one row per language, then the sampled documents' packed presence.
+    The bound is kept by a hash of doc_id against each language's share.  The
+    ``max_languages`` most frequent values of ``lang`` are learned (ties: first in order),
+    so that a column full of other things stays within memory; what comes to the driver is
+    one row per such language, then the sampled documents' packed presence.
     """
     attach(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     if may_learn is not None:
         known = known.where(may_learn)
-    per_language = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    per_language = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not per_language:
         return solve(np.zeros((0, WIDTH), bool), [], landmarks, ridge)
     shares = F.create_map(*[F.lit(v) for name, n in sorted(per_language.items()) for v in (name, min(1.0, rows_per_language / n))])
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(hashed < shares[F.col("lang")]).mapInArrow(_sampled_presence, "doc_id long, lang string, filled binary, seen boolean").where("seen").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    rows = known.where(F.col("lang").isin(*per_language)).where(hashed < shares[F.col("lang")]).mapInArrow(_sampled_presence, "doc_id long, lang string, filled binary, seen boolean").where("seen").collect()
+    rows.sort(key=lambda r: (zlib.crc32(f"landmark {r['doc_id']}".encode()), r["doc_id"], r["lang"], bytes(r["filled"])))
     filled = np.array([np.unpackbits(np.frombuffer(r["filled"], np.uint8), count=WIDTH) for r in rows], bool).reshape(len(rows), WIDTH)
     return solve(filled, [r["lang"] for r in rows], landmarks, ridge)
 
@@ -177,14 +180,19 @@ def identify(docs: DataFrame, model: KernelModel, *, held_out: int = 0, mod: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_rows(docs: DataFrame, model: KernelModel, *, least_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, with a known language of ``least_score`` or more."""
+def keep_rows(docs: DataFrame, model: KernelModel, *, least_score: float = 0.4, column: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, with a known language of ``least_score`` or more.
+
+    ``column``: where to put the predicted language, in place of what that column held.
+    """
     spark = attach(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in _blocks_of_rows(batches):
             names, score = shared.value.predict(texts_of(batch).to_pylist())
+            if column is not None:
+                batch = batch.set_column(batch.schema.names.index(column), batch.schema.field(column), pa.array(names, batch.schema.field(column).type))
             yield batch.filter(pa.array((score >= least_score) & np.array([n != UNKNOWN for n in names], bool)))
 
     return docs.mapInArrow(run, docs.schema)
