@@ -1,25 +1,26 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged, softmax.
 
-A document's features are its words, the character n-grams of its words (between word
-marks) and its word pairs that say one word twice, hashed into ``buckets`` rows of a
-learned table (all such pairs share a row).  The vectors of all occurrences
-are averaged and a softmax layer gives class probabilities.  Table and layer are trained
-together by numpy stochastic gradient descent on a bounded sample of labelled documents
-(``max_rows``, chosen by hash); scoring covers whole texts.
+A document's features are its words, the word pairs and triples in it, and the character
+n-grams of its words (between word marks), hashed into ``buckets`` rows of a learned table.
+The vectors of all occurrences are averaged and a softmax layer gives class probabilities.
+Table and layer are trained together by numpy stochastic gradient descent on a bounded
+sample of labelled documents (``max_rows`` and ``max_entries``, chosen by hash); scoring
+covers whole texts.
 
 After training, bucket vectors times the output layer are per-bucket class logits, so a
-document's score is a mean over its words of numbers that depend on the word alone.
+document's score is a mean over its words and phrases of numbers that depend on these alone.
 
 Defined cases: null text counts as empty and gets the probabilities of the bias; null or
 repeated doc_ids are carried as they are; labels without a class or a document are not
-learned from; without any labelled row all classes are as likely; an empty table gives no
-rows; other columns of the input are neither read nor returned (``keep_rows`` returns the
-input's own columns).
+learned from; without any labelled row all classes are as likely; texts of any length are
+read whole; an empty table gives no rows; other columns of the input are neither read nor
+returned (``keep_rows`` returns the input's own columns).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, ragged, segment_sums, text_blocks, texts_of, window_hashes, word_hashes
-from provloom.storage import attach
+from provloom.storage import Scratch, attach
 
 NGRAMS = (2, 3, 4)
+PHRASES = (2, 3)
 
 
-def twice(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How often each text has a word right after itself."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    same = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
-    return np.bincount(owner[1:][same], minlength=len(sizes))
-
-
-def twice_bucket(buckets: int) -> int:
-    return int(word_hashes(["<word> <word>"])[0] % U64(buckets))
+def phrase_features(hashes: np.ndarray, sizes: np.ndarray, buckets: int):
+    """For each length: buckets of the word n-grams, text after text, and how many each text has."""
+    first = offsets(sizes)[:-1]
+    for n in PHRASES:
+        many = np.maximum(sizes - n + 1, 0)
+        yield (window_hashes(mix(hashes + U64(n)), n)[ragged(first, many)] % U64(buckets)).astype(np.int64), many
 
 
 def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +76,12 @@ class SubwordModel:
                 found, counts[a : a + 10_000] = word_features(words[a : a + 10_000], len(self.logits))
                 own = counts[a : a + 10_000]
                 per_word[a : a + 10_000] = np.add.reduceat(self.logits[found].astype(np.float64), np.cumsum(own) - own, 0)
-            pairs, row = twice(codes, sizes), self.logits[twice_bucket(len(self.logits))].astype(np.float64)
-            n = segment_sums(counts[codes], sizes) + pairs
-            for k in range(per_word.shape[1]):
-                out[:, k] += (segment_sums(per_word[codes, k], sizes) + pairs * row[k]) / np.maximum(n, 1)
+            n, total = segment_sums(counts[codes], sizes), np.stack([segment_sums(per_word[codes, k], sizes) for k in range(per_word.shape[1])], 1)
+            for found, many in phrase_features(word_hashes(words)[codes], sizes, len(self.logits)):
+                n += many
+                for k in range(per_word.shape[1]):
+                    total[:, k] += segment_sums(self.logits[found, k].astype(np.float64), many)
+            out += total / np.maximum(n, 1)[:, None]
         out -= out.max(1, keepdims=True)
         out = np.exp(out)
         return out / out.sum(1, keepdims=True)
@@ -112,40 +113,57 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], classes: list, buck
     return SubwordModel(list(classes), (table @ layer).astype(np.float32), bias.astype(np.float64))
 
 
+def features(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and their weights."""
+    words, codes, sizes = coded_words(texts)
+    found, counts = word_features(words, buckets) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    starts, first = np.cumsum(counts) - counts, offsets(sizes)
+    phrases = [(b, offsets(many)) for b, many in phrase_features(word_hashes(words)[codes] if words else np.zeros(0, U64), sizes, buckets)]
+    rows = []
+    for i in range(len(sizes)):
+        own = codes[first[i] : first[i + 1]]
+        parts = [found[ragged(starts[own], counts[own])], *[b[cut[i] : cut[i + 1]] for b, cut in phrases]]
+        at, n = np.unique(np.concatenate(parts), return_counts=True)
+        rows.append((at.astype("<u4"), (n / max(1, n.sum())).astype("<f4")))
+    return rows
+
+
 def _features_of(buckets: int):
     def run(batches):
         for batch in text_blocks(batches):
-            words, codes, sizes = coded_words(texts_of(batch))
-            found, counts = word_features(words, buckets) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            starts, first, rows = np.cumsum(counts) - counts, offsets(sizes), []
-            pairs, again = twice(codes, sizes), twice_bucket(buckets)
-            for i in range(len(sizes)):
-                own = codes[first[i] : first[i + 1]]
-                at, n = np.unique(np.append(found[ragged(starts[own], counts[own])], [again] * pairs[i]).astype(np.int64), return_counts=True)
-                rows.append((at.astype("<u4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "at", "weight"])
+            rows = features(texts_of(batch), buckets)
+            packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array([len(at) for at, _ in rows], pa.int64()), *packed], names=["label", "doc_id", "n", "at", "weight"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, *, may_learn: Column | None = None, max_rows: int = 3000, buckets: int = 1 << 17, **training) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str, *, may_learn: Column | None = None, max_rows: int = 3000, max_entries: int = 12_000_000, buckets: int = 1 << 18, **training) -> SubwordModel:
     """Learn ``label`` of the table ``labels`` from at most ``max_rows`` of its documents.
 
-    The rows are those of least hash among those that ``may_learn`` (over doc_id) admits;
-    their features, not their texts, come to the driver.  The sample is broadcast: it has
-    ``max_rows`` rows at most.
+    The rows are those of least hash among the labels that have a document and that
+    ``may_learn`` (over doc_id) admits, as long as their features number ``max_entries``
+    at most; their features, not their texts, come to the driver.  The sampled labels are
+    broadcast: they have ``max_rows`` rows at most.
     """
-    attach(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "classifier")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).dropna()
     if may_learn is not None:
         known = known.where(may_learn)
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id").mapInArrow(_features_of(buckets), f"label {dict(chosen.dtypes)['label']}, at binary, weight binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["weight"])))
-    classes = sorted({r["label"] for r in rows})
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id").mapInArrow(_features_of(buckets), f"label {dict(chosen.dtypes)['label']}, doc_id long, n long, at binary, weight binary")
+    rows = scratch.keep(rows, "features")
+    # One document for each doc_id, in the order of the hash, until the features are enough.
+    sizes = rows.groupBy("doc_id").agg(F.min("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+    used = takewhile(lambda x: x[1] <= max_entries, zip(sizes, np.cumsum([r["n"] for r in sizes])))
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r, _ in used], "doc_id long")
+    least = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("n", "at", "weight", "label")).alias("row")).select("row.*").collect()
+    scratch.drop("features")
+    least.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["weight"])))
+    classes = sorted({r["label"] for r in least})
     number = {c: k for k, c in enumerate(classes)}
-    samples = [(number[r["label"]], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["weight"], "<f4")) for r in rows]
+    samples = [(number[r["label"]], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["weight"], "<f4")) for r in least]
     return train(samples, classes, buckets, **training)
 
 
