@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -99,9 +100,18 @@ def solve_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, fl
     return mix, best[2], target
 
 
-def mixing_rates(docs: DataFrame, model: SubwordModel, weights: dict[str, float], **solving) -> DataFrame:
-    """doc_id, tokens, posterior (in the order of the model's classes), rate and copies."""
-    posteriors, mix = _solve(docs, model, weights, **solving)
+class Mixed(NamedTuple):
+    """Rates of all documents, and each domain's total as it was wanted and as it is reached."""
+
+    rates: DataFrame
+    mix: Mix
+    wanted: np.ndarray
+    reached: np.ndarray
+
+
+def mix_documents(docs: DataFrame, model: SubwordModel, weights: dict[str, float], **solving) -> Mixed:
+    """Rates: doc_id, tokens, posterior (in the order of the model's classes), rate and copies."""
+    posteriors, mix, reached, wanted = _solve(docs, model, weights, **solving)
 
     def run(batches):
         for batch in batches:
@@ -109,15 +119,21 @@ def mixing_rates(docs: DataFrame, model: SubwordModel, weights: dict[str, float]
             copies = copies_of(batch.column("doc_id").to_pylist(), rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(copies)], names=[*batch.schema.names, "rate", "copies"])
 
-    return posteriors.mapInArrow(run, "doc_id long, tokens long, posterior array<double>, rate double, copies long")
+    rates = posteriors.mapInArrow(run, "doc_id long, tokens long, posterior array<double>, rate double, copies long")
+    return Mixed(rates, mix, wanted, reached)
+
+
+def mixing_rates(docs: DataFrame, model: SubwordModel, weights: dict[str, float], **solving) -> DataFrame:
+    """The rates of ``mix_documents``."""
+    return mix_documents(docs, model, weights, **solving).rates
 
 
-def _solve(docs: DataFrame, model: SubwordModel, weights: dict[str, float], **solving) -> tuple[DataFrame, Mix]:
+def _solve(docs: DataFrame, model: SubwordModel, weights: dict[str, float], **solving) -> tuple[DataFrame, Mix, np.ndarray, np.ndarray]:
     scratch = Scratch(docs.sparkSession, "mixing")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posteriors = scratch.keep(plain.mapInArrow(_posteriors(shared), "doc_id long, tokens long, posterior array<double>"), "posteriors")
-    return posteriors, solve_rates(posteriors, model.classes, weights, **solving)[0]
+    return posteriors, *solve_rates(posteriors, model.classes, weights, **solving)
 
 
 def copies_of(doc_ids: list, rate: np.ndarray) -> np.ndarray:
@@ -128,7 +144,7 @@ def copies_of(doc_ids: list, rate: np.ndarray) -> np.ndarray:
 
 def resample(docs: DataFrame, model: SubwordModel, weights: dict[str, float], **solving) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its rate says."""
-    _, mix = _solve(docs, model, weights, **solving)
+    _, mix, _, _ = _solve(docs, model, weights, **solving)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
