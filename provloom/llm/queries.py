@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provloom.llm import classifier, language
 from provloom.llm.embeddings import near_vectors
-from provloom.llm.mixing import mixing_rates
+from provloom.llm.mixing import mix_documents
 from provloom.llm.ngram_join import jaccard_components
 from provloom.llm.packing import pack_documents
 from provloom.llm.rules import cascade
@@ -37,7 +37,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Target shares of tokens by domain.
-MIX_WEIGHTS = {"clean": 0.90, "toxic": 0.09, "low": 0.01}
+MIX_WEIGHTS = {"clean": 0.93, "toxic": 0.06, "low": 0.01}
 
 
 def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifier.SubwordModel:
@@ -47,12 +47,13 @@ def domain_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifie
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also the posterior of each domain, from the classes of the model."""
+    """Also each domain's posterior, and the totals of all documents: wanted and reached."""
     docs = load(spark, sf_dir, "documents")
-    model = domain_model(spark, docs, sf_dir)
-    rates = mixing_rates(docs, model, MIX_WEIGHTS, anchor="clean")
-    at = {d: F.col("posterior")[k] if d in model.classes else F.lit(0.0) for d in MIX_WEIGHTS for k in [model.classes.index(d) if d in model.classes else 0]}
-    return rates.select("doc_id", "tokens", *[at[d].alias(f"p_{d}") for d in MIX_WEIGHTS], "rate", "copies")
+    mixed = mix_documents(docs, domain_model(spark, docs, sf_dir), MIX_WEIGHTS, anchor="clean")
+    at = {d: mixed.mix.domains.index(d) for d in MIX_WEIGHTS if d in mixed.mix.domains}
+    posteriors = [(F.col("posterior")[at[d]] if d in at else F.lit(0.0)).alias(f"p_{d}") for d in MIX_WEIGHTS]
+    totals = [F.lit(float(x[at[d]]) if d in at else 0.0).alias(f"{name}_{d}") for name, x in (("wanted", mixed.wanted), ("reached", mixed.reached)) for d in MIX_WEIGHTS]
+    return mixed.rates.select("doc_id", "tokens", *posteriors, "rate", "copies", *totals)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,18 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), good AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.i AS x, b.i AS y FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.i <> b.i WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+        ), met AS (SELECT x, count(*) AS n FROM links GROUP BY x
+        ), least AS (SELECT r.x, min(v.vec_id) AS m FROM reach r JOIN v ON v.i = r.y GROUP BY r.x)
+        SELECT v.vec_id, coalesce(met.n, 0) AS n_links, least(v.vec_id, coalesce(least.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(least.m, v.vec_id)) AS kept
+        FROM v LEFT JOIN met ON met.x = v.i LEFT JOIN least ON least.x = v.i""",
     "op2_ngram_jaccard": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -133,7 +146,7 @@ ORACLE_SQL = {
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
         ), parts AS (
-            SELECT page_id, lower(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '')) AS host,
+            SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest
         ), rules(verdict, rhost, rpath) AS (
             VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')

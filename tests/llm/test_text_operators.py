@@ -133,6 +133,16 @@ def test_urls(spark, judge):
     assert judge_urls(frame.where("false"), rules).collect() == []
 
 
+def test_rules_of_equal_length_and_equal_rules(spark):
+    rules = [Rule("allow", "z.org", "/ab"), Rule("block", "org", "/abcd"), Rule("block", "b.com", "/x"), Rule("allow", "b.com", "/x"), Rule("allow", "c.com", "/y"), Rule("block", "c.com", "/y"), Rule("block", "", "/any"), Rule("allow", "d.com", "")]
+    urls = ["http://z.org/abcd/e", "http://a.b.com/xy", "http://c.com/y/", "http://q.q/anything", "http://d.com", "http://e.d.com/any", "http://z.org/ab/" + "long/" * 3000]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    expected = [("z.org/ab", "allow"), ("b.com/x", "block"), ("c.com/y", "block"), ("/any", "block"), ("d.com", "allow"), ("d.com", "allow"), ("z.org/ab", "allow")]
+    for order in (rules, rules[::-1]):
+        for judged in (judge_urls(frame, order), judge_urls_by_join(frame, spark.createDataFrame(order, "verdict string, host string, path string"))):
+            assert [(r["rule"], r["verdict"]) for r in judged.orderBy("page_id").collect()] == expected
+
+
 # Quality rules
 
 
