@@ -53,7 +53,7 @@ def states(spark: SparkSession, d: str) -> DataFrame:
 LAYERS = """fn AS (SELECT 'function:' || o_orderkey AS id, 'contract:customer:' || o_custkey AS contract_id, CASE WHEN o_orderstatus = 'P' THEN 'payable' ELSE 'nonpayable' END AS mutability,
         CASE WHEN regexp_matches(o_orderpriority, '^[12]-') THEN o_orderpriority ELSE '' END AS gate, 'c' || o_custkey || '.sol' AS file FROM orders),
     ln AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS r, 'o' || l_orderkey AS file, l_linenumber AS ls, l_linenumber + l_partkey % 3 AS le FROM lineitem),
-    rel AS (SELECT 'rel:a' || r AS id, CASE WHEN l_returnflag = 'N' THEN 'READS' ELSE 'WRITES' END AS type, 'function:' || l_orderkey AS source, 'state:' || l_partkey AS target, NULL AS call_kind, file, ls, le FROM ln
+    rel AS (SELECT 'rel:a' || r AS id, CASE WHEN l_returnflag = 'N' THEN 'READS' ELSE 'WRITES' END AS type, 'function:' || l_orderkey AS source, 'state:' || l_partkey AS target, NULL::VARCHAR AS call_kind, file, ls, le FROM ln
         UNION ALL SELECT 'rel:c' || r, 'CALLS', 'function:' || l_orderkey, 'function:' || (l_partkey * 11), CASE WHEN l_linestatus = 'O' THEN 'external' WHEN l_returnflag <> 'A' THEN 'internal' END, file, ls, le FROM ln WHERE l_suppkey % 4 = 0),
     fact AS (SELECT 'fact:' || event_id AS id, 'function:' || (user_id * 10 + event_id % 10) AS subject, event_type, CASE WHEN event_type = 'click' THEN CASE event_id % 3 WHEN 0 THEN 'lowlevel' WHEN 1 THEN 'indirect' END END AS mark, 'e' || user_id AS file, event_id % 50 AS ls FROM events),
     iss AS (SELECT 'c' || c_custkey || '.sol' AS file, c_acctbal < 0 AS dropped, c_mktsegment = 'BUILDING' AS assembly, c_mktsegment = 'MACHINERY' AS unresolved, c_mktsegment = 'FURNITURE' AS outside FROM customer),
