@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,7 @@ OPEN, END = U64(0x4F50454E), U64(0x454E44)
 ENTRIES_A_PART = 2_000_000
 CHARS_A_PLACE = 16 << 20
 SPARE_BITS = 14
+GAIN_STEPS = 16  # gains are summed in whole steps, so that their sums do not depend on the order
 ASKED = "block long, kind int, part int, packed binary"
 
 
@@ -71,11 +72,22 @@ class Root:
 @dataclass(frozen=True)
 class TreeRules:
     depth: int = 4
-    min_count: int = 4
+    min_count: int = 4  # 2 at least
     min_gain: float = 8.0
     weight: float = 2.0
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and which of them each key is."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], which
+
+
 def _pack_texts(mod: int, held: int):
     """Blocks of texts: ids, whether held out and learned from, and words as codes into hashes."""
 
@@ -115,7 +127,7 @@ class Block:
 
     def grams(self, at: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct n-grams that end at ``at``, and which of them each position has."""
-        return np.unique(window_hashes(self.salted, n)[at - n + 1] >> U64(64 - bits), return_inverse=True)
+        return distinct(window_hashes(self.salted, n)[at - n + 1] >> U64(64 - bits))
 
     def advance(self, answers: dict[int, np.ndarray], root: Root | None, rules: TreeRules, bits: int):
         """(asks by kind, p of each symbol, word counts); kinds: 2d counts of level d, 2d + 1 its states."""
@@ -136,26 +148,30 @@ class Block:
             at = np.flatnonzero((self.since >= d) & (total >= rules.min_count))
             if not len(at):
                 break
-            grams, own = self.grams(at, d + 1, bits)
+            # An n-gram is no more frequent than its end: where that stands once, here, it is known.
+            taught, most = self.taught[at], before[at]
+            asked = np.flatnonzero((most > 1) | (most == 1) & ~taught)
+            grams, own = self.grams(at[asked], d + 1, bits)
             if 2 * d not in answers:
-                asks[2 * d] = (grams, np.bincount(own, self.taught[at], len(grams)))
+                asks[2 * d] = (grams, np.bincount(own, taught[asked], len(grams)))
                 break
-            n, total, lower, context = answers[2 * d][own], total[at], p[at], which[at - 1]
-            use = np.flatnonzero(self.taught[at])
+            n, total, lower, context = np.minimum(most, taught), total[at], p[at], which[at - 1]
+            n[asked] = answers[2 * d][own]
+            use = np.flatnonzero(taught)
             held = np.zeros(len(keys), bool)
             held[context] = True
             held = np.flatnonzero(held)
             held = held[np.argsort(keys[held])]
             if 2 * d + 1 not in answers:
                 gain = np.log((n[use] - 1 + rules.weight * lower[use]) / (total[use] - 1 + rules.weight) / lower[use])
-                asks[2 * d + 1] = (keys[held], np.bincount(context[use], gain, len(keys))[held])
+                asks[2 * d + 1] = (keys[held], np.rint(np.bincount(context[use], gain, len(keys))[held] * GAIN_STEPS))
             else:
                 is_state = np.zeros(len(keys), bool)
                 is_state[held] = answers[2 * d + 1]
                 state = is_state[context]
                 p[at[state]] = ((n + rules.weight * lower) / (total + rules.weight))[state]
             before, which = np.zeros(len(before)), np.zeros(len(before), np.int64)
-            before[at], which[at], keys = n, own, grams
+            before[at], which[at[asked]], keys = n, own, grams
         return asks, p, counts
 
     def scores(self, p: np.ndarray, counts: np.ndarray, root: Root) -> pa.RecordBatch:
@@ -181,7 +197,7 @@ def _asks(block: int, asks: dict, bits: int, parts: int):
     for kind, (keys, values) in asks.items():
         part = _place(keys, 64 if kind < 2 or kind == 3 else bits, parts)
         cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-        kept = "<f4" if kind % 2 else "<u4"
+        kept = "<i4" if kind % 2 else "<u4"
         yield from _rows([(block, kind, int(part[a]), squeeze_arrays(np.diff(keys[a:b], prepend=U64(0)), values[a:b].astype(kept))) for a, b in zip(cuts, [*cuts[1:], len(keys)])])
 
 
@@ -200,10 +216,10 @@ def _totals(min_gain: float):
                 kinds.setdefault(kind, []).append((block, part, np.cumsum(steps, dtype=U64), values))
         for kind in sorted(kinds):
             asked = kinds.pop(kind)
-            keys, which = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+            keys, which = distinct(np.concatenate([a[2] for a in asked]))
             total = np.bincount(which, np.concatenate([a[3] for a in asked]), len(keys))
             rows = [] if kind else [(-1, kind, asked[0][1], squeeze_arrays(np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])))]
-            total = (total >= min_gain).astype("u1") if kind % 2 else total.astype("<u8" if total.max() >= 2**32 else "<u4")
+            total = (total >= min_gain * GAIN_STEPS).astype("u1") if kind % 2 else total.astype("<u8" if total.max() >= 2**32 else "<u4")
             at = 0
             for block, part, own, _ in asked:
                 rows.append((block, kind, part, squeeze_arrays(total[which[at : at + len(own)]])))
@@ -256,7 +272,8 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
     tokens = size["texts"] + size["chars"] // 4  # nearly all words are longer
     parts, places = max(at_least, math.ceil(tokens / ENTRIES_A_PART)), max(at_least, math.ceil(size["chars"] / CHARS_A_PLACE))
     bits = min(64, max(40, math.ceil(math.log2(1 + tokens)) + SPARE_BITS))
-    blocks = texts.mapInArrow(_pack_texts(mod, held), "block long, texts binary").repartition(places, "block").persist(StorageLevel.DISK_ONLY)
+    blocks = texts.mapInArrow(_pack_texts(mod, held), "block long, texts binary").repartition(places, "block").checkpoint()
+    release_shuffles(spark)
 
     def with_answers(tables: list[DataFrame]) -> DataFrame:
         if not tables:
@@ -278,6 +295,5 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
             root = Root(*(int(x) for x in np.sum(sums, 0))) if sums else Root()
     scores = with_answers(answers).mapInArrow(_score(root, rules, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.keep(scores, "scores")
-    blocks.unpersist()
     scratch.drop(*(f"answers-{step}" for step in range(rules.depth + 2)))
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -255,6 +255,49 @@ def test_words_and_contexts_of_a_share_of_3e_5_are_learned(spark):
     assert got[asked[0]] > got[asked[1]] + 1
 
 
+def plain_tree(rows, depth, min_count, min_gain, weight):
+    """(learned text symbols -> score of any text), counted with dicts of tuples."""
+    low = lambda t: ["<"] + WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [">"]
+    learned = [low(t) for d, t in rows if held(d, 7) not in (2, None)]
+    grams = Counter(tuple(s[i - n + 1 : i + 1]) for s in learned for i in range(len(s)) for n in range(1, depth + 2) if i - n + 1 >= 0)
+    words = {g[0]: n for g, n in grams.items() if len(g) == 1 and g[0] != "<"}
+    total, distinct, once = sum(words.values()), len(words), sum(n == 1 for n in words.values())
+    unseen = min(0.5, max(once, 1) / max(total, 2))
+    root = lambda w: (1 - unseen) * (words[w] + 1) / (total + distinct) if w in words else unseen
+    states = set()
+
+    def probability(s, i, longest):
+        p = root(s[i])
+        for d in range(1, longest + 1):
+            context = tuple(s[i - d : i])
+            if i - d >= 0 and context in states:
+                p = (grams[context + (s[i],)] + weight * p) / (grams[context] + weight)
+        return p
+
+    for d in range(1, depth + 1):
+        gain = Counter()
+        for s in learned:
+            for i in range(max(1, d), len(s)):
+                context = tuple(s[i - d : i])
+                if grams[context] >= min_count:
+                    p = probability(s, i, d - 1)
+                    gain[context] += math.log((grams[context + (s[i],)] - 1 + weight * p) / (grams[context] - 1 + weight) / p)
+        states |= {c for c, g in gain.items() if round(g * 16) >= min_gain * 16}
+    return lambda t: sum(math.log10(probability(low(t), i, depth)) for i in range(1, len(low(t)))), states
+
+
+def test_lm_scores_equal_a_plain_tree(spark):
+    rng = random.Random(6)
+    phrases = [[rng.choice(EN) for _ in range(5)] for _ in range(12)]
+    texts = [" ".join(w for _ in range(rng.randint(0, 12)) for w in (rng.choice(phrases) if rng.random() < 0.6 else [rng.choice(DE)])) for _ in range(90)]
+    rows = list(enumerate(texts)) + [(500, None), (501, "Never Seen words"), (None, texts[0])]
+    score, states = plain_tree(rows, 3, 3, 1.5, 2.0)
+    assert {len(c) for c in states} == {1, 2, 3}
+    got = score_texts(docs_of(spark, rows).coalesce(1), depth=3, min_count=3, min_gain=1.5, weight=2.0).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]]), abs=1e-6)
+
+
 # Vectors
 
 
