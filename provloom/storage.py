@@ -58,6 +58,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = attach(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -76,9 +77,18 @@ class Scratch:
         writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_bucketed(self, df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+        """Write ``df`` as a table of buckets by ``column``, which joins on it do not shuffle again."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", self.path(name)).format("parquet").saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             target = jvm.org.apache.hadoop.fs.Path(self.path(name))
             target.getFileSystem(conf).delete(target, True)
 
