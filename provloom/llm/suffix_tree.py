@@ -42,6 +42,7 @@ from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, ragg
 from provloom.storage import Scratch, release_shuffles
 
 OPEN, END = U64(0x4F50454E), U64(0x454E44)
+BLOCK_BYTES = 12 << 20
 ENTRIES_A_PART = 2_000_000
 CHARS_A_PLACE = 16 << 20
 SPARE_BITS = 14
@@ -93,7 +94,7 @@ def _pack_texts(mod: int, held: int):
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, BLOCK_BYTES):
             words, codes, sizes = coded_words(pc.ascii_lower(texts_of(batch)))
             ids = batch.column("doc_id")
             remainder = crc_bucket(ids, mod)
@@ -163,8 +164,9 @@ class Block:
             held = np.flatnonzero(held)
             held = held[np.argsort(keys[held])]
             if 2 * d + 1 not in answers:
+                asked_keys = keys[held] >> U64(64 - bits) if d == 1 else keys[held]
                 gain = np.log((n[use] - 1 + rules.weight * lower[use]) / (total[use] - 1 + rules.weight) / lower[use])
-                asks[2 * d + 1] = (keys[held], np.rint(np.bincount(context[use], gain, len(keys))[held] * GAIN_STEPS))
+                asks[2 * d + 1] = (asked_keys, np.rint(np.bincount(context[use], gain, len(keys))[held] * GAIN_STEPS))
             else:
                 is_state = np.zeros(len(keys), bool)
                 is_state[held] = answers[2 * d + 1]
@@ -195,7 +197,7 @@ def _rows(rows: list):
 
 def _asks(block: int, asks: dict, bits: int, parts: int):
     for kind, (keys, values) in asks.items():
-        part = _place(keys, 64 if kind < 2 or kind == 3 else bits, parts)
+        part = _place(keys, 64 if kind == 0 else bits, parts)
         cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
         kept = "<i4" if kind % 2 else "<u4"
         yield from _rows([(block, kind, int(part[a]), squeeze_arrays(np.diff(keys[a:b], prepend=U64(0)), values[a:b].astype(kept))) for a, b in zip(cuts, [*cuts[1:], len(keys)])])
@@ -272,7 +274,7 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
     tokens = size["texts"] + size["chars"] // 4  # nearly all words are longer
     parts, places = max(at_least, math.ceil(tokens / ENTRIES_A_PART)), max(at_least, math.ceil(size["chars"] / CHARS_A_PLACE))
     bits = min(64, max(40, math.ceil(math.log2(1 + tokens)) + SPARE_BITS))
-    blocks = texts.mapInArrow(_pack_texts(mod, held), "block long, texts binary").repartition(places, "block").checkpoint()
+    blocks = scratch.keep_bucketed(texts.mapInArrow(_pack_texts(mod, held), "block long, texts binary"), "blocks", places, "block")
     release_shuffles(spark)
 
     def with_answers(tables: list[DataFrame]) -> DataFrame:
@@ -295,5 +297,5 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
             root = Root(*(int(x) for x in np.sum(sums, 0))) if sums else Root()
     scores = with_answers(answers).mapInArrow(_score(root, rules, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.keep(scores, "scores")
-    scratch.drop(*(f"answers-{step}" for step in range(rules.depth + 2)))
+    scratch.drop("blocks", *(f"answers-{step}" for step in range(rules.depth + 2)))
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")
