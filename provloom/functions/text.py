@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = r"^(.+):(\d+)-(\d+)$"
-#: Texts that must not reach an artifact.
-LEAKS = {"timestamp": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "absolute_path": r"(^|[\s\"'])/(home|root|tmp|usr|var|etc)/", "backslash": r"\\"}
+#: Texts that must not reach an artifact.
+LEAKS = {"timestamp": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z", "absolute_path": r"(^|\s)/[\w/.-]+", "backslash": r"\\"}
+#: Words that no statement may contain.
+BANNED_WORDS = ["is vulnerable", "vulnerable", "exploit", "severity", "critical", "finding", "attack", "poc", "confirmed"]
 
 
 def span_text(file: Column, start: Column, end: Column) -> Column:
@@ -84,3 +86,36 @@ def leaks(text: Column, kind: str) -> Column:
 
 def holds_word(text: Column, words: list[str]) -> Column:
     return F.lower(text).rlike("|".join(map(re.escape, words)))
+
+
+def modifier_text(name: Column, arguments: Column) -> Column:
+    """``name(arguments)`` with runs of white space as one space; the name alone without arguments."""
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(F.coalesce(squeezed(arguments), F.lit("")) == "", squeezed(name)).otherwise(F.concat(squeezed(name), F.lit("("), squeezed(arguments), F.lit(")")))
+
+
+def literal_path(pattern: Column) -> Column:
+    """A literal include as a root-relative path; null for globs and for paths that leave the root."""
+    plain = F.regexp_replace(F.translate(pattern, "\\", "/"), r"^(\./)+", "")
+    leaves = plain.rlike(r"^/|(^|/)\.\.(/|$)") | (plain == "")
+    return F.when(~plain.rlike(r"[*?]") & ~leaves, plain)
+
+
+def long_version(build_path: Column) -> Column:
+    """The version that a compiler's build path names: ``…-v1.2.3+commit.abc.js`` gives ``1.2.3+commit.abc``."""
+    found = F.regexp_extract(build_path, r"-v(\d+\.\d+\.\d+\+commit\.[0-9a-f]+)(?:\.js)?$", 1)
+    return F.when(found != "", found)
+
+
+def known_or_unknown(value: Column, known: list[str]) -> Column:
+    return F.when(value.isin(known), value).otherwise("unknown")
+
+
+def iso_millis(timestamp: Column) -> Column:
+    """A timestamp as ``YYYY-MM-DDTHH:MM:SS.mmmZ`` in UTC."""
+    return F.date_format(F.to_utc_timestamp(timestamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path is relative, without backslash, and stays below its root."""
+    return (path != "") & ~path.rlike(r"^/|\\|(^|/)\.\.(/|$)")

@@ -43,15 +43,23 @@ def read_write_sets(accesses: DataFrame) -> DataFrame:
     return found.withColumn("readwrite", F.array_intersect("reads", "writes"))
 
 
-def table_fingerprint(df: DataFrame, key: Column, value: Column) -> DataFrame:
+def table_fingerprint(df: DataFrame, key: Column, value: Column, leaf_rows: int = 4096) -> DataFrame:
     """One sha256 of a table's (key, value) lines, whatever their partitioning.
 
-    Lines are hashed in order within 256 buckets of the key's own hash, then the buckets'
-    digests in order, so that no task holds all lines.
+    A tree over the digits of the key's own hash: its depth follows from the number of rows,
+    so that a leaf holds about ``leaf_rows`` lines and every other node sixteen digests.
     """
-    lines = df.select(F.substring(F.sha2(key, 256), 1, 2).alias("bucket"), key.alias("k"), F.concat(key, F.lit(" "), value).alias("line"))
-    buckets = lines.groupBy("bucket").agg(fingerprint(F.col("line"), F.col("k")).alias("digest"), F.count("*").alias("rows"))
-    return buckets.agg(fingerprint(F.concat("bucket", F.lit(" "), "digest"), F.col("bucket")).alias("fingerprint"), F.sum("rows").alias("rows"))
+    lines = df.select(F.sha2(key, 256).alias("at"), key.alias("k"), F.concat(key, F.lit(" "), value).alias("line"))
+    rows, depth = df.count(), 0
+    while rows > leaf_rows * 16**depth:
+        depth += 1
+    if not depth:
+        return lines.agg(fingerprint(F.col("line"), F.col("k")).alias("fingerprint"), F.count("*").alias("rows"))
+    nodes = lines.groupBy(F.substring("at", 1, depth).alias("at")).agg(fingerprint(F.col("line"), F.col("k")).alias("digest"), F.count("*").alias("rows"))
+    joined = F.concat("at", F.lit(" "), "digest")
+    for digits in range(depth - 1, 0, -1):
+        nodes = nodes.groupBy(F.substring("at", 1, digits).alias("up")).agg(fingerprint(joined, F.col("at")).alias("digest"), F.sum("rows").alias("rows")).withColumnRenamed("up", "at")
+    return nodes.agg(fingerprint(joined, F.col("at")).alias("fingerprint"), F.sum("rows").alias("rows"))
 
 
 def ratio(n: Column, d: Column, vacuous: int) -> tuple[Column, Column]:

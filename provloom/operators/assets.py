@@ -20,6 +20,23 @@ PINS = {
 REPRESENTATIONS = ["debt", "collateral", "reward", "lp"]
 
 
+#: Signatures of the fee surface, and of those that show roles and dependencies.
+FEE_PINS = ["accrueFees(uint256)"]
+ROLE_PINS = {
+    "owner": ["owner()", "transferOwnership(address)"],
+    "admin": ["setAdmin(address,bool)", "isAdmin(address)"],
+    "governance": ["submitProposal(bytes32)", "executeProposal(bytes32)"],
+    "upgrader": ["upgradeTo(address)"],
+    "pauser": ["setPaused(bool)"],
+    "keeper": ["notifyRewardAmount(uint256)"],
+    "relayer": ["syncRewards(uint256)"],
+}
+DEPENDENCY_PINS = {
+    "oracle": ["latestPrice(address)", "latestTimestamp(address)"],
+    "dex": ["swapExactTokensForTokens(uint256,uint256,address[],address,uint256)"],
+}
+
+
 def pin_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, s) for f, names in PINS.items() for s in names], "family string, signature string")
 

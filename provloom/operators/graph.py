@@ -33,18 +33,53 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None, with_roots:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    scratch.drop("edges")
     return seen if with_roots else seen.where("node <> root")
 
 
+#: A frontier of more rows than this is joined as Spark chooses; a smaller one is broadcast.
+SMALL_FRONTIER = 200_000
+
+
 def related_entities(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, node, hop) of what is within ``depth`` undirected steps; roots excluded."""
-    return reach(both_ways(edges), roots, max(0, depth), with_roots=False)
+    """(root, node, hop) of what is within ``depth`` undirected steps; roots excluded.
+
+    Each step looks the frontier up at both ends of the edges, which are neither turned
+    around nor made distinct as a whole; only what a step finds is.
+    """
+    scratch = Scratch(edges.sparkSession, "related")
+    frontier = scratch.keep(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hop")), "hop-0")
+    seen = frontier
+    for hop in range(1, max(0, depth) + 1):
+        near = frontier.select("root", F.col("node").alias("at"))
+        near = F.broadcast(near) if frontier.count() <= SMALL_FRONTIER else near
+        out = edges.join(near, F.col("source") == F.col("at")).select("root", F.col("target").alias("node"))
+        back = edges.join(near, F.col("target") == F.col("at")).select("root", F.col("source").alias("node"))
+        found = out.unionByName(back).distinct().join(seen, ["root", "node"], "left_anti")
+        frontier = scratch.keep(found.withColumn("hop", F.lit(hop)), f"hop-{hop}")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("node <> root")
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
-    """(source, target) of all pairs that a path joins, the trivial ones left out."""
-    roots = edges.select(F.col("source").alias("root"))
-    return reach(edges, roots, None, with_roots=False).select(F.col("root").alias("source"), F.col("node").alias("target"))
+    """(source, target) of all pairs that a path joins, the trivial ones left out.
+
+    Paths are doubled: a round joins what the last one found with all pairs known, so rounds
+    grow with the logarithm of the longest path.
+    """
+    scratch = Scratch(edges.sparkSession, "closure")
+    fresh = scratch.keep(edges.select("source", "target").where("source <> target").distinct(), "pairs-0")
+    known, k = fresh, 0
+    while not fresh.isEmpty():
+        k += 1
+        ahead = fresh.select("source", F.col("target").alias("via")).join(known.select(F.col("source").alias("via"), "target"), "via")
+        behind = known.select("source", F.col("target").alias("via")).join(fresh.select(F.col("source").alias("via"), "target"), "via")
+        found = ahead.unionByName(behind).select("source", "target").where("source <> target").distinct()
+        fresh = scratch.keep(found.join(known, ["source", "target"], "left_anti"), f"pairs-{k}")
+        known = known.unionByName(fresh)
+    return known
 
 
 def traced(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +109,7 @@ def contexts(edges: DataFrame, entries: DataFrame, max_depth: int = 8) -> DataFr
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    scratch.drop("edges")
     return seen
 
 
@@ -89,6 +125,7 @@ def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFram
         if frontier.isEmpty():
             break
         found = frontier if found is None else found.unionByName(frontier)
+    scratch.drop("edges")
     return (frontier if found is None else found).select("root", "path")
 
 
@@ -101,6 +138,7 @@ def cycle_residue(edges: DataFrame) -> DataFrame:
         k += 1
         inner = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
         left = scratch.keep(inner, f"left-{k}")
+        scratch.drop(f"left-{k - 1}")
         after = left.count()
         if after == before:
             break

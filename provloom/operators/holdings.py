@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provloom.functions.canonical import content_id
 from provloom.operators import resolve
-from provloom.operators.assets import REPRESENTATIONS, abi_signatures
+from provloom.operators.assets import FEE_PINS, REPRESENTATIONS, abi_signatures
 
 #: The relation of two classes held together, by the classes of its sides.
 PAIR_RULES = {
@@ -57,3 +57,21 @@ def claims(assets: DataFrame, contracts: DataFrame, functions: DataFrame, relati
     found = standing.join(reads, "state_var_id").select(*standing.columns, "holder_ref").unionByName(standing.join(calls, "type_contract").select(*standing.columns, "holder_ref")).distinct()
     basis = F.array_sort(F.array_distinct(F.array("holder_ref", "state_var_id", "type_contract", "_token_var", "_token_type")))
     return found.select(content_id("semcl", holder_ref=F.col("holder_ref"), claim_on=F.col("claim_on"), via=F.col("via")).alias("id"), "holder_ref", "claim_on", "via", basis.alias("basis"))
+
+
+def fee_split(contracts: DataFrame, functions: DataFrame, relationships: DataFrame, variables: DataFrame, held: DataFrame) -> DataFrame:
+    """(contract, endpoints, destinations, accessors) of contracts that split fees.
+
+    A contract whose closure has a pinned fee function that writes two variables at least,
+    two of which some one function touches, and that holds a classified asset.
+    held(contract_id, asset_id).
+    """
+    surface = abi_signatures(contracts, functions, relationships).where(F.col("signature").isin(FEE_PINS)).select("contract", F.col("function").alias("source"))
+    uses = relationships.where("type in ('READS', 'WRITES')").join(variables.select(F.col("id").alias("target")), "target", "left_semi")
+    written = surface.distinct().join(uses.where("type = 'WRITES'").select("source", "target"), "source").select("contract", F.col("target").alias("destination")).distinct()
+    several = written.groupBy("contract").agg(F.count("*").alias("destinations")).where("destinations >= 2")
+    touched = uses.select(F.col("source").alias("function"), F.col("target").alias("destination")).distinct()
+    both = written.join(several.select("contract"), "contract", "left_semi").join(touched, "destination").groupBy("contract", "function").agg(F.count("*").alias("_n")).where("_n >= 2")
+    accessors = both.groupBy("contract").agg(F.count("*").alias("accessors"))
+    endpoints = held.groupBy(F.col("contract_id").alias("contract")).agg(F.array_sort(F.collect_set("asset_id")).alias("endpoints"))
+    return several.join(accessors, "contract").join(endpoints, "contract").select("contract", "endpoints", "destinations", "accessors")

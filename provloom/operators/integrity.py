@@ -30,8 +30,8 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """Keys with different contents."""
-    return rows.groupBy(key).agg(F.min(content).alias("_a"), F.max(content).alias("_b")).where("_a <> _b").select(key)
+    """Keys with different contents; null is a content of its own."""
+    return rows.withColumn("_c", F.to_json(F.struct(content))).groupBy(key).agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a <> _b").select(key)
 
 
 def unsorted_pairs(rows: DataFrame, group: str, position: str, value: str) -> DataFrame:

@@ -166,6 +166,7 @@ def compositions(roots: DataFrame, steps: DataFrame, scratch, max_depth: int = 8
         parts.append(level)
         frontier = level.where("flag = 'taken'").select("root", F.col("target").alias("at"), F.concat("chain", F.array("target")).alias("chain"))
         if depth > max_depth or frontier.isEmpty():
+            scratch.drop("successors")
             return reduce(DataFrame.unionByName, parts)
 
 

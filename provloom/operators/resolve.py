@@ -44,14 +44,24 @@ def unique_by_name(named: DataFrame, name: str) -> DataFrame:
     return named.join(counts, name).withColumn("unique", F.col("matches") == 1)
 
 
+def pin_hits(signatures: DataFrame, pins: DataFrame) -> DataFrame:
+    """(contract, families): the families all of whose pins a contract has, in one aggregation.
+
+    ``pins`` is a recognition list; one row per family comes to the driver.
+    """
+    sizes = {r["family"]: r["n"] for r in pins.groupBy("family").agg(F.count_distinct("signature").alias("n")).orderBy("family").collect()}
+    hit = F.when(F.col("family").isNotNull(), F.struct("family", "signature"))
+    held = signatures.select("contract", "signature").join(pins.select("family", "signature").distinct(), "signature", "left").groupBy("contract").agg(F.collect_set(hit).alias("_hits"))
+    def whole(family: str, size: int):
+        return F.when(F.size(F.filter("_hits", lambda hit: hit["family"] == F.lit(family))) == size, F.lit(family))
+
+    found = F.array(*[whole(family, size) for family, size in sizes.items()]).cast("array<string>")
+    return held.select("contract", F.filter(found, lambda f: f.isNotNull()).alias("families"))
+
+
 def family_of(signatures: DataFrame, pins: DataFrame) -> DataFrame:
     """(contract, family): the one family all of whose pins the contract has; ``unknown`` for none or several."""
-    size = pins.groupBy("family").agg(F.count_distinct("signature").alias("_size"))
-    have = signatures.select("contract", "signature").distinct()
-    full = have.join(F.broadcast(pins.distinct()), "signature").groupBy("contract", "family").agg(F.count("*").alias("_n"))
-    full = full.join(F.broadcast(size), "family").where("_n = _size")
-    one = full.groupBy("contract").agg(F.count("*").alias("_f"), F.min("family").alias("family")).where("_f = 1").select("contract", "family")
-    return have.select("contract").distinct().join(one, "contract", "left").select("contract", F.coalesce("family", F.lit("unknown")).alias("family"))
+    return pin_hits(signatures, pins).select("contract", F.when(F.size("families") == 1, F.element_at("families", 1)).otherwise("unknown").alias("family"))
 
 
 def in_one_container(issues: DataFrame, containers: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ from provloom.functions.text import first_match, glob_pattern
 from provloom.operators.aggregate import ratio
 
 STATUSES = ["ANALYZED", "EXCLUDED", "NOT_FOUND", "UNRESOLVED", "UNSUPPORTED", "FAILED"]
+#: Folders that are never scanned, at any depth; a scan may name more.
 ALWAYS_EXCLUDED = [".git", "node_modules"]
 
 
-def inventory(files: DataFrame, includes: list[str], excludes: list[str], limit_bytes: int) -> DataFrame:
+def inventory(files: DataFrame, includes: list[str], excludes: list[str], limit_bytes: int, never: list[str] = ALWAYS_EXCLUDED) -> DataFrame:
     """files(path, bytes, ...) that an include names, with the rule that excludes each, or null."""
     wanted = F.lit(False)
     for glob in includes:
         wanted = wanted | F.col("path").rlike(glob_pattern(glob))
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    always = F.coalesce(*[F.when(F.array_contains(folders, d), F.lit(f"always:{d}")) for d in ALWAYS_EXCLUDED])
+    always = F.coalesce(*[F.when(F.array_contains(folders, d), F.lit(f"always:{d}")) for d in never])
     too_large = F.when(F.col("bytes") > limit_bytes, F.lit("limit:maxFileBytes"))
     return files.where(wanted).withColumn("rule", F.coalesce(always, first_match(F.col("path"), excludes, "config:excludes:"), too_large))
 

@@ -15,15 +15,33 @@ def dependencies(relationships: DataFrame, functions: DataFrame) -> DataFrame:
     return named.groupBy("dependency").agg(F.count("*").alias("calls"), F.count_distinct("source").alias("callers"), F.min_by("call_kind", order).alias("first_kind"))
 
 
-def callbacks(functions: DataFrame, implementers: DataFrame) -> DataFrame:
-    """(function_id, direction): consumed if any contract other than the function's own implements an interface.
+#: Visibilities that an entry point may have.
+ENTRY_VISIBILITY = ["public", "external"]
 
-    Whether one exists depends on two numbers only: how many implementers there are, and
-    whether the function's own contract is the only one.
+
+def is_entry(visibility: Column) -> Column:
+    return visibility.isin(ENTRY_VISIBILITY)
+
+
+def takes_callbacks(parameters: Column) -> Column:
+    """Whether any parameter type is an address, or holds calldata or bytes."""
+    return F.exists(parameters, lambda p: (p == "address") | p.contains("calldata") | p.contains("bytes"))
+
+
+def callbacks(functions: DataFrame, implementers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(surface, unknowns) of functions(id, contract_id, visibility, parameters).
+
+    A surface function is one that anyone may call with an address or bytes; it is consumed
+    if any contract other than its own implements an interface, else its direction is
+    unknown.  Whether such a contract exists depends on two numbers only: how many
+    implementers there are, and whether the function's own is the only one.
     """
     some = implementers.agg(F.count_distinct("contract").alias("n"), F.min("contract").alias("one")).first()
     consumed = F.lit(some["n"] > 1) | (F.lit(some["n"] == 1) & (F.col("contract_id") != F.lit(some["one"])))
-    return functions.select(F.col("id").alias("function_id"), F.when(consumed, "consumed").otherwise("offered").alias("direction"))
+    open_ = functions.where(is_entry(F.col("visibility")) & takes_callbacks(F.col("parameters")))
+    surface = open_.select(F.col("id").alias("function_id"), F.when(consumed, "consumed").otherwise("unknown").alias("direction"))
+    unknowns = surface.where("direction = 'unknown'").select(F.col("function_id").alias("record_ref"), F.lit("direction").alias("field"), F.lit("no_evidence").alias("reason"), F.array("function_id").alias("basis"))
+    return surface, unknowns
 
 
 def missing_fields(provenance: DataFrame, rules: dict[str, list[list[str]]], names: dict[str, str] | None = None) -> DataFrame:
@@ -38,11 +56,17 @@ def missing_fields(provenance: DataFrame, rules: dict[str, list[list[str]]], nam
     return provenance.withColumn("missing", broken).where("missing is not null")
 
 
-def remapped(path: Column, remappings: list[str]) -> Column:
-    """The path under the first remapping ``prefix=target`` that it begins with."""
+def remapped(path: Column, remappings: list[str], importer: Column | None = None) -> Column:
+    """The path under the first remapping ``prefix=target`` that it begins with.
+
+    ``context:prefix=target`` counts only where the importing file begins with the context.
+    """
     found = F.lit(None).cast("string")
     for text in remappings:
         prefix, _, target = text.partition("=")
-        prefix = prefix.partition(":")[2] if ":" in prefix and "://" not in prefix else prefix
-        found = F.coalesce(found, F.when(F.startswith(path, F.lit(prefix)), F.concat(F.lit(target), F.substr(path, F.lit(len(prefix) + 1)))))
+        context, prefix = prefix.split(":", 1) if ":" in prefix and "://" not in prefix else ("", prefix)
+        fits = F.startswith(path, F.lit(prefix))
+        if context:
+            fits = fits & (F.startswith(importer, F.lit(context)) if importer is not None else F.lit(False))
+        found = F.coalesce(found, F.when(fits, F.concat(F.lit(target), F.substr(path, F.lit(len(prefix) + 1)))))
     return F.coalesce(found, path)

@@ -44,12 +44,31 @@ def trust_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return trust.dependencies(m.relationships(spark, d), m.functions(spark, d))
 
 
-@query("callback_surface", f"""WITH {m.LAYERS}, impl AS (SELECT DISTINCT 'contract:customer:' || c_custkey AS contract FROM customer WHERE c_custkey % 50 = 7)
-    SELECT id AS function_id, CASE WHEN EXISTS (SELECT 1 FROM impl WHERE contract <> fn.contract_id) THEN 'consumed' ELSE 'offered' END AS direction FROM fn WHERE gate <> ''""")
+PARAMETERS = ["address", "uint256", "bytes32", "string calldata", ""]
+VISIBILITIES = {"F": "public", "O": "external", "P": "internal"}
+SURFACE = f"""WITH impl AS (SELECT DISTINCT 'contract:customer:' || c_custkey AS contract FROM customer WHERE c_custkey = 7),
+    surf AS (SELECT 'function:' || o_orderkey AS id, 'contract:customer:' || o_custkey AS contract_id FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 5 IN (0, 2, 3)),
+    dir AS (SELECT id AS function_id, CASE WHEN EXISTS (SELECT 1 FROM impl WHERE contract <> surf.contract_id) THEN 'consumed' ELSE 'unknown' END AS direction FROM surf)"""
+
+
+def _callbacks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as functions; one customer implements an interface."""
+    orders = load(spark, d, "orders")
+    visibility = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in VISIBILITIES.items()])
+    functions = orders.select(F.concat(F.lit("function:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("contract:customer:"), F.col("o_custkey").cast("string")).alias("contract_id"), visibility.alias("visibility"), F.array(F.element_at(F.array(*map(F.lit, PARAMETERS)), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("parameters"))
+    implementers = load(spark, d, "customer").where("c_custkey = 7").select(F.concat(F.lit("contract:customer:"), F.col("c_custkey").cast("string")).alias("contract"))
+    return trust.callbacks(functions, implementers)
+
+
+@query("callback_surface", SURFACE + " SELECT function_id, direction FROM dir")
 def callback_surface(spark: SparkSession, d: str) -> DataFrame:
-    """Gated functions, and whether any contract but their own implements an interface."""
-    implementers = load(spark, d, "customer").where("c_custkey % 50 = 7").select(F.concat(F.lit("contract:customer:"), F.col("c_custkey").cast("string")).alias("contract"))
-    return trust.callbacks(m.functions(spark, d).where(F.size("modifiers") > 0), implementers)
+    """Open functions that take addresses or bytes, and whether any contract but their own implements an interface."""
+    return _callbacks(spark, d)[0]
+
+
+@query("callback_unknowns", SURFACE + " SELECT function_id AS record_ref, 'direction' AS field, 'no_evidence' AS reason, function_id AS basis FROM dir WHERE direction = 'unknown'")
+def callback_unknowns(spark: SparkSession, d: str) -> DataFrame:
+    return _callbacks(spark, d)[1].withColumn("basis", F.array_join("basis", ","))
 
 
 @query("remapped_imports", """SELECT page_id, CASE WHEN starts_with(url, 'https://www.') THEN 'lib/www/' || substr(url, 13) WHEN starts_with(url, 'https://') THEN 'lib/' || substr(url, 9) ELSE url END AS path FROM pages""")
@@ -57,9 +76,9 @@ def remapped_imports(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", trust.remapped(F.col("url"), ["https://www.=lib/www/", "https://=lib/"]).alias("path"))
 
 
-@query("runs_by_source_identity", sql("files", """SELECT sha256 AS source_hash, string_agg('run:' || doc_id, ',' ORDER BY doc_id) AS runs FROM files WHERE sha256 IN (SELECT sha256 FROM files WHERE doc_id % 20 = 1) GROUP BY 1"""))
+@query("runs_by_source_identity", sql("files", """SELECT sha256 AS source_hash, string_agg('run:' || doc_id, ',' ORDER BY doc_id) AS runs FROM files WHERE sha256 IS NOT NULL GROUP BY 1"""))
 def runs_by_source_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Runs by each source hash; the SQL looks up the hashes of every 20th run only."""
+    """Runs by each source hash."""
     runs = a.files(spark, d).select("doc_id", F.col("sha256").alias("source_hash"))
     listed = F.array_sort(F.collect_list("doc_id"))
     return runs.where("source_hash is not null").groupBy("source_hash").agg(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("run:"), x.cast("string"))), ",").alias("runs"))

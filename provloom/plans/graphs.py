@@ -125,18 +125,18 @@ def _trace(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(f.where("doc_id % 3 = 0").select(entity.alias("source"), F.concat(F.lit("summary:"), (F.col("doc_id") % 13).cast("string")).alias("target"))).distinct()
 
 
-@query("forward_trace", sql("files", f"""WITH {TRACE}, roots AS (SELECT 'file:' || path AS root FROM files WHERE doc_id % 50 = 7), walk AS (SELECT root, root AS node, 0 AS hop FROM roots UNION SELECT root, target, hop + 1 FROM walk JOIN trace ON source = node WHERE hop < 3)
+@query("forward_trace", sql("files", f"""WITH {TRACE}, roots AS (SELECT 'file:' || path AS root FROM files), walk AS (SELECT root, root AS node, 0 AS hop FROM roots UNION SELECT root, target, hop + 1 FROM walk JOIN trace ON source = node WHERE hop < 3)
     SELECT root, node, min(hop) AS hop FROM walk GROUP BY root, node""", recursive=True))
 def forward_trace(spark: SparkSession, d: str) -> DataFrame:
-    """From every file; the SQL follows those of doc_id % 50 = 7 only."""
+    """From every file."""
     roots = a.files(spark, d).select(F.concat(F.lit("file:"), "path").alias("root"))
     return graph.reach(_trace(spark, d), roots, 3)
 
 
-@query("backward_trace", sql("files", f"""WITH {TRACE}, roots AS (SELECT 'entity:' || doc_id AS root FROM files WHERE doc_id % 50 = 9), walk AS (SELECT root, root AS node, 0 AS hop FROM roots UNION SELECT root, source, hop + 1 FROM walk JOIN trace ON target = node WHERE hop < 2)
+@query("backward_trace", sql("files", f"""WITH {TRACE}, roots AS (SELECT 'entity:' || doc_id AS root FROM files), walk AS (SELECT root, root AS node, 0 AS hop FROM roots UNION SELECT root, source, hop + 1 FROM walk JOIN trace ON target = node WHERE hop < 2)
     SELECT root, node, min(hop) AS hop FROM walk GROUP BY root, node""", recursive=True))
 def backward_trace(spark: SparkSession, d: str) -> DataFrame:
-    """From every entity; the SQL follows those of doc_id % 50 = 9 only."""
+    """From every entity."""
     roots = a.files(spark, d).select(F.concat(F.lit("entity:"), F.col("doc_id").cast("string")).alias("root"))
     return graph.reach(_trace(spark, d).select(F.col("target").alias("source"), F.col("source").alias("target")), roots, 2)
 

@@ -65,10 +65,13 @@ def literal_not_found(spark: SparkSession, d: str) -> DataFrame:
     return scope.not_found(a.literals(spark, d), a.files(spark, d))
 
 
-@query("source_fingerprint", sql("files", """SELECT sha256(string_agg(bucket || ' ' || digest, chr(10) ORDER BY bucket)) AS fingerprint, sum(rows)::BIGINT AS rows FROM (
-    SELECT substr(sha256(path), 1, 2) AS bucket, sha256(string_agg(path || ' ' || sha256, chr(10) ORDER BY path)) AS digest, count(*) AS rows FROM files GROUP BY 1)"""))
+@query("source_fingerprint", sql("files", """WITH n AS (SELECT count(*) AS rows, CASE WHEN count(*) <= 64 THEN 0 WHEN count(*) <= 1024 THEN 1 WHEN count(*) <= 16384 THEN 2 ELSE 3 END AS depth FROM files),
+    leaf AS (SELECT substr(sha256(path), 1, depth) AS p, depth, sha256(string_agg(path || ' ' || sha256, chr(10) ORDER BY path)) AS digest FROM files, n GROUP BY 1, 2),
+    up1 AS (SELECT substr(p, 1, 2) AS p, depth, CASE WHEN depth > 2 THEN sha256(string_agg(p || ' ' || digest, chr(10) ORDER BY p)) ELSE min(digest) END AS digest FROM leaf GROUP BY 1, 2),
+    up2 AS (SELECT substr(p, 1, 1) AS p, depth, CASE WHEN depth > 1 THEN sha256(string_agg(p || ' ' || digest, chr(10) ORDER BY p)) ELSE min(digest) END AS digest FROM up1 GROUP BY 1, 2)
+    SELECT CASE WHEN min(u.depth) > 0 THEN sha256(string_agg(p || ' ' || digest, chr(10) ORDER BY p)) ELSE min(digest) END AS fingerprint, (SELECT rows FROM n) AS rows FROM up2 u"""))
 def source_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.table_fingerprint(a.files(spark, d), F.col("path"), F.col("sha256"))
+    return aggregate.table_fingerprint(a.files(spark, d), F.col("path"), F.col("sha256"), leaf_rows=64)
 
 
 @query("manifest_hash", sql("files", """SELECT path, 'man:' || substr(sha256('{"bytes":' || bytes || ',"path":"' || path || '","sha256":"' || sha256 || '"}'), 1, 16) AS id FROM files"""))
@@ -225,8 +228,8 @@ def json_metadata_lookup(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("leakage_scan", """SELECT kind, count(*) FILTER (hit) AS n, count(*) AS texts FROM (SELECT 'timestamp' AS kind, regexp_matches(text, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}') AS hit FROM documents
-    UNION ALL SELECT 'absolute_path', regexp_matches(text, '(^|[\\s"''])/(home|root|tmp|usr|var|etc)/') FROM documents UNION ALL SELECT 'backslash', contains(text, '\\') FROM documents) GROUP BY kind""")
+@query("leakage_scan", """SELECT kind, count(*) FILTER (hit) AS n, count(*) AS texts FROM (SELECT 'timestamp' AS kind, regexp_matches(text, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z') AS hit FROM documents
+    UNION ALL SELECT 'absolute_path', regexp_matches(text, '(^|\\s)/[\\w/.-]+') FROM documents UNION ALL SELECT 'backslash', contains(text, '\\') FROM documents) GROUP BY kind""")
 def leakage_scan(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
     per = F.array(*[F.struct(F.lit(k).alias("kind"), text.leaks(c, k).alias("hit")) for k in text.LEAKS])
@@ -234,9 +237,14 @@ def leakage_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count_if("hit").alias("n"), F.count("*").alias("texts"))
 
 
-@query("banned_vocabulary", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'license|token|secret')")
+WORDS = [*text.BANNED_WORDS, "license", "token", "secret"]
+
+
+@query("banned_vocabulary", f"SELECT word, count(doc_id) AS n FROM (SELECT unnest({WORDS}) AS word) w LEFT JOIN documents ON contains(lower(text), word) GROUP BY word")
 def banned_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").where(text.holds_word(F.col("text"), ["license", "token", "secret"])).select("doc_id")
+    """How many documents hold each banned word, and three words that documents do hold."""
+    held = F.array(*[F.struct(F.lit(w).alias("word"), F.contains(F.lower("text"), F.lit(w)).alias("hit")) for w in WORDS])
+    return load(spark, d, "documents").select(F.explode(held).alias("x")).groupBy("x.word").agg(F.count_if("x.hit").alias("n"))
 
 
 VERSION_SQL = "p_partkey % 3 || '.' || p_size % 9 || '.' || p_partkey % 7"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.operators.scope import inventory
+from provloom.operators.scope import ALWAYS_EXCLUDED, inventory
 from provloom.operators.store import StoreError
 
 
@@ -20,15 +21,52 @@ class ScanConfig:
     excludes: list[str] = field(default_factory=list)
     max_file_bytes: int = 2 * 1024 * 1024
     max_files: int = 5000
+    never: list[str] = field(default_factory=list)  # more folders that are never scanned
+
+
+def listing(spark: SparkSession, config: ScanConfig) -> DataFrame:
+    """(path, bytes, rule, location) of the files under the root; no content is read.
+
+    The root is resolved first and files are named below it, so a link that leads out of the
+    root gives a path without that beginning and is refused.
+    """
+    root = config.root.removeprefix("file://").rstrip("/")
+    if not config.root.startswith(("hdfs:", "s3", "gs:", "abfs")):
+        root = os.path.realpath(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(config.root.rstrip("/")).select("path", "length")
+    place = F.regexp_replace("path", "^file:/+", "/")
+    inside = F.startswith(place, F.lit(root + "/"))
+    plain = F.when(inside, F.substr(place, F.lit(len(root) + 2))).otherwise(F.raise_error(F.concat(F.lit("RootEscape: "), place)))
+    files = found.select(plain.alias("path"), F.col("length").alias("bytes"), F.col("path").alias("location"))
+    return inventory(files, config.includes, config.excludes, config.max_file_bytes, [*ALWAYS_EXCLUDED, *config.never])
+
+
+def hashes(spark: SparkSession, listed: DataFrame, config: ScanConfig) -> DataFrame:
+    """(location, sha256) of files that are kept: at most ``max_files`` and one, named to the reader."""
+    kept = [r["location"] for r in listed.where("rule is null").select("location").limit(config.max_files + 1).collect()]
+    if not kept:
+        return listed.select("location", F.lit(None).cast("string").alias("sha256")).limit(0)
+    return spark.read.format("binaryFile").load(kept).select(F.col("path").alias("location"), F.sha2("content", 256).alias("sha256"))
 
 
 def scan(spark: SparkSession, config: ScanConfig) -> DataFrame:
-    """Files under the root as (path, bytes, sha256, rule); contents are hashed where they are read."""
-    root = config.root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    plain = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root.removeprefix("file://").rstrip("/") + "/", "")
-    files = raw.select(plain.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return inventory(files, config.includes, config.excludes, config.max_file_bytes)
+    """Files under the root as (path, bytes, sha256, rule); only what is kept is read and hashed."""
+    listed = listing(spark, config)
+    return listed.join(hashes(spark, listed, config), "location", "left").select("path", "bytes", "sha256", "rule")
+
+
+def parse_config(raw: dict) -> ScanConfig:
+    """A config of known fields of the right kinds; anything else is refused."""
+    kinds = {"root": str, "includes": list, "excludes": list, "max_file_bytes": int, "max_files": int, "never": list}
+    wrong = [k for k, v in raw.items() if k not in kinds or not isinstance(v, kinds[k]) or (kinds[k] is list and not all(isinstance(x, str) for x in v)) or (kinds[k] is int and (isinstance(v, bool) or v < 1))]
+    if wrong or not raw.get("root"):
+        raise StoreError("InvalidConfig", {"fields": sorted(wrong) or ["root"]})
+    return ScanConfig(**raw)
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a JSON document with one array of records; a malformed one is refused when it is read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def discover(spark: SparkSession, config: ScanConfig) -> tuple[DataFrame, DataFrame]:

@@ -67,8 +67,10 @@ def test_accesses_boundaries_and_trust(spark):
     deps = {r["dependency"]: (r["calls"], r["first_kind"]) for r in trust.dependencies(relationships, functions).collect()}
     assert deps == {"external:c1": (3, "odd"), "external:unknown": (1, "external")}
     one = spark.createDataFrame([("c1",)], "contract string")
-    assert {r["function_id"]: r["direction"] for r in trust.callbacks(functions, one).collect()} == {"f1": "offered", "f2": "offered", "f3": "consumed", "f4": "consumed"}
-    assert {r["direction"] for r in trust.callbacks(functions, one.where("false")).collect()} == {"offered"}
+    surface = spark.createDataFrame([("f1", "c1", "public", ["address"]), ("f2", "c2", "external", ["uint256", "bytes calldata"]), ("f3", "c2", "internal", ["address"]), ("f4", "c3", "public", ["uint256"]), ("f5", "c3", "public", [])], "id string, contract_id string, visibility string, parameters array<string>")
+    found, unknown = trust.callbacks(surface, one)
+    assert {r["function_id"]: r["direction"] for r in found.collect()} == {"f1": "unknown", "f2": "consumed"} and [r["record_ref"] for r in unknown.collect()] == ["f1"]
+    assert {r["direction"] for r in trust.callbacks(surface, one.where("false"))[0].collect()} == {"unknown"}
 
 
 def test_pairs_need_a_common_accessor_and_claims_a_reader(spark):
