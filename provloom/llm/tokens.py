@@ -40,9 +40,13 @@ class TextEncoder:
             spec = json.load(f)
         self.lower = bool(spec.get("normalizer"))
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.limit = limit
+        # Words and pieces are remembered in two generations: what is met again moves to the
+        # younger, and when that is full the older is forgotten, so frequent ones stay.
+        self.limit = limit // 2
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -63,9 +67,22 @@ class TextEncoder:
         raw, ends = ids.tobytes(), (ends * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    @staticmethod
+    def _unknown(wanted, young: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+        """What neither generation knows; what only the older does is moved to the younger."""
+        unknown = []
+        for x in wanted:
+            if x not in young:
+                found = older.get(x)
+                if found is None:
+                    unknown.append(x)
+                else:
+                    young[x] = found
+        return unknown
+
     def _learn(self, missing: list[str]) -> None:
         if len(self.pieces) > self.limit:
-            self.pieces.clear()
+            self.pieces, self.older_pieces = {}, self.pieces
         parts: dict[str, list[str]] = {}
         for word in missing:
             body = word[1:] if word[:1] == " " else word
@@ -75,7 +92,7 @@ class TextEncoder:
                 parts[word] = LOWER_SPLIT.findall(word.lower())
             else:
                 parts[word] = BYTE_SPLIT.findall(word)
-        unknown = list({p for ps in parts.values() for p in ps if p not in self.pieces})
+        unknown = self._unknown({p for ps in parts.values() for p in ps}, self.pieces, self.older_pieces)
         runs = [p for p in unknown if LETTERS.fullmatch(p[1:] if p[0] == " " else p) and (self.lower or p[0] == " ")]
         known = set(runs)
         others = [p for p in unknown if p not in known]
@@ -125,10 +142,9 @@ class TextEncoder:
             spaced[1:][codes[:-1] == line] = False
             keys, codes = np.unique(codes * 2 + spaced, return_inverse=True)
             names = [f" {names[k >> 1]}" if k & 1 else names[k >> 1] for k in keys.tolist()]
-        missing = [w for w in names if w not in self.words]
-        if len(self.words) + len(missing) > self.limit:
-            self.words.clear()
-            missing = names
+        if len(self.words) > self.limit:
+            self.words, self.older_words = {}, self.words
+        missing = self._unknown(names, self.words, self.older_words)
         if missing:
             self._learn(missing)
         found = [self.words[w] for w in names]
