@@ -39,6 +39,7 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lower = bool(spec.get("normalizer"))
+        self.single = rf"\A{'' if self.lower else ' '}[{LETTER}]+\z"
         self.added = [t["content"] for t in spec["added_tokens"]]
         # Words and pieces are remembered in two generations: what is met again moves to the
         # younger, and when that is full the older is forgotten, so frequent ones stay.
@@ -83,6 +84,15 @@ class TextEncoder:
     def _learn(self, missing: list[str]) -> None:
         if len(self.pieces) > self.limit:
             self.pieces, self.older_pieces = {}, self.pieces
+        # Words that are one run of letters are looked up together, without pieces.
+        single = pc.match_substring_regex(pa.array(missing, pa.string()), self.single).to_numpy(zero_copy_only=False)
+        runs = [missing[i] for i in np.flatnonzero(single).tolist()]
+        for i in range(0, len(runs), 2000):
+            chunk = runs[i : i + 2000]
+            self.words.update(zip(chunk, self._runs(chunk)))
+        missing = [missing[i] for i in np.flatnonzero(~single).tolist()]
+        if not missing:
+            return
         parts: dict[str, list[str]] = {}
         for word in missing:
             body = word[1:] if word[:1] == " " else word
