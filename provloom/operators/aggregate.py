@@ -15,6 +15,17 @@ def aggregate_edges(sites: DataFrame) -> DataFrame:
         F.count("*").alias("sites"), F.min_by("kind", order).alias("kind"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def aggregate_keyed_edges(sites: DataFrame) -> DataFrame:
+    """``aggregate_edges`` over integer keys (type, s, t) and kinds of one ASCII character.
+
+    The first site's order and kind are one number (seq, tie under 2^31, kind), so that the
+    groups stay in hash aggregation.
+    """
+    first = F.col("seq") * F.lit(1 << 38) + F.col("tie").cast("long") * 128 + F.ascii("kind")
+    found = sites.groupBy("type", "s", "t").agg(F.count("*").alias("sites"), F.min(first).alias("_first"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return found.select("type", "s", "t", "sites", F.chr(F.col("_first") % 128).alias("kind"), "first_seq", "last_seq")
+
+
 def aggregate_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("subject", "predicate").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 

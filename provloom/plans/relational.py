@@ -116,8 +116,14 @@ def issue_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query("edge_aggregate_first_kind", sql("edge_sites", """SELECT type, source, target, count(*) AS sites, arg_min(kind, (seq, tie, kind)) AS kind, min(seq) AS first_seq, max(seq) AS last_seq FROM edge_sites GROUP BY type, source, target"""))
 def edge_aggregate_first_kind(spark: SparkSession, d: str) -> DataFrame:
-    rows = a.edge_sites(spark, d)
-    return aggregate.aggregate_edges(rows.withColumn("tie", F.struct("tie", "kind")))
+    """Grouped by the tables' own keys; the ids are built for the edges that come out."""
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("u"), F.col("l_linenumber").cast("long").alias("seq"), "l_linestatus", "l_returnflag")
+    called = aggregate.aggregate_keyed_edges(lines.select("s", F.col("u").alias("t"), "seq", F.col("p").alias("tie"), F.col("l_linestatus").alias("kind"), F.lit(0).alias("type")))
+    used = aggregate.aggregate_keyed_edges(lines.select("s", F.col("p").alias("t"), "seq", F.col("u").alias("tie"), F.col("l_returnflag").alias("kind"), F.when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("type")))
+    rest = ["sites", "kind", "first_seq", "last_seq"]
+    named = lambda rows, target: rows.select(F.element_at(F.array(*map(F.lit, ["CALLS", "READS", "WRITES"])), F.col("type") + 1).alias("type"), F.concat(F.lit("function:"), F.col("s").cast("string")).alias("source"), F.concat(F.lit(target), F.col("t").cast("string")).alias("target"), *rest)
+    base = aggregate.aggregate_edges(a.base_edges(spark, d).withColumn("tie", F.struct("tie", "kind")))
+    return base.select("type", "source", "target", *rest).unionByName(named(called, "contract:supplier:")).unionByName(named(used, "state:"))
 
 
 @query("marker_aggregate", sql("facts", "SELECT subject, predicate, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM facts GROUP BY subject, predicate"))
