@@ -136,8 +136,8 @@ def asset_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     customers = load(spark, d, "customer").select(F.concat(F.lit("contract:customer:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("T"), (F.col("c_custkey") % 90).cast("string"), F.col("c_mktsegment")).alias("name"), F.col("c_custkey").alias("k"))
     nations = load(spark, d, "nation").select(F.concat(F.lit("contract:nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("k"))
     contracts = customers.unionByName(nations)
-    signatures = spark.createDataFrame([(s, k) for k, s in enumerate(SIGNATURES)], "signature string, s int")
-    dealt = contracts.join(F.broadcast(signatures), (F.col("k") * 7 + F.col("s") * F.col("s")) % 5 < 2)
+    signatures = F.array(*[F.struct(F.lit(s).alias("signature"), F.lit(k).alias("s")) for k, s in enumerate(SIGNATURES)])
+    dealt = contracts.select("id", "k", F.explode(signatures).alias("x")).select("id", "k", "x.*").where((F.col("k") * 7 + F.col("s") * F.col("s")) % 5 < 2)
     functions_ = dealt.select(F.concat(F.lit("function:"), "id", F.lit(":"), "signature").alias("id"), F.col("id").alias("contract_id"), "signature")
     variables = load(spark, d, "orders").select(F.concat(F.lit("state:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("contract:customer:"), F.col("o_custkey").cast("string")).alias("contract_id"),
                                                 F.concat(F.lit("T"), (F.col("o_orderkey") % 90).cast("string"), F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("type"))
