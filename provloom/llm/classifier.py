@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, ragged, segment_sums, text_blocks, texts_of, window_hashes, word_hashes
+from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, ragged, release_memory, segment_sums, text_blocks, texts_of, window_hashes, word_hashes
 from provloom.storage import Scratch, attach
 
 NGRAMS = (2, 3, 4)
@@ -164,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, *, may_learn: Column | N
     classes = sorted({r["label"] for r in least})
     number = {c: k for k, c in enumerate(classes)}
     samples = [(number[r["label"]], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["weight"], "<f4")) for r in least]
-    return train(samples, classes, buckets, **training)
+    model = train(samples, classes, buckets, **training)
+    del least, samples
+    release_memory()  # the driver lives on after the fit
+    return model
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, *, positive=1, threshold: float = 0.7, held_out: int | None = 2, mod: int = 4) -> DataFrame:
