@@ -6,7 +6,8 @@ others add-one shares of what is left.  Contexts are the last 1 to ``depth`` sym
 the text, its opening included.  A context is a candidate if training texts hold it
 ``min_count`` times, at every size of corpus, and becomes a state if its next-symbol
 distribution diverges from that of the longest state that is its suffix: by ``min_gain``
-nats of leave-one-out likelihood over its occurrences.  A state's distribution is smoothed
+nats of leave-one-out likelihood over its occurrences.  A context that is as frequent as
+its suffix has the same distribution and is no state.  A state's distribution is smoothed
 by that suffix state's (``weight`` occurrences of it), down to the root, and each symbol is
 scored by the longest state that ends what precedes it.
 
@@ -42,7 +43,7 @@ from provloom.llm.blocks import U64, coded_words, crc_bucket, mix, offsets, ragg
 from provloom.storage import Scratch, release_shuffles
 
 OPEN, END = U64(0x4F50454E), U64(0x454E44)
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 ENTRIES_A_PART = 2_000_000
 CHARS_A_PLACE = 16 << 20
 SPARE_BITS = 14
@@ -143,24 +144,27 @@ class Block:
         counts[-2] = counts[-1]  # a text that is learned from opens and ends once
         # Counts of what ends at each position, and which context it is for the next symbol.
         before, asks = counts[self.symbols], {}
-        keys, which = self.keys, self.symbols
+        keys, which, shorter = self.keys, self.symbols, None
         for d in range(1, rules.depth + 1):
             total = np.append(0.0, before[:-1])
             at = np.flatnonzero((self.since >= d) & (total >= rules.min_count))
             if not len(at):
                 break
             # An n-gram is no more frequent than its end: where that stands once, here, it is known.
+            # A context as frequent as its suffix is followed as that is, and is no state.
             taught, most = self.taught[at], before[at]
-            asked = np.flatnonzero((most > 1) | (most == 1) & ~taught)
+            own_way = np.ones(len(at), bool) if shorter is None else total[at] < shorter[at]
+            shorter = total
+            asked = np.flatnonzero(own_way & ((most > 1) | (most == 1) & ~taught))
             grams, own = self.grams(at[asked], d + 1, bits)
             if 2 * d not in answers:
                 asks[2 * d] = (grams, np.bincount(own, taught[asked], len(grams)))
                 break
-            n, total, lower, context = np.minimum(most, taught), total[at], p[at], which[at - 1]
+            n, total, lower, context = np.where(own_way, np.minimum(most, taught), most), total[at], p[at], which[at - 1]
             n[asked] = answers[2 * d][own]
-            use = np.flatnonzero(taught)
+            use = np.flatnonzero(taught & own_way)
             held = np.zeros(len(keys), bool)
-            held[context] = True
+            held[context[own_way]] = True
             held = np.flatnonzero(held)
             held = held[np.argsort(keys[held])]
             if 2 * d + 1 not in answers:
@@ -170,7 +174,7 @@ class Block:
             else:
                 is_state = np.zeros(len(keys), bool)
                 is_state[held] = answers[2 * d + 1]
-                state = is_state[context]
+                state = is_state[context] & own_way
                 p[at[state]] = ((n + rules.weight * lower) / (total + rules.weight))[state]
             before, which = np.zeros(len(before)), np.zeros(len(before), np.int64)
             before[at], which[at[asked]], keys = n, own, grams

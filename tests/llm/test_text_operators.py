@@ -279,7 +279,7 @@ def plain_tree(rows, depth, min_count, min_gain, weight):
         for s in learned:
             for i in range(max(1, d), len(s)):
                 context = tuple(s[i - d : i])
-                if grams[context] >= min_count:
+                if grams[context] >= min_count and not (d > 1 and grams[context] == grams[context[1:]]):
                     p = probability(s, i, d - 1)
                     gain[context] += math.log((grams[context + (s[i],)] - 1 + weight * p) / (grams[context] - 1 + weight) / p)
         states |= {c for c, g in gain.items() if round(g * 16) >= min_gain * 16}
