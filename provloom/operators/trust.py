@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provloom.functions.canonical import content_id
+from provloom.operators import resolve
+
 
 def dependencies(relationships: DataFrame, functions: DataFrame) -> DataFrame:
     """(dependency, calls, callers, first_kind) of resolved kinds of calls, by the target's contract."""
@@ -70,3 +73,27 @@ def remapped(path: Column, remappings: list[str], importer: Column | None = None
             fits = fits & (F.startswith(importer, F.lit(context)) if importer is not None else F.lit(False))
         found = F.coalesce(found, F.when(fits, F.concat(F.lit(target), F.substr(path, F.lit(len(prefix) + 1)))))
     return F.coalesce(found, path)
+
+
+def drafts(calls: DataFrame, functions: DataFrame, pins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(dependencies, capabilities, links) of calls(id, target) into functions(id, contract, signature).
+
+    A dependency is a called contract: its type is the one family of pins that the called
+    signatures hold whole, else unknown.  Capabilities are rows (dependency, direction,
+    capability), one per signature that was seen called; links are rows (dependency, basis),
+    one per call, since a hub's calls have no bound that one row could hold.
+    """
+    met = calls.select("id", "target").join(functions.select(F.col("id").alias("target"), "contract", "signature"), "target")
+    met = met.select(F.concat(F.lit("external:"), "contract").alias("dep_key"), F.col("contract").alias("name"), "signature", F.col("id").alias("basis"))
+    types = resolve.family_of(met.select(F.col("dep_key").alias("contract"), "signature"), pins).select(F.col("contract").alias("dep_key"), F.col("family").alias("dependency_type"))
+    counted = met.groupBy("dep_key", "name").agg(F.count("*").alias("calls")).join(types, "dep_key")
+    ident = content_id("semdep", dep_key=F.col("dep_key"), name=F.col("name"), dependency_type=F.col("dependency_type"))
+    dependencies = counted.select(ident.alias("id"), "dep_key", "name", "dependency_type", "calls")
+    named = met.join(dependencies.select("dep_key", F.col("id").alias("dependency")), "dep_key")
+    capabilities = named.select("dependency", F.lit("observed").alias("direction"), F.col("signature").alias("capability")).distinct()
+    return dependencies, capabilities, named.select("dependency", "basis").distinct()
+
+
+def capability_statement() -> Column:
+    """Over direction, dependency and capabilities (an array)."""
+    return F.format_string("Observed %s capability on %s via %s", "direction", "dependency", F.array_join("capabilities", ", "))

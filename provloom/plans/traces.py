@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.functions import text
-from provloom.operators import aggregate, assets, graph, holdings, lineage, records, resolve
+from provloom.operators import aggregate, assets, graph, holdings, lineage, records, resolve, trust
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
@@ -144,3 +144,37 @@ def artifact_hashes(spark: SparkSession, d: str) -> DataFrame:
     tables = {"edges": a.base_edges(spark, d).select(F.concat_ws("|", "type", "source", "target").alias("k"), F.lit("").alias("v")), "facts": a.facts(spark, d).select(F.col("seq").cast("string").alias("k"), F.concat_ws("|", F.col("subject").cast("string"), "predicate").alias("v"))}
     made = records.artifact(tables, lambda df: aggregate.table_fingerprint(df, F.col("k"), F.col("v")))
     return made.where("length(hash) = 64").select("kind", "rows")
+
+
+DRAFTS = f"""WITH pins(family, signature, k) AS (VALUES {', '.join(f"('{f}', '{s}', {k})" for k, (f, s) in enumerate(ROLE_SIGNATURES))}),
+    fn AS (SELECT 'function:' || o_orderkey AS id, 'c' || o_custkey AS contract, signature FROM orders JOIN pins ON o_orderkey // 4 % {len(ROLE_SIGNATURES)} = k),
+    met AS (SELECT 'rel:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS basis, contract, signature FROM lineitem JOIN fn ON fn.id = 'function:' || (l_partkey * 4 + l_suppkey % 4)),
+    hit AS (SELECT contract, family FROM (SELECT DISTINCT contract, signature FROM met) JOIN pins USING (signature) GROUP BY contract, family HAVING count(*) = (SELECT count(*) FROM pins p WHERE p.family = pins.family)),
+    one AS (SELECT contract, min(family) AS family FROM hit GROUP BY contract HAVING count(*) = 1),
+    dep AS (SELECT 'semdep:' || substr(sha256('{{"dep_key":"external:' || contract || '","dependency_type":"' || coalesce(family, 'unknown') || '","name":"' || contract || '"}}'), 1, 16) AS id, contract AS name, coalesce(family, 'unknown') AS dependency_type, calls
+        FROM (SELECT contract, count(*) AS calls FROM met GROUP BY contract) LEFT JOIN one USING (contract))"""
+
+
+def _drafts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines as calls of orders, which stand for functions with pinned signatures."""
+    names = F.array(*[F.lit(s) for _, s in ROLE_SIGNATURES])
+    key = lambda c: F.concat(F.lit("function:"), c.cast("string"))
+    functions = load(spark, d, "orders").select(key(F.col("o_orderkey")).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("contract"), F.element_at(names, (F.floor(F.col("o_orderkey") / 4) % len(ROLE_SIGNATURES) + 1).cast("int")).alias("signature"))
+    row = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    calls = load(spark, d, "lineitem").select(F.concat(F.lit("rel:"), row).alias("id"), key(F.col("l_partkey") * 4 + F.col("l_suppkey") % 4).alias("target"))
+    return trust.drafts(calls, functions, spark.createDataFrame(ROLE_SIGNATURES, "family string, signature string"))
+
+
+@query("trust_drafts", DRAFTS + " SELECT id, name, dependency_type, calls FROM dep")
+def trust_drafts(spark: SparkSession, d: str) -> DataFrame:
+    return _drafts(spark, d)[0].select("id", "name", "dependency_type", "calls")
+
+
+@query("trust_capabilities", DRAFTS + " SELECT DISTINCT dep.id AS dependency, 'observed' AS direction, signature AS capability FROM met JOIN dep ON dep.name = met.contract")
+def trust_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    return _drafts(spark, d)[1]
+
+
+@query("trust_basis_links", DRAFTS + " SELECT DISTINCT dep.id AS dependency, basis FROM met JOIN dep ON dep.name = met.contract")
+def trust_basis_links(spark: SparkSession, d: str) -> DataFrame:
+    return _drafts(spark, d)[2]
