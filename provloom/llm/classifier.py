@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, *, may_learn: Column | N
     sizes = rows.groupBy("doc_id").agg(F.min("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
     used = takewhile(lambda x: x[1] <= max_entries, zip(sizes, np.cumsum([r["n"] for r in sizes])))
     ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r, _ in used], "doc_id long")
-    least = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("n", "at", "weight", "label")).alias("row")).select("row.*").collect()
+    least = list(rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("n", "at", "weight", "label")).alias("row")).select("row.*").toLocalIterator())
     scratch.drop("features")
     least.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["weight"])))
     classes = sorted({r["label"] for r in least})
