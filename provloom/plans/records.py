@@ -170,9 +170,9 @@ def composition_successors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("compositions", SUCCESSORS.replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT fn.id AS root, 1 AS depth, [fn.id] AS chain, operator, site, target, CASE WHEN target IS NULL THEN 'unresolved' WHEN target = fn.id THEN 'cyclic' ELSE 'taken' END AS flag FROM fn JOIN suc ON suc.function_id = fn.id
-    UNION ALL SELECT root, depth + 1, list_append(chain, w.target), s.operator, s.site, s.target, CASE WHEN s.target IS NULL THEN 'unresolved' WHEN list_contains(list_append(chain, w.target), s.target) THEN 'cyclic' WHEN depth + 1 > 4 THEN 'bound-hit' ELSE 'taken' END FROM w JOIN suc s ON s.function_id = w.target WHERE flag = 'taken')
+    UNION ALL SELECT root, depth + 1, list_append(chain, w.target), s.operator, s.site, s.target, CASE WHEN s.target IS NULL THEN 'unresolved' WHEN list_contains(list_append(chain, w.target), s.target) THEN 'cyclic' WHEN depth + 1 > 8 THEN 'bound-hit' ELSE 'taken' END FROM w JOIN suc s ON s.function_id = w.target WHERE flag = 'taken')
     SELECT root, depth, array_to_string(chain, '>') AS chain, operator, site, flag FROM w""")
 def compositions(spark: SparkSession, d: str) -> DataFrame:
-    """What composing every function takes in, four calls deep."""
-    found = records.compositions(m.functions(spark, d).select("id"), _successors(spark, d), Scratch(spark, "compositions"), 4)
+    """The chains by which composing every function goes on, eight calls deep."""
+    found = records.compositions(m.functions(spark, d).select("id"), _successors(spark, d), Scratch(spark, "compositions"))
     return found.select("root", "depth", F.array_join("chain", ">").alias("chain"), "operator", "site", "flag")
