@@ -1,18 +1,16 @@
-"""Influence and path records, run stages and status, meta values, and artifacts as canonical lines."""
+"""Influence records, run stages and status, meta values, and artifacts as canonical lines."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.canonical import canonical_json, content_id
 
 #: The stage in which each error code arises; all others arise in analysis.
 STAGES = {"NoSourcesFound": "discover", "SourceLimitExceeded": "discover", "RootEscape": "discover", "CompilationFailed": "compile", "CompilerUnavailable": "compile"}
-#: Fixed value: routes that are kept of one first step.
-MAX_ROUTES = 128
 
 
 def state_version(location: Column, function: Column) -> Column:
@@ -45,23 +43,6 @@ def silent_calls(calls: DataFrame, accesses: DataFrame) -> DataFrame:
     return lost.select(F.lit("influence-arg-param").alias("scope"), F.lit("no_evidence").alias("reason"), F.array("id").alias("basis"))
 
 
-def steps_of(path: Column, condition: str = "unknown") -> Column:
-    """The steps of a route of nodes: a node is reached via the hop before it, the first via the first hop."""
-    hop = lambda i: F.concat(path[F.greatest(i - 1, F.lit(0))], F.lit(">"), path[F.greatest(i, F.lit(1))])
-    return F.transform(path, lambda node, i: F.struct(F.lit(condition).alias("condition"), node.alias("node"), hop(i).alias("via")))
-
-
-def path_records(routes: DataFrame, most: int = MAX_ROUTES) -> tuple[DataFrame, DataFrame]:
-    """(records, dropped) of routes(steps): each with its content id, the ``most`` least ids of a first node.
-
-    dropped(anchor, routes): how many routes of a first node are beyond the bound, an unknown.
-    """
-    made = routes.select(F.element_at("steps", 1)["node"].alias("anchor"), content_id("seme", steps=F.col("steps")).alias("id"), "steps").dropDuplicates(["id"])
-    ranked = made.withColumn("_rank", F.row_number().over(Window.partitionBy("anchor").orderBy("id")))
-    dropped = ranked.where(F.col("_rank") > most).groupBy("anchor").agg(F.count("*").alias("routes"))
-    return ranked.where(F.col("_rank") <= most).select("id", "anchor", "steps"), dropped
-
-
 def stage_of(code: Column) -> Column:
     return F.coalesce(*[F.when(code == c, F.lit(stage)) for c, stage in STAGES.items()], F.lit("analysis"))
 

@@ -86,11 +86,15 @@ def own_records(functions: DataFrame, conditions: DataFrame, owned: DataFrame, s
     return entries.unionByName(wraps).withColumn("k", F.col("k").cast("int"))
 
 
-def cyclic_functions(steps: DataFrame) -> DataFrame:
-    """Functions on a cycle of (function, target), or between two of them: the only ones a chain must remember."""
+def cyclic_functions(steps: DataFrame, rounds: int) -> DataFrame:
+    """Functions on a cycle of (function, target), or between two of them: the only ones a chain must remember.
+
+    Some with long ways to and from them may be among them after so few ``rounds``; that
+    makes more states, not others.
+    """
     edges = steps.where("target is not null").select(F.col("function").alias("source"), "target")
-    left = graph.cycle_residue(edges)
-    both = graph.cycle_residue(left.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    left = graph.cycle_residue(edges, rounds)
+    both = graph.cycle_residue(left.select(F.col("target").alias("source"), F.col("source").alias("target")), rounds)
     return both.select(F.col("source").alias("target")).distinct()
 
 
@@ -130,7 +134,7 @@ class Compositions:
         self.roots = roots.select(F.col("id").alias("root")).distinct()
         open_ = functions.where(is_entry(F.col("visibility"))).agg(F.min_by("id", code_units(F.col("id"))).alias("id")).first()
         self.fallback = open_["id"] if open_ else None
-        self.cyclic = self.scratch.keep(cyclic_functions(self.steps).withColumn("_cyclic", F.lit(True)), "cyclic")
+        self.cyclic = self.scratch.keep(cyclic_functions(self.steps, bound).withColumn("_cyclic", F.lit(True)), "cyclic")
         self.found, self.reentry = self._contract(self._levels(roots))
 
     def _states(self, rows: DataFrame) -> DataFrame:

@@ -92,19 +92,23 @@ def traced(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFram
     return found, flags
 
 
-def contexts(edges: DataFrame, entries: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(root, node, hop, chain): the shortest call chain from each entry to each target.
+def contexts(edges: DataFrame, entries: DataFrame, max_depth: int | None = None, step: str = "id") -> DataFrame:
+    """(root, node, hop, chain): the shortest call chain from each entry to each target, however long.
 
-    Of equally short chains the least in the order of its parents' chains and then of the
-    edge id is kept, as a breadth-first walk that takes edges by id would.
+    ``step`` is the column of an edge that chains are made of; it must tell edges apart and
+    order them.  Of equally short chains the least is kept: parents in the order of their own
+    chains, then edges, as a breadth-first walk that takes edges in order would.
+    ``max_depth`` bounds the walk where the caller wants less.
     """
     scratch = Scratch(edges.sparkSession, "contexts")
-    steps = scratch.keep(edges.select("id", "source", "target"), "edges")
-    frontier = scratch.keep(entries.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hop"), F.array().cast("array<string>").alias("chain")), "hop-0")
-    seen = frontier
-    for hop in range(1, max_depth + 1):
-        step = frontier.join(steps, frontier["node"] == steps["source"]).select("root", F.col("target").alias("node"), F.array_append("chain", F.col("id")).alias("chain"))
-        best = step.groupBy("root", "node").agg(F.min("chain").alias("chain"))
+    steps = scratch.keep(edges.select(F.col(step).alias("_step"), "source", "target"), "edges")
+    kind = dict(steps.dtypes)["_step"]
+    frontier = scratch.keep(entries.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hop"), F.array().cast(f"array<{kind}>").alias("chain")), "hop-0")
+    seen, hop = frontier, 0
+    while max_depth is None or hop < max_depth:
+        hop += 1
+        near = frontier.join(steps, frontier["node"] == steps["source"]).select("root", F.col("target").alias("node"), F.array_append("chain", F.col("_step")).alias("chain"))
+        best = near.groupBy("root", "node").agg(F.min("chain").alias("chain"))
         frontier = scratch.keep(best.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("hop"), "chain"), f"hop-{hop}")
         if frontier.isEmpty():
             break
@@ -129,12 +133,15 @@ def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFram
     return (frontier if found is None else found).select("root", "path")
 
 
-def cycle_residue(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without outgoing edges are taken away again and again: empty if acyclic."""
+def cycle_residue(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges left when nodes without outgoing edges are taken away again and again: empty if acyclic.
+
+    After ``rounds``, where given, what still stands leads at least so far.
+    """
     scratch = Scratch(edges.sparkSession, "cycles")
     left = scratch.keep(edges.select("source", "target").distinct(), "left-0")
     before, k = left.count(), 0
-    while before:
+    while before and (rounds is None or k < rounds):
         k += 1
         inner = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
         left = scratch.keep(inner, f"left-{k}")

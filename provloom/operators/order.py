@@ -23,7 +23,7 @@ def code_units_of_all(texts: Column) -> Column:
 
 def sorted_by_units(texts: Column) -> Column:
     """An array of texts in code-unit order, each once."""
-    pairs = F.transform(F.array_distinct(texts), lambda t: F.struct(code_units(t).alias("k"), t.alias("t")))
+    pairs = F.transform(F.array_distinct(texts), lambda t: F.named_struct(F.lit("k"), code_units(t), F.lit("t"), t))
     return F.transform(F.array_sort(pairs), lambda p: p["t"])
 
 

@@ -1,13 +1,12 @@
-"""Queries of influence, routes, stages, status, meta values and artifacts' lines, each beside its SQL."""
+"""Queries of influence, stages, status, meta values and artifacts' lines, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.operators import artifacts, execution, graph, records, scope
+from provloom.operators import artifacts, records, scope
 from provloom.plans import adapters as a
-from provloom.plans import graphs
 from provloom.plans import semantics as m
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
@@ -42,26 +41,6 @@ def influence_unknowns(spark: SparkSession, d: str) -> DataFrame:
     return records.unknowns(artifacts.silent_calls(calls, accesses)).withColumn("basis", F.array_join("basis", ","))
 
 
-ROUTES = f"""WITH {graphs.PATHS}, s AS (SELECT path[1] AS anchor, '{{"steps":[' || array_to_string(list_transform(range(1, len(path) + 1), lambda i: '{{"condition":"unknown","node":"' || path[i] || '","via":"' || path[greatest(i - 1, 1)] || '>' || path[greatest(i, 2)] || '"}}'), ',') || ']}}' AS payload, array_to_string(path, '>') AS path FROM p WHERE len(path) > 1),
-    k AS (SELECT anchor, 'seme:' || substr(sha256(payload), 1, 16) AS id, path FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY id) AS n FROM k)"""
-
-
-def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    paths = graph.simple_paths(a.chain(spark, d, 2), a.first_turns(spark, d), 4)
-    return artifacts.path_records(paths.select(artifacts.steps_of(F.col("path")).alias("steps")), 8)
-
-
-@query("path_records", sql("chain2 first_turns", ROUTES + " SELECT id, anchor, path FROM r WHERE n <= 8", recursive=True))
-def path_records(spark: SparkSession, d: str) -> DataFrame:
-    """Routes of conversations, eight of each first turn."""
-    return _routes(spark, d)[0].select("id", "anchor", F.array_join(F.transform("steps", lambda s: s["node"]), ">").alias("path"))
-
-
-@query("path_records_dropped", sql("chain2 first_turns", ROUTES + " SELECT anchor, count(*) AS routes FROM r WHERE n > 8 GROUP BY anchor", recursive=True))
-def path_records_dropped(spark: SparkSession, d: str) -> DataFrame:
-    return _routes(spark, d)[1]
-
-
 CODES = ["NoSourcesFound", "CompilationFailed", "RootEscape", "InvalidReconState", "CompilerUnavailable"]
 
 
@@ -102,18 +81,3 @@ def unknown_keys(spark: SparkSession, d: str) -> DataFrame:
     """Events whose properties have keys that the schema does not know; every ninth is given two."""
     rows = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, '{"z":1,"k":2,"a":3}').otherwise(F.col("props")).alias("props"))
     return artifacts.unknown_keys(rows, "event_id", "props", ["k"]).withColumn("extra", F.array_join("extra", ","))
-
-
-@query("execution_contexts", f"""WITH RECURSIVE {m.LAYERS}, call AS (SELECT id || '>' || target AS e, source, target FROM known WHERE type = 'CALLS' AND known), entry AS (SELECT 'function:' || o_orderkey AS root FROM orders WHERE o_orderstatus IN ('F', 'O')),
-    w AS (SELECT root, root AS node, 0 AS hop, CAST([] AS VARCHAR[]) AS chain FROM entry UNION ALL SELECT root, target, hop + 1, list_append(chain, e) FROM w JOIN call ON source = node WHERE hop < 4),
-    best AS (SELECT root, node, min((hop, chain))[2] AS chain FROM w GROUP BY root, node), every AS (SELECT * FROM best UNION ALL SELECT id, id, [] FROM fn WHERE id NOT IN (SELECT node FROM best)),
-    c AS (SELECT root AS entry, node, [root] || list_transform(chain, lambda x: split_part(x, '>', 2)) AS chain, list_transform(chain, lambda x: split_part(x, '>', 1)) AS basis, gate FROM every JOIN fn ON fn.id = node)
-    SELECT 'seme:' || substr(sha256('{{"chain":["' || array_to_string(chain, '","') || '"],"entry":"' || entry || '","gates":[' || CASE WHEN gate = '' THEN '' ELSE '"' || gate || '"' END || ']}}'), 1, 16) AS id, entry, node, array_to_string(chain, '>') AS chain, gate AS gates, array_to_string(basis, ',') AS basis FROM c""")
-def execution_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """How open functions reach others, four calls deep, and functions that none reaches."""
-    status = F.col("o_orderstatus")
-    seen = load(spark, d, "orders").select(F.concat(F.lit("function:"), F.col("o_orderkey").cast("string")).alias("id"), F.when(status == "F", "public").when(status == "O", "external").otherwise("internal").alias("visibility"))
-    functions = m.functions(spark, d).select("id", "modifiers").join(seen, "id")
-    calls = m.relationships(spark, d).where("type = 'CALLS'").join(functions.select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target")
-    made = execution.context_records(functions, calls, 4)
-    return made.select("id", "entry", "node", F.array_join("chain", ">").alias("chain"), F.array_join("gates", ",").alias("gates"), F.array_join("basis", ",").alias("basis"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from provloom.plans import artifacts, checks, compositions, graphs, records, relational, semantics, traces, validation  # noqa: F401
+from provloom.plans import artifacts, checks, compositions, graphs, records, relational, routes, semantics, traces, validation  # noqa: F401
 from provloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
