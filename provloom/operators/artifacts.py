@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.canonical import canonical_json, content_id
+from provloom.operators.order import sorted_by_units
 
 #: The stage in which each error code arises; all others arise in analysis.
 STAGES = {"NoSourcesFound": "discover", "SourceLimitExceeded": "discover", "RootEscape": "discover", "CompilationFailed": "compile", "CompilerUnavailable": "compile"}
@@ -17,24 +18,42 @@ def state_version(location: Column, function: Column) -> Column:
     return F.concat(F.lit("state-version:"), location, F.lit("@"), function)
 
 
+def attributed_accesses(relationships: DataFrame, functions: DataFrame) -> DataFrame:
+    """(location, file, line_start, line_end, function, write_ids, read_ids): each access once for every function that takes part in it.
+
+    An access is all READS and WRITES of one location in one span; its ids are all of theirs,
+    whichever function they come from.
+    """
+    known = relationships.where("type in ('READS', 'WRITES')").join(functions.select(F.col("id").alias("source")), "source", "left_semi")
+    ids = lambda kind: sorted_by_units(F.collect_set(F.when(F.col("type") == kind, F.col("id")))).alias(f"{kind.lower()[:-1]}_ids")
+    span = ["file", "line_start", "line_end"]
+    whole = known.groupBy(F.col("target").alias("location"), *span).agg(ids("WRITES"), ids("READS"))
+    owners = known.select(F.col("target").alias("location"), *span, F.col("source").alias("function")).distinct()
+    return owners.join(whole, ["location", *span])
+
+
 def influences(accesses: DataFrame, conditions: DataFrame, calls: DataFrame) -> DataFrame:
-    """(id, kind, from_ref, to_ref, evidence) of data, control and call influence.
+    """(id, kind, from_ref, to_ref, evidence, basis) of data, control and call influence.
 
-    accesses(function, location, op, ids: the edges of one function and location), conditions
-    (id, function), calls(id, source, target) of known targets.  Data flows where a function
-    that writes a location calls another that reads it.
+    accesses from ``attributed_accesses``, conditions(id, function, basis), calls(id, source,
+    target) between known functions.  Data flows where a function of an access that writes a
+    location calls one of an access that reads it; the evidence is that of these two accesses.
     """
-    effects = accesses.select(F.col("function").alias("target"), "location", F.col("ids").alias("read_ids"), "reads")
-    writers = accesses.where("writes").select(F.col("function").alias("source"), "location", F.col("ids").alias("write_ids"))
-    data = calls.where("source <> target").join(writers, "source").join(effects.where("reads"), ["target", "location"])
-    data = data.select(F.lit("data-supported").alias("kind"), state_version(F.col("location"), F.col("source")).alias("from_ref"), state_version(F.col("location"), F.col("target")).alias("to_ref"), F.concat("write_ids", "read_ids", F.array("id")).alias("evidence"))
-    control = conditions.select("id", F.col("function").alias("target")).join(effects, "target")
-    control = control.select(F.lit("control-supported").alias("kind"), F.concat(F.lit("gate:"), "id").alias("from_ref"), state_version(F.col("location"), F.col("target")).alias("to_ref"), F.concat(F.array("id"), "read_ids").alias("evidence"))
-    called = calls.join(effects, "target")
-    called = called.select(F.lit("call-supported").alias("kind"), F.concat(F.lit("call-site:"), "id").alias("from_ref"), state_version(F.col("location"), F.col("target")).alias("to_ref"), F.concat(F.array("id"), "read_ids").alias("evidence"))
-    rows = data.unionByName(control).unionByName(called).withColumn("evidence", F.array_sort(F.array_distinct("evidence")))
+    own = accesses.select(F.col("function").alias("target"), "location", "write_ids", "read_ids", F.concat("write_ids", "read_ids").alias("effect_ids"))
+    writers = own.where("size(write_ids) > 0").select(F.col("target").alias("source"), "location", F.col("write_ids").alias("evidence"))
+    readers = own.where("size(read_ids) > 0").select("target", "location", "read_ids")
+    data = calls.where("source <> target").join(writers, "source").join(readers, ["target", "location"])
+    data = data.select(F.lit("data-supported").alias("kind"), state_version(F.col("location"), F.col("source")).alias("from_ref"), state_version(F.col("location"), F.col("target")).alias("to_ref"), F.concat("evidence", "read_ids", F.array("id")).alias("evidence"), F.array("location", "source", "target").alias("more"))
+    control = conditions.select("id", F.col("function").alias("target"), F.col("basis").alias("held")).join(own, "target")
+    control = control.select(F.lit("control-supported").alias("kind"), F.concat(F.lit("gate:"), "id").alias("from_ref"), state_version(F.col("location"), F.col("target")).alias("to_ref"), F.concat(F.array("id"), "effect_ids").alias("evidence"), F.concat("effect_ids", "held", F.array("location")).alias("more"))
+    called = calls.join(own, "target")
+    called = called.select(F.lit("call-supported").alias("kind"), F.concat(F.lit("call-site:"), "id").alias("from_ref"), state_version(F.col("location"), F.col("target")).alias("to_ref"), F.concat(F.array("id"), "effect_ids").alias("evidence"), F.array("location", "source", "target").alias("more"))
+    rows = data.unionByName(control).unionByName(called)
+    # The condition itself is evidence of a control influence, no basis of it.
+    basis = F.when(F.col("kind") == "control-supported", F.col("more")).otherwise(F.concat("evidence", "more"))
+    rows = rows.select("kind", "from_ref", "to_ref", sorted_by_units(F.col("evidence")).alias("evidence"), sorted_by_units(basis).alias("basis"))
     ident = content_id("seme", **{"kind": F.col("kind"), "from": F.col("from_ref"), "to": F.col("to_ref"), "evidence": F.col("evidence")})
-    return rows.select(ident.alias("id"), "kind", "from_ref", "to_ref", "evidence").distinct()
+    return rows.select(ident.alias("id"), "kind", "from_ref", "to_ref", "evidence", "basis").dropDuplicates(["id"])
 
 
 def silent_calls(calls: DataFrame, accesses: DataFrame) -> DataFrame:

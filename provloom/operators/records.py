@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.canonical import content_id
+from provloom.operators.order import code_units, numbered
 
 #: Why something is unknown.
 UNKNOWN_REASONS = [
@@ -61,9 +62,10 @@ def unknowns(*drafts: DataFrame) -> DataFrame:
     return made.select(content_id("seme", scope=F.col("scope"), reason=F.col("reason"), basis=F.col("basis")).alias("id"), "*").dropDuplicates(["id"])
 
 
-def ordered_unknowns(found: DataFrame) -> DataFrame:
-    """The final order of unknowns (record, field, reason, basis): by the text of the basis last."""
-    return found.orderBy("record_ref", "field", "reason", F.to_json("basis"))
+def ordered_unknowns(found: DataFrame, scratch) -> DataFrame:
+    """Unknowns (record_ref, field, reason, basis) with their final place: by code units, the text of the basis last."""
+    keys = [code_units(F.col(c)) for c in ("record_ref", "field", "reason")] + [code_units(F.to_json("basis"))]
+    return numbered(found.select("record_ref", "field", "reason", "basis"), [], keys, "place", scratch, "unknowns")
 
 
 def event_error_patch(uses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,9 +170,3 @@ def compositions(roots: DataFrame, steps: DataFrame, scratch, max_depth: int = 8
         if depth > max_depth or frontier.isEmpty():
             scratch.drop("successors")
             return reduce(DataFrame.unionByName, parts)
-
-
-def artifact(records: dict[str, DataFrame], fingerprint) -> DataFrame:
-    """(kind, rows, hash): one row per record table of an artifact, by kind."""
-    made = [fingerprint(df).select(F.lit(kind).alias("kind"), F.coalesce("rows", F.lit(0)).alias("rows"), F.col("fingerprint").alias("hash")) for kind, df in sorted(records.items())]
-    return reduce(DataFrame.unionByName, made)

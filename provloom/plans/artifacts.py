@@ -14,24 +14,28 @@ from provloom.storage import load
 
 
 def influence_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = m.relationships(spark, d)
-    accesses = r.where("type <> 'CALLS'").groupBy(F.col("source").alias("function"), F.col("target").alias("location")).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.bool_or(F.col("type") == "READS").alias("reads"), F.bool_or(F.col("type") == "WRITES").alias("writes"))
-    functions = m.functions(spark, d)
-    conditions = functions.where(F.size("modifiers") > 0).select(F.concat(F.lit("cond:"), "id").alias("id"), F.col("id").alias("function"))
-    calls = r.where("type = 'CALLS'").join(functions.select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target")
-    return accesses, conditions, calls
+    """Accesses, gates and calls; lines of one part within ten orders stand in one span, so that functions share accesses."""
+    r, functions = m.relationships(spark, d), m.functions(spark, d)
+    order = F.substring_index("source", ":", -1).cast("long")
+    shared = r.where("type <> 'CALLS'").withColumn("file", F.concat(F.lit("o"), F.floor(order / 1000).cast("string"))).withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(9))
+    conditions = functions.where(F.size("modifiers") > 0).select(F.concat(F.lit("cond:"), "id").alias("id"), F.col("id").alias("function"), F.array("id").alias("basis"))
+    ids = functions.select("id")
+    calls = r.where("type = 'CALLS'").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select("id", "source", "target")
+    return artifacts.attributed_accesses(shared, functions), conditions, calls
 
 
-INFLUENCE = f"""WITH {m.LAYERS}, acc AS (SELECT source AS f, target AS loc, list_sort(list(DISTINCT id)) AS ids, bool_or(type = 'READS') AS r, bool_or(type = 'WRITES') AS w FROM rel WHERE type <> 'CALLS' GROUP BY 1, 2),
-    call AS (SELECT id, source, target FROM known WHERE type = 'CALLS' AND known),
-    inf AS (SELECT 'data-supported' AS kind, 'state-version:' || x.loc || '@' || source AS f, 'state-version:' || y.loc || '@' || target AS t, list_sort(list_distinct(x.ids || y.ids || [call.id])) AS e FROM call JOIN acc x ON x.f = source AND x.w JOIN acc y ON y.f = target AND y.r AND y.loc = x.loc WHERE source <> target
-        UNION ALL SELECT 'control-supported', 'gate:cond:' || fn.id, 'state-version:' || loc || '@' || fn.id, list_sort(list_distinct(['cond:' || fn.id] || ids)) FROM fn JOIN acc ON acc.f = fn.id WHERE gate <> ''
-        UNION ALL SELECT 'call-supported', 'call-site:' || call.id, 'state-version:' || loc || '@' || target, list_sort(list_distinct([call.id] || ids)) FROM call JOIN acc ON acc.f = target)"""
+INFLUENCE = f"""WITH {m.LAYERS}, whole AS (SELECT target AS loc, split_part(source, ':', 2)::BIGINT // 1000 AS place, coalesce(list_sort(list(DISTINCT rel.id) FILTER (type = 'WRITES')), []) AS w, coalesce(list_sort(list(DISTINCT rel.id) FILTER (type = 'READS')), []) AS r, list(DISTINCT source) AS owners
+        FROM rel JOIN fn ON fn.id = source WHERE type <> 'CALLS' GROUP BY 1, 2),
+    acc AS (SELECT unnest(owners) AS f, loc, w, r FROM whole), call AS (SELECT k.id, source, target FROM known k JOIN fn ON fn.id = source WHERE type = 'CALLS' AND known),
+    inf AS (SELECT 'data-supported' AS kind, 'state-version:' || x.loc || '@' || source AS f, 'state-version:' || y.loc || '@' || target AS t, list_sort(x.w || y.r || [call.id]) AS e, [x.loc, source, target] || x.w || y.r || [call.id] AS b FROM call JOIN acc x ON x.f = source AND len(x.w) > 0 JOIN acc y ON y.f = target AND len(y.r) > 0 AND y.loc = x.loc WHERE source <> target
+        UNION ALL SELECT 'control-supported', 'gate:cond:' || fn.id, 'state-version:' || loc || '@' || fn.id, list_sort(['cond:' || fn.id] || w || r), w || r || [fn.id, loc] FROM fn JOIN acc ON acc.f = fn.id WHERE gate <> ''
+        UNION ALL SELECT 'call-supported', 'call-site:' || call.id, 'state-version:' || loc || '@' || target, list_sort([call.id] || w || r), [call.id, loc, source, target] || w || r FROM call JOIN acc ON acc.f = target)"""
 
 
-@query("influence_records", INFLUENCE + """ SELECT DISTINCT 'seme:' || substr(sha256('{"evidence":["' || array_to_string(e, '","') || '"],"from":"' || f || '","kind":"' || kind || '","to":"' || t || '"}'), 1, 16) AS id, kind, f AS from_ref, t AS to_ref, array_to_string(e, ',') AS evidence FROM inf""")
+@query("influence_records", INFLUENCE + """ SELECT DISTINCT 'seme:' || substr(sha256('{"evidence":["' || array_to_string(e, '","') || '"],"from":"' || f || '","kind":"' || kind || '","to":"' || t || '"}'), 1, 16) AS id, kind, f AS from_ref, t AS to_ref, array_to_string(e, ',') AS evidence, array_to_string(list_sort(list_distinct(b)), ',') AS basis FROM inf""")
 def influence_records(spark: SparkSession, d: str) -> DataFrame:
-    return artifacts.influences(*influence_inputs(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
+    """How what one function does bears on another, with the evidence of the accesses concerned."""
+    return artifacts.influences(*influence_inputs(spark, d)).withColumn("evidence", F.array_join("evidence", ",")).withColumn("basis", F.array_join("basis", ","))
 
 
 @query("influence_unknowns", INFLUENCE + """ SELECT 'seme:' || substr(sha256('{"basis":["' || id || '"],"reason":"no_evidence","scope":"influence-arg-param"}'), 1, 16) AS id, 'influence-arg-param' AS scope, 'no_evidence' AS reason, id AS basis FROM call WHERE target NOT IN (SELECT f FROM acc)""")

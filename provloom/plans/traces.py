@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.functions import text
-from provloom.operators import aggregate, assets, graph, holdings, lineage, records, resolve, trust
+from provloom.operators import aggregate, assets, documents, graph, holdings, lineage, resolve, trust
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
-from provloom.storage import load
+from provloom.storage import Scratch, load
 
 
 def derivations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -138,12 +138,18 @@ def normal_forms(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", text.modifier_text(s("  only", n % 3), s(" a, \n b", u, " ")).alias("modifier"), text.literal_path(pattern).alias("literal"), text.long_version(build).alias("version"), text.known_or_unknown(F.col("event_type"), ["view", "click"]).alias("visibility"), text.safe_path(path).alias("safe"))
 
 
-@query("artifact_hashes", sql("base_edges facts", """SELECT 'edges' AS kind, count(*) AS rows FROM base_edges UNION ALL SELECT 'facts', count(*) FROM facts"""))
+@query("artifact_hashes", sql("base_edges facts files", """SELECT 'edges' AS kind, count(*) AS rows, sha256(string_agg(type || '|' || source || '|' || target, chr(10) ORDER BY type || '|' || source || '|' || target)) AS hash FROM base_edges
+    UNION ALL SELECT 'facts', count(*), sha256(string_agg(seq || ' ' || subject || ' ' || predicate, chr(10) ORDER BY seq::VARCHAR)) FROM facts UNION ALL SELECT 'sources', count(*), sha256(string_agg(path || ':' || sha256, chr(10) ORDER BY path)) FROM files"""))
 def artifact_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """How many records of each kind an artifact has; each kind is hashed as a tree of lines."""
-    tables = {"edges": a.base_edges(spark, d).select(F.concat_ws("|", "type", "source", "target").alias("k"), F.lit("").alias("v")), "facts": a.facts(spark, d).select(F.col("seq").cast("string").alias("k"), F.concat_ws("|", F.col("subject").cast("string"), "predicate").alias("v"))}
-    made = records.artifact(tables, lambda df: aggregate.table_fingerprint(df, F.col("k"), F.col("v")))
-    return made.where("length(hash) = 64").select("kind", "rows")
+    """Records of an artifact and its sources, each kind with the exact hash of its sorted lines."""
+    text = lambda c: F.col(c).cast("string")
+    edges, facts, files = a.base_edges(spark, d), a.facts(spark, d), a.files(spark, d)
+    tables = {
+        "edges": edges.select(F.concat_ws("|", "type", "source", "target").alias("key"), F.concat_ws("|", "type", "source", "target").alias("line")),
+        "facts": facts.select(text("seq").alias("key"), F.concat_ws(" ", text("seq"), text("subject"), "predicate").alias("line")),
+        "sources": files.select(F.col("path").alias("key"), F.concat_ws(":", "path", "sha256").alias("line")),
+    }
+    return spark.createDataFrame([(kind, df.count(), documents.lines_hash(df, Scratch(spark, "hashes"))) for kind, df in tables.items()], "kind string, rows long, hash string")
 
 
 DRAFTS = f"""WITH pins(family, signature, k) AS (VALUES {', '.join(f"('{f}', '{s}', {k})" for k, (f, s) in enumerate(ROLE_SIGNATURES))}),
