@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.canonical import content_id
-from provloom.operators import resolve
+from provloom.operators.order import code_units, sorted_by_units
 
 
 def dependencies(relationships: DataFrame, functions: DataFrame) -> DataFrame:
@@ -75,25 +75,79 @@ def remapped(path: Column, remappings: list[str], importer: Column | None = None
     return F.coalesce(found, path)
 
 
-def drafts(calls: DataFrame, functions: DataFrame, pins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(dependencies, capabilities, links) of calls(id, target) into functions(id, contract, signature).
+#: The families of signatures that name the kind of a dependency, in the order they are tried.
+KINDS = ["oracle", "dex"]
 
-    A dependency is a called contract: its type is the one family of pins that the called
-    signatures hold whole, else unknown.  Capabilities are rows (dependency, direction,
-    capability), one per signature that was seen called; links are rows (dependency, basis),
-    one per call, since a hub's calls have no bound that one row could hold.
+
+def effect_targets(effects: DataFrame, functions: DataFrame, contracts: DataFrame, states: DataFrame) -> DataFrame:
+    """effects(transition_id, place, target_ref, basis) with (dep_key, name, capability); these are null where the target is out of scope.
+
+    functions(id, contract_id, signature), contracts(id, name), states(id, name).
+    """
+    named = functions.join(contracts.select(F.col("id").alias("contract_id"), F.col("name").alias("_name")), "contract_id").select(F.col("id").alias("target_ref"), F.concat(F.lit("external:"), "_name").alias("dep_key"), F.col("_name").alias("name"), F.col("signature").alias("capability"))
+    key = F.concat(F.lit("statevar:"), "name")
+    known = functions.select(F.col("id").alias("target_ref"))
+    variables = states.join(known, states["id"] == known["target_ref"], "left_anti").select(F.col("id").alias("target_ref"), key.alias("dep_key"), "name", key.alias("capability"))
+    return effects.join(named.unionByName(variables), "target_ref", "left")
+
+
+def trust_model(effects: DataFrame, functions: DataFrame, contracts: DataFrame, states: DataFrame, implements: DataFrame, transition_facts: DataFrame, pins: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """What is relied on outside: dependencies, links, capabilities, observations, assumptions and unknown drafts.
+
+    A dependency is a called contract by its name, a state variable by its name, or an open
+    function that takes callbacks.  A called contract's kind is the first of ``KINDS`` that
+    has the signature which is called first, by transition and place; all others are unknown.
+
+    functions(id, contract_id, name, signature, visibility, parameters), contracts(id, name,
+    contract_type), implements(source, target), transition_facts(transition_id, function_id,
+    fact): the facts that a transition rests on (fact may be null).  links(dependency,
+    direction, basis) are rows, since a hub's calls have no bound that one row could hold.
     """
-    met = calls.select("id", "target").join(functions.select(F.col("id").alias("target"), "contract", "signature"), "target")
-    met = met.select(F.concat(F.lit("external:"), "contract").alias("dep_key"), F.col("contract").alias("name"), "signature", F.col("id").alias("basis"))
-    types = resolve.family_of(met.select(F.col("dep_key").alias("contract"), "signature"), pins).select(F.col("contract").alias("dep_key"), F.col("family").alias("dependency_type"))
-    counted = met.groupBy("dep_key", "name").agg(F.count("*").alias("calls")).join(types, "dep_key")
-    ident = content_id("semdep", dep_key=F.col("dep_key"), name=F.col("name"), dependency_type=F.col("dependency_type"))
-    dependencies = counted.select(ident.alias("id"), "dep_key", "name", "dependency_type", "calls")
-    named = met.join(dependencies.select("dep_key", F.col("id").alias("dependency")), "dep_key")
-    capabilities = named.select("dependency", F.lit("observed").alias("direction"), F.col("signature").alias("capability")).distinct()
-    return dependencies, capabilities, named.select("dependency", "basis").distinct()
+    met = effect_targets(effects, functions, contracts, states)
+    lost = met.where("dep_key is null").select(F.col("transition_id").alias("record_ref"), F.lit("external_effects").alias("field"), F.lit("out_of_scope_target").alias("reason"), sorted_by_units(F.col("basis")).alias("basis"))
+    seen = F.struct(code_units(F.col("transition_id")).alias("t"), "place")
+    observed = met.where("dep_key is not null").select("dep_key", "name", F.lit("observed").alias("direction"), "capability", F.array(seen).alias("seen"), "basis", "transition_id", F.startswith("dep_key", F.lit("external:")).alias("called"))
+    hooks = contracts.where("contract_type = 'interface'").select(F.col("id").alias("target"))
+    implementers = implements.join(hooks, "target", "left_semi").join(contracts.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("contract"))
+    surface, open_drafts = callbacks(functions, implementers)
+    own = surface.join(functions.withColumnRenamed("id", "function_id"), "function_id")
+    at = F.array(F.struct(code_units(F.col("function_id")).alias("t"), F.lit(0).alias("place")))
+    transition_of = transition_facts.select("function_id", "transition_id").distinct()
+    taken = own.join(transition_of, "function_id", "left").select(F.concat_ws(":", F.lit("callback"), "contract_id", "name").alias("dep_key"), F.concat(F.lit("callback:"), "name").alias("name"), "direction", F.col("signature").alias("capability"), at.alias("seen"), F.array("function_id").alias("basis"), "transition_id", F.lit(False).alias("called"))
+    rows = observed.unionByName(taken)
+
+    kind = F.lit(None).cast("string")
+    for family in KINDS:
+        kind = F.coalesce(kind, F.when(F.col("_first").isin(pins[family]), F.lit(family)))
+    first = rows.groupBy("dep_key", "name").agg(F.min_by("capability", F.col("seen")[0]).alias("_first"), F.bool_or("called").alias("called"), F.count("*").alias("calls"))
+    named = first.withColumn("dependency_type", F.when(F.col("called"), F.coalesce(kind, F.lit("unknown"))).otherwise("unknown"))
+    dependencies = named.select(content_id("semdep", dep_key=F.col("dep_key"), name=F.col("name"), dependency_type=F.col("dependency_type")).alias("id"), "dep_key", "name", "dependency_type", "calls")
+    rows = rows.join(dependencies.select("dep_key", F.col("id").alias("dependency")), "dep_key")
+    links = rows.select("dependency", "direction", F.explode("basis").alias("basis")).distinct()
+
+    # Signatures in the order they are met, each once: as many as a contract has functions.
+    once = rows.groupBy("dependency", "direction", "capability").agg(F.min(F.col("seen")[0]).alias("at"))
+    listed = once.groupBy("dependency", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "capability"))), lambda x: x["capability"]).alias("capabilities"))
+    held = rows.select("dependency", "direction", "transition_id").distinct().join(transition_facts.where("fact is not null").select("transition_id", "fact"), "transition_id").select("dependency", "direction", "fact")
+    facts = held.unionByName(links.where("basis like 'fact:%'").withColumnRenamed("basis", "fact")).groupBy("dependency", "direction").agg(sorted_by_units(F.collect_set("fact")).alias("based_on"))
+    none = F.array().cast("array<string>")
+    said = listed.join(facts, ["dependency", "direction"], "left").withColumn("based_on", F.coalesce("based_on", none)).withColumn("statement", capability_statement())
+    said = said.withColumn("observation", content_id("semobs", statement=F.col("statement"), based_on=F.col("based_on")))
+    trusted = F.format_string("Trust assumption for %s capability on %s: the external dependency behaves as expected for %s", "direction", "dependency", F.array_join("capabilities", ", "))
+    said = said.withColumn("trusted", trusted).withColumn("assumption", content_id("semasm", statement=F.col("trusted"), based_on=F.array("observation")))
+    made = said.select("*", sorted_by_units(F.col("capabilities")).alias("_sorted"))
+    ident = content_id("semtc", dependency_ref=F.col("dependency"), direction=F.col("direction"), capabilities=F.col("_sorted"))
+    capabilities = made.select(ident.alias("id"), "dependency", "direction", F.col("_sorted").alias("capabilities"), F.col("assumption").alias("trust_assumption_ref"))
+    basis = links.groupBy("dependency", "direction").agg(sorted_by_units(F.collect_list("basis")).alias("basis"))
+    failing = capabilities.join(basis, ["dependency", "direction"]).select(F.col("id").alias("record_ref"), F.lit("failure_semantics").alias("field"), F.lit("no_evidence").alias("reason"), "basis")
+    return {
+        "dependencies": dependencies, "links": links, "capabilities": capabilities,
+        "observations": said.select(F.col("observation").alias("id"), "statement", "based_on"),
+        "assumptions": said.select(F.col("assumption").alias("id"), F.col("trusted").alias("statement"), F.array("observation").alias("based_on")),
+        "unknowns": lost.unionByName(open_drafts).unionByName(failing),
+    }
 
 
 def capability_statement() -> Column:
-    """Over direction, dependency and capabilities (an array)."""
+    """Over direction, dependency and capabilities (an array, in the order met)."""
     return F.format_string("Observed %s capability on %s via %s", "direction", "dependency", F.array_join("capabilities", ", "))

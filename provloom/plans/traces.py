@@ -152,35 +152,78 @@ def artifact_hashes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(kind, df.count(), documents.lines_hash(df, Scratch(spark, "hashes"))) for kind, df in tables.items()], "kind string, rows long, hash string")
 
 
-DRAFTS = f"""WITH pins(family, signature, k) AS (VALUES {', '.join(f"('{f}', '{s}', {k})" for k, (f, s) in enumerate(ROLE_SIGNATURES))}),
-    fn AS (SELECT 'function:' || o_orderkey AS id, 'c' || o_custkey AS contract, signature FROM orders JOIN pins ON o_orderkey // 4 % {len(ROLE_SIGNATURES)} = k),
-    met AS (SELECT 'rel:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS basis, contract, signature FROM lineitem JOIN fn ON fn.id = 'function:' || (l_partkey * 4 + l_suppkey % 4)),
-    hit AS (SELECT contract, family FROM (SELECT DISTINCT contract, signature FROM met) JOIN pins USING (signature) GROUP BY contract, family HAVING count(*) = (SELECT count(*) FROM pins p WHERE p.family = pins.family)),
-    one AS (SELECT contract, min(family) AS family FROM hit GROUP BY contract HAVING count(*) = 1),
-    dep AS (SELECT 'semdep:' || substr(sha256('{{"dep_key":"external:' || contract || '","dependency_type":"' || coalesce(family, 'unknown') || '","name":"' || contract || '"}}'), 1, 16) AS id, contract AS name, coalesce(family, 'unknown') AS dependency_type, calls
-        FROM (SELECT contract, count(*) AS calls FROM met GROUP BY contract) LEFT JOIN one USING (contract))"""
+KIND_PINS = [(f, x) for f in trust.KINDS for x in assets.DEPENDENCY_PINS[f]]
+_SIGNATURES = [x for _, x in KIND_PINS] + ["transfer(address)", "hook(bytes)"]
+TRUST = f"""WITH fn AS (SELECT 'function:' || o_orderkey AS id, 'c' || o_custkey AS contract_id, 'f' || o_orderkey % 40 AS name, {_SIGNATURES!r}[o_orderkey // 4 % {len(_SIGNATURES)} + 1] AS signature, o_orderstatus = 'P' AS open_, o_orderkey % 3 = 0 AS takes FROM orders),
+    ct AS (SELECT 'c' || c_custkey AS id, 'C' || c_custkey % 700 AS name, c_custkey % 40 = 0 AS interface FROM customer WHERE c_custkey % 11 <> 0),
+    imp AS (SELECT 'c' || c_custkey AS source, 'c' || c_custkey * 2 AS target FROM customer WHERE c_custkey % 60 = 0),
+    eff AS (SELECT 'semt:' || l_orderkey AS t, l_linenumber AS place, CASE WHEN l_partkey % 10 = 0 THEN 'state:' || l_partkey ELSE 'function:' || (l_partkey * 4 + l_suppkey % 4) END AS target, 'rel:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS basis FROM lineitem),
+    tf AS (SELECT DISTINCT 'semt:' || o_orderkey AS t, 'function:' || o_orderkey AS f, 'fact:' || event_id AS fact FROM orders LEFT JOIN events ON event_type = 'signup' AND user_id * 20 + event_id % 20 = o_orderkey),
+    known AS (SELECT fn.id AS target, 'external:' || ct.name AS dep_key, ct.name AS name, signature AS capability, true AS called FROM fn JOIN ct ON ct.id = contract_id UNION ALL SELECT 'state:' || p_partkey, 'statevar:s' || p_partkey % 50, 's' || p_partkey % 50, 'statevar:s' || p_partkey % 50, false FROM part),
+    met AS (SELECT eff.*, dep_key, name, capability, called FROM eff LEFT JOIN known USING (target)),
+    hooked AS (SELECT DISTINCT source FROM imp JOIN ct i ON i.id = target AND i.interface JOIN ct s ON s.id = source),
+    surface AS (SELECT fn.*, CASE WHEN EXISTS (SELECT 1 FROM hooked WHERE source <> contract_id) THEN 'consumed' ELSE 'unknown' END AS direction FROM fn WHERE open_ AND takes),
+    rows AS (SELECT dep_key, name, 'observed' AS direction, capability, (t, place) AS seen, basis, t, called FROM met WHERE dep_key IS NOT NULL
+        UNION ALL SELECT 'callback:' || contract_id || ':' || name, 'callback:' || name, direction, signature, (id, 0), id, tf.t, false FROM surface LEFT JOIN (SELECT DISTINCT t, f FROM tf) tf ON tf.f = id),
+    pins(family, signature, k) AS (VALUES {', '.join(f"('{f}', '{x}', {trust.KINDS.index(f)})" for f, x in KIND_PINS)}),
+    dep AS (SELECT 'semdep:' || substr(sha256('{{"dep_key":"' || dep_key || '","dependency_type":"' || kind || '","name":"' || name || '"}}'), 1, 16) AS id, * FROM (SELECT dep_key, name, calls, CASE WHEN called THEN coalesce(family, 'unknown') ELSE 'unknown' END AS kind
+        FROM (SELECT dep_key, name, arg_min(capability, seen) AS f, bool_or(called) AS called, count(*) AS calls FROM rows GROUP BY 1, 2) LEFT JOIN pins ON signature = f)),
+    full_ AS (SELECT rows.*, dep.id AS dependency FROM rows JOIN dep USING (dep_key)),
+    links AS (SELECT DISTINCT dependency, direction, basis FROM full_),
+    listed AS (SELECT dependency, direction, list(capability ORDER BY began, capability) AS caps FROM (SELECT dependency, direction, capability, min(seen) AS began FROM full_ GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    facts AS (SELECT dependency, direction, list_sort(list(DISTINCT fact)) AS facts FROM (SELECT DISTINCT dependency, direction, t FROM full_) JOIN tf USING (t) WHERE fact IS NOT NULL GROUP BY 1, 2),
+    said AS (SELECT *, 'semobs:' || substr(sha256('{{"based_on":[' || CASE WHEN len(based_on) = 0 THEN '' ELSE '"' || array_to_string(based_on, '","') || '"' END || '],"statement":"' || statement || '"}}'), 1, 16) AS obs
+        FROM (SELECT dependency, direction, caps, coalesce(facts, []) AS based_on, 'Observed ' || direction || ' capability on ' || dependency || ' via ' || array_to_string(caps, ', ') AS statement FROM listed LEFT JOIN facts USING (dependency, direction))),
+    held AS (SELECT *, 'semasm:' || substr(sha256('{{"based_on":["' || obs || '"],"statement":"' || trusted || '"}}'), 1, 16) AS asm, 'semtc:' || substr(sha256('{{"capabilities":["' || array_to_string(list_sort(caps), '","') || '"],"dependency_ref":"' || dependency || '","direction":"' || direction || '"}}'), 1, 16) AS cap
+        FROM (SELECT *, 'Trust assumption for ' || direction || ' capability on ' || dependency || ': the external dependency behaves as expected for ' || array_to_string(caps, ', ') AS trusted FROM said))"""
+
+
+def _trust(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Lines as calls of orders, which stand for functions with pinned and other signatures, or of parts as state variables."""
+    key = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    o, c = load(spark, d, "orders"), load(spark, d, "customer")
+    signature = F.element_at(F.array(*map(F.lit, _SIGNATURES)), (F.floor(F.col("o_orderkey") / 4) % len(_SIGNATURES) + 1).cast("int"))
+    functions = o.select(key("function:", F.col("o_orderkey")).alias("id"), key("c", F.col("o_custkey")).alias("contract_id"), key("f", F.col("o_orderkey") % 40).alias("name"), signature.alias("signature"),
+                         F.when(F.col("o_orderstatus") == "P", "public").otherwise("internal").alias("visibility"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("uint256"), F.lit("bytes32"))).otherwise(F.array(F.lit("uint256"))).alias("parameters"))
+    contracts = c.where("c_custkey % 11 <> 0").select(key("c", F.col("c_custkey")).alias("id"), key("C", F.col("c_custkey") % 700).alias("name"), F.when(F.col("c_custkey") % 40 == 0, "interface").otherwise("contract").alias("contract_type"))
+    implements = c.where("c_custkey % 60 = 0").select(key("c", F.col("c_custkey")).alias("source"), key("c", F.col("c_custkey") * 2).alias("target"))
+    states = load(spark, d, "part").select(key("state:", F.col("p_partkey")).alias("id"), key("s", F.col("p_partkey") % 50).alias("name"))
+    row = F.concat_ws("-", *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    target = F.when(F.col("l_partkey") % 10 == 0, key("state:", F.col("l_partkey"))).otherwise(key("function:", F.col("l_partkey") * 4 + F.col("l_suppkey") % 4))
+    effects = load(spark, d, "lineitem").select(key("semt:", F.col("l_orderkey")).alias("transition_id"), F.col("l_linenumber").cast("int").alias("place"), target.alias("target_ref"), F.array(F.concat(F.lit("rel:"), row)).alias("basis"))
+    events = load(spark, d, "events").where("event_type = 'signup'").select((F.col("user_id") * 20 + F.col("event_id") % 20).alias("o_orderkey"), key("fact:", F.col("event_id")).alias("fact"))
+    facts = o.select("o_orderkey").join(events, "o_orderkey", "left").select(key("semt:", F.col("o_orderkey")).alias("transition_id"), key("function:", F.col("o_orderkey")).alias("function_id"), "fact").distinct()
+    return trust.trust_model(effects, functions, contracts, states, implements, facts, assets.DEPENDENCY_PINS)
+
+
+@query("trust_drafts", TRUST + " SELECT id, dep_key, name, kind AS dependency_type, calls FROM dep")
+def trust_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """Dependencies on called contracts, state variables and callbacks."""
+    return _trust(spark, d)["dependencies"]
 
 
-def _drafts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines as calls of orders, which stand for functions with pinned signatures."""
-    names = F.array(*[F.lit(s) for _, s in ROLE_SIGNATURES])
-    key = lambda c: F.concat(F.lit("function:"), c.cast("string"))
-    functions = load(spark, d, "orders").select(key(F.col("o_orderkey")).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("contract"), F.element_at(names, (F.floor(F.col("o_orderkey") / 4) % len(ROLE_SIGNATURES) + 1).cast("int")).alias("signature"))
-    row = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    calls = load(spark, d, "lineitem").select(F.concat(F.lit("rel:"), row).alias("id"), key(F.col("l_partkey") * 4 + F.col("l_suppkey") % 4).alias("target"))
-    return trust.drafts(calls, functions, spark.createDataFrame(ROLE_SIGNATURES, "family string, signature string"))
+@query("trust_capabilities", TRUST + " SELECT cap AS id, dependency, direction, array_to_string(list_sort(caps), ',') AS capabilities, asm AS trust_assumption_ref FROM held")
+def trust_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    return _trust(spark, d)["capabilities"].withColumn("capabilities", F.array_join("capabilities", ","))
 
 
-@query("trust_drafts", DRAFTS + " SELECT id, name, dependency_type, calls FROM dep")
-def trust_drafts(spark: SparkSession, d: str) -> DataFrame:
-    return _drafts(spark, d)[0].select("id", "name", "dependency_type", "calls")
+@query("trust_basis_links", TRUST + " SELECT dependency, direction, basis FROM links")
+def trust_basis_links(spark: SparkSession, d: str) -> DataFrame:
+    return _trust(spark, d)["links"]
 
 
-@query("trust_capabilities", DRAFTS + " SELECT DISTINCT dep.id AS dependency, 'observed' AS direction, signature AS capability FROM met JOIN dep ON dep.name = met.contract")
-def trust_capabilities(spark: SparkSession, d: str) -> DataFrame:
-    return _drafts(spark, d)[1]
+@query("trust_observations", TRUST + " SELECT obs AS id, statement, array_to_string(based_on, ',') AS based_on FROM said")
+def trust_observations(spark: SparkSession, d: str) -> DataFrame:
+    return _trust(spark, d)["observations"].withColumn("based_on", F.array_join("based_on", ","))
 
 
-@query("trust_basis_links", DRAFTS + " SELECT DISTINCT dep.id AS dependency, basis FROM met JOIN dep ON dep.name = met.contract")
-def trust_basis_links(spark: SparkSession, d: str) -> DataFrame:
-    return _drafts(spark, d)[2]
+@query("trust_assumptions", TRUST + " SELECT asm AS id, trusted AS statement, obs AS based_on FROM held")
+def trust_assumptions(spark: SparkSession, d: str) -> DataFrame:
+    return _trust(spark, d)["assumptions"].withColumn("based_on", F.array_join("based_on", ","))
+
+
+@query("trust_unknowns", TRUST + """ SELECT t AS record_ref, 'external_effects' AS field, 'out_of_scope_target' AS reason, basis FROM met WHERE dep_key IS NULL UNION ALL SELECT id, 'direction', 'no_evidence', id FROM surface WHERE direction = 'unknown'
+    UNION ALL SELECT cap, 'failure_semantics', 'no_evidence', (SELECT string_agg(basis, ',' ORDER BY basis) FROM links l WHERE l.dependency = held.dependency AND l.direction = held.direction) FROM held""")
+def trust_unknowns(spark: SparkSession, d: str) -> DataFrame:
+    """Targets out of scope, callbacks of unknown direction, and how each capability fails."""
+    return _trust(spark, d)["unknowns"].withColumn("basis", F.array_join("basis", ","))
