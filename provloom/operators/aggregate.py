@@ -16,12 +16,14 @@ def aggregate_edges(sites: DataFrame) -> DataFrame:
 
 
 def aggregate_keyed_edges(sites: DataFrame) -> DataFrame:
-    """``aggregate_edges`` over integer keys (type, s, t) and kinds of one ASCII character.
+    """``aggregate_edges`` over integer keys (type, s, t), seq under 2^25, tie under 2^31 and kinds of one ASCII character.
 
-    The first site's order and kind are one number (seq, tie under 2^31, kind), so that the
-    groups stay in hash aggregation.
+    The first site's order and kind are one number, so that the groups stay in hash
+    aggregation.  A site outside these bounds stops the job; ``aggregate_edges`` has none.
     """
-    first = F.col("seq") * F.lit(1 << 38) + F.col("tie").cast("long") * 128 + F.ascii("kind")
+    packed = F.col("seq") * F.lit(1 << 38) + F.col("tie").cast("long") * 128 + F.ascii("kind")
+    fits = F.col("seq").between(0, (1 << 25) - 1) & F.col("tie").between(0, (1 << 31) - 1) & (F.length("kind") == 1) & (F.ascii("kind") < 128)
+    first = F.when(fits, packed).otherwise(F.raise_error(F.lit("a site out of the bounds of aggregate_keyed_edges")))
     found = sites.groupBy("type", "s", "t").agg(F.count("*").alias("sites"), F.min(first).alias("_first"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     return found.select("type", "s", "t", "sites", F.chr(F.col("_first") % 128).alias("kind"), "first_seq", "last_seq")
 
