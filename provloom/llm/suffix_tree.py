@@ -1,8 +1,9 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 A text is its words, lower-cased (A-Z), and one end; every word is a symbol.  The root
-gives unseen words, as one class, the mass of the words seen once (Good-Turing) and the
-others add-one shares of what is left.  Contexts are the last 1 to ``depth`` symbols of
+gives unseen words the mass of the words seen once (Good-Turing), which as many words share
+as are estimated to be unseen (from those seen once and twice), and the others add-one
+shares of what is left.  Contexts are the last 1 to ``depth`` symbols of
 the text, its opening included.  A context is a candidate if training texts hold it
 ``min_count`` times, at every size of corpus, and becomes a state if its next-symbol
 distribution diverges from that of the longest state that is its suffix: by ``min_gain``
@@ -17,8 +18,7 @@ distinct words, then of its n-grams whose context is a candidate, and of its con
 gains; each ask is one sorted array per target partition, each answer an array in the same
 order.  So a word, pair or passage that is in a third of all texts is asked for once a
 block, tasks hold blocks and hash partitions of bounded size, and what is learned grows
-with the corpus.  Words are told apart by 64 bits of hash, n-grams by as many as give one
-in ``2 ** SPARE_BITS`` of them the bits of another.
+with the corpus.  Words and n-grams are told apart by 64 bits of hash.
 
 Defined cases: null and empty texts are the end alone; without training documents all
 counts are 0 and every token has probability one half; null or repeated doc_ids are carried
@@ -46,7 +46,6 @@ OPEN, END = U64(0x4F50454E), U64(0x454E44)
 BLOCK_BYTES = 8 << 20
 ENTRIES_A_PART = 2_000_000
 CHARS_A_PLACE = 16 << 20
-SPARE_BITS = 14
 GAIN_STEPS = 16  # gains are summed in whole steps, so that their sums do not depend on the order
 ASKED = "block long, kind int, part int, packed binary"
 
@@ -58,6 +57,7 @@ class Root:
     tokens: int = 0
     distinct: int = 0
     once: int = 0
+    twice: int = 0
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1.0) / (self.tokens + self.distinct + 1))
@@ -65,10 +65,14 @@ class Root:
     def unseen(self) -> float:
         return min(0.5, max(self.once, 1) / max(self.tokens, 2))
 
+    def unseen_words(self) -> float:
+        """How many words of the language training did not meet (Chao's estimate, one at least)."""
+        return max(1.0, self.once * (self.once - 1) / (2 * (self.twice + 1)))
+
     def word(self, n: np.ndarray) -> np.ndarray:
-        """Of a word seen n times; for n = 0, of the class of unseen words."""
+        """Of a word seen n times; for n = 0, of one of the unseen words."""
         u = self.unseen()
-        return np.where(n > 0, (1 - u) * (n + 1.0) / max(1, self.tokens + self.distinct), u)
+        return np.where(n > 0, (1 - u) * (n + 1.0) / max(1, self.tokens + self.distinct), u / self.unseen_words())
 
 
 @dataclass(frozen=True)
@@ -127,11 +131,11 @@ class Block:
         self.since = np.arange(first[-1]) - np.repeat(first[:-1], self.sizes)
         self.taught = np.repeat(self.learned, self.sizes)
 
-    def grams(self, at: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct n-grams that end at ``at``, and which of them each position has."""
-        return distinct(window_hashes(self.salted, n)[at - n + 1] >> U64(64 - bits))
+        return distinct(window_hashes(self.salted, n)[at - n + 1])
 
-    def advance(self, answers: dict[int, np.ndarray], root: Root | None, rules: TreeRules, bits: int):
+    def advance(self, answers: dict[int, np.ndarray], root: Root | None, rules: TreeRules):
         """(asks by kind, p of each symbol, word counts); kinds: 2d counts of level d, 2d + 1 its states."""
         named = np.delete(np.arange(len(self.keys)), -2)  # all symbols but OPEN
         words, place = np.unique(self.keys[named], return_inverse=True)
@@ -156,7 +160,7 @@ class Block:
             own_way = np.ones(len(at), bool) if shorter is None else total[at] < shorter[at]
             shorter = total
             asked = np.flatnonzero(own_way & ((most > 1) | (most == 1) & ~taught))
-            grams, own = self.grams(at[asked], d + 1, bits)
+            grams, own = self.grams(at[asked], d + 1)
             if 2 * d not in answers:
                 asks[2 * d] = (grams, np.bincount(own, taught[asked], len(grams)))
                 break
@@ -168,9 +172,8 @@ class Block:
             held = np.flatnonzero(held)
             held = held[np.argsort(keys[held])]
             if 2 * d + 1 not in answers:
-                asked_keys = keys[held] >> U64(64 - bits) if d == 1 else keys[held]
                 gain = np.log((n[use] - 1 + rules.weight * lower[use]) / (total[use] - 1 + rules.weight) / lower[use])
-                asks[2 * d + 1] = (asked_keys, np.rint(np.bincount(context[use], gain, len(keys))[held] * GAIN_STEPS))
+                asks[2 * d + 1] = (keys[held], np.rint(np.bincount(context[use], gain, len(keys))[held] * GAIN_STEPS))
             else:
                 is_state = np.zeros(len(keys), bool)
                 is_state[held] = answers[2 * d + 1]
@@ -188,9 +191,9 @@ class Block:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _place(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Target partition of each key of so many bits; rises with the key."""
-    high = keys >> U64(bits - 32)
+def _place(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Target partition of each key; rises with the key."""
+    high = keys >> U64(32)
     return (high * U64(parts) >> U64(32)).astype(np.int64)
 
 
@@ -199,9 +202,9 @@ def _rows(rows: list):
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + 64]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "kind", "part", "packed"])
 
 
-def _asks(block: int, asks: dict, bits: int, parts: int):
+def _asks(block: int, asks: dict, parts: int):
     for kind, (keys, values) in asks.items():
-        part = _place(keys, 64 if kind == 0 else bits, parts)
+        part = _place(keys, parts)
         cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
         kept = "<i4" if kind % 2 else "<u4"
         yield from _rows([(block, kind, int(part[a]), squeeze_arrays(np.diff(keys[a:b], prepend=U64(0)), values[a:b].astype(kept))) for a, b in zip(cuts, [*cuts[1:], len(keys)])])
@@ -211,7 +214,7 @@ def _totals(min_gain: float):
     """Answers every key of this partition, to each block in the order of its ask.
 
     Counts get their totals, contexts (odd kinds) whether they are states.  Also, as a row
-    of block -1, the sum of the words' totals, and how many are over 0 and exactly 1.
+    of block -1, the sum of the words' totals, and how many are over 0, exactly 1 and exactly 2.
     """
 
     def run(batches):
@@ -224,7 +227,7 @@ def _totals(min_gain: float):
             asked = kinds.pop(kind)
             keys, which = distinct(np.concatenate([a[2] for a in asked]))
             total = np.bincount(which, np.concatenate([a[3] for a in asked]), len(keys))
-            rows = [] if kind else [(-1, kind, asked[0][1], squeeze_arrays(np.array([total.sum(), (total > 0).sum(), (total == 1).sum()])))]
+            rows = [] if kind else [(-1, kind, asked[0][1], squeeze_arrays(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()])))]
             total = (total >= min_gain * GAIN_STEPS).astype("u1") if kind % 2 else total.astype("<u8" if total.max() >= 2**32 else "<u4")
             at = 0
             for block, part, own, _ in asked:
@@ -247,18 +250,18 @@ def _blocks_with_answers(batches):
             release_memory()
 
 
-def _ask_next(root: Root | None, rules: TreeRules, bits: int, parts: int):
+def _ask_next(root: Root | None, rules: TreeRules, parts: int):
     def run(batches):
         for number, block, answers in _blocks_with_answers(batches):
-            yield from _asks(number, block.advance(answers, root, rules, bits)[0], bits, parts)
+            yield from _asks(number, block.advance(answers, root, rules)[0], parts)
 
     return run
 
 
-def _score(root: Root, rules: TreeRules, bits: int):
+def _score(root: Root, rules: TreeRules):
     def run(batches):
         for _, block, answers in _blocks_with_answers(batches):
-            yield block.scores(*block.advance(answers, root, rules, bits)[1:], root)
+            yield block.scores(*block.advance(answers, root, rules)[1:], root)
 
     return run
 
@@ -277,7 +280,6 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = size["texts"] + size["chars"] // 4  # nearly all words are longer
     parts, places = max(at_least, math.ceil(tokens / ENTRIES_A_PART)), max(at_least, math.ceil(size["chars"] / CHARS_A_PLACE))
-    bits = min(64, max(40, math.ceil(math.log2(1 + tokens)) + SPARE_BITS))
     blocks = scratch.keep_bucketed(texts.mapInArrow(_pack_texts(mod, held), "block long, texts binary"), "blocks", places, "block")
     release_shuffles(spark)
 
@@ -292,14 +294,14 @@ def score_texts(docs: DataFrame, *, mod: int = 7, held: int = 2, **tree) -> Data
 
     answers, root = [], None
     for step in range(rules.depth + 2):
-        asks = with_answers(answers).mapInArrow(_ask_next(root, rules, bits, parts), ASKED)
+        asks = with_answers(answers).mapInArrow(_ask_next(root, rules, parts), ASKED)
         answers.append(scratch.keep(asks.repartitionById(parts, "part").mapInArrow(_totals(rules.min_gain), ASKED), f"answers-{step}", codec="none"))
         del asks
         release_shuffles(spark)
-        if root is None:  # three numbers a partition
+        if root is None:  # four numbers a partition
             sums = [unsqueeze_arrays(r["packed"])[0] for r in answers[0].where("block < 0").select("packed").toLocalIterator()]
             root = Root(*(int(x) for x in np.sum(sums, 0))) if sums else Root()
-    scores = with_answers(answers).mapInArrow(_score(root, rules, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = with_answers(answers).mapInArrow(_score(root, rules), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.keep(scores, "scores")
     scratch.drop("blocks", *(f"answers-{step}" for step in range(rules.depth + 2)))
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -262,8 +262,10 @@ def plain_tree(rows, depth, min_count, min_gain, weight):
     grams = Counter(tuple(s[i - n + 1 : i + 1]) for s in learned for i in range(len(s)) for n in range(1, depth + 2) if i - n + 1 >= 0)
     words = {g[0]: n for g, n in grams.items() if len(g) == 1 and g[0] != "<"}
     total, distinct, once = sum(words.values()), len(words), sum(n == 1 for n in words.values())
-    unseen = min(0.5, max(once, 1) / max(total, 2))
-    root = lambda w: (1 - unseen) * (words[w] + 1) / (total + distinct) if w in words else unseen
+    twice = sum(n == 2 for n in words.values())
+    unseen = min(0.5, max(once, 1) / max(total, 2)) / max(1, once * (once - 1) / (2 * (twice + 1)))
+    mass = min(0.5, max(once, 1) / max(total, 2))
+    root = lambda w: (1 - mass) * (words[w] + 1) / (total + distinct) if w in words else unseen
     states = set()
 
     def probability(s, i, longest):
