@@ -144,24 +144,28 @@ def _sampled_presence(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(packed, pa.binary()), pa.array(seen)], names=["doc_id", "lang", "filled", "seen"])
 
 
-def fit(docs: DataFrame, *, may_learn: Column | None = None, rows_per_language: int = 400, max_languages: int = 256, landmarks: int = 200, ridge: float = 0.1) -> KernelModel:
-    """Learn ``lang`` from about ``rows_per_language`` documents of each language at most.
+def fit(docs: DataFrame, *, may_learn: Column | None = None, rows_per_language: int = 400, max_rows: int = 6_000, landmarks: int = 200, ridge: float = 0.1) -> KernelModel:
+    """Learn every value of ``lang``, from about ``rows_per_language`` documents of each at most.
 
-    The bound is kept by a hash of doc_id against each language's share.  The
-    ``max_languages`` most frequent values of ``lang`` are learned (ties: first in order),
-    so that a column full of other things stays within memory; what comes to the driver is
-    one row per such language, then the sampled documents' packed presence.
+    ``max_rows`` bounds the labelled rows that are learned from: of more languages each gives
+    fewer.  A column with more values than that is not one of languages and is refused.  The bounds
+    are kept by a hash of doc_id against each language's share; what comes to the driver is one
+    row per language, then the sampled documents' packed presence.
     """
     attach(docs.sparkSession)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     if may_learn is not None:
         known = known.where(may_learn)
-    per_language = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    per_language = {r["lang"]: (r["n"], r["first"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(hashed).alias("first")).limit(max_rows + 1).collect()}
+    if len(per_language) > max_rows:
+        raise ValueError(f"lang has more than {max_rows} values")
+    rows_per_language = min(rows_per_language, max(1, max_rows // max(1, len(per_language))))
     if not per_language:
         return solve(np.zeros((0, WIDTH), bool), [], landmarks, ridge)
-    shares = F.create_map(*[F.lit(v) for name, n in sorted(per_language.items()) for v in (name, min(1.0, rows_per_language / n))])
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(F.col("lang").isin(*per_language)).where(hashed < shares[F.col("lang")]).mapInArrow(_sampled_presence, "doc_id long, lang string, filled binary, seen boolean").where("seen").collect()
+    # Its share of each language, and the first row by hash in any case.
+    shares = F.create_map(*[F.lit(v) for name, (n, first) in sorted(per_language.items()) for v in (name, max(min(1.0, rows_per_language / n), first + 2.0**-30))])
+    rows = known.where(hashed < shares[F.col("lang")]).mapInArrow(_sampled_presence, "doc_id long, lang string, filled binary, seen boolean").where("seen").collect()
     rows.sort(key=lambda r: (zlib.crc32(f"landmark {r['doc_id']}".encode()), r["doc_id"], r["lang"], bytes(r["filled"])))
     filled = np.array([np.unpackbits(np.frombuffer(r["filled"], np.uint8), count=WIDTH) for r in rows], bool).reshape(len(rows), WIDTH)
     return solve(filled, [r["lang"] for r in rows], landmarks, ridge)

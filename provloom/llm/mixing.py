@@ -90,7 +90,8 @@ def solve_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, fl
     target = share * whole
     gram = _sums(posteriors, lambda n, p: (p * n[:, None]).T @ p).reshape(len(domains), -1)
     metric = np.linalg.pinv(gram, rcond=1e-9)
-    off = lambda totals: np.abs(totals - target).max() / max(target.max(), 1.0)
+    scale = np.where(target > 0, target, max(target.max(), 1.0))  # each domain's own target
+    off = lambda totals: (np.abs(totals - target) / scale).max()
     reached, best = start, (off(start), 0, start)
     while off(reached) > tolerance and len(mix.steps) < min(max_steps, best[1] + 6):
         mix.steps.append(metric @ (reached - target))
