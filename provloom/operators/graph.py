@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provloom.operators.order import code_units, numbered
 from provloom.storage import Scratch
 
 
@@ -82,14 +83,48 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     return known
 
 
-def traced(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """``reach`` and, per root, whether an unvisited node lies beyond the bound."""
-    found = reach(edges, roots, max_depth)
+def _cut_off(found: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root, truncated): whether an unvisited node lies one step beyond the bound."""
     edge = found.where(F.col("hop") == max_depth)
     beyond = edge.join(edges.select("source", "target").distinct(), F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
     more = beyond.join(found, ["root", "node"], "left_anti").groupBy("root").agg(F.lit(True).alias("truncated"))
-    flags = roots.select("root").distinct().join(more, "root", "left").select("root", F.coalesce("truncated", F.lit(False)).alias("truncated"))
-    return found, flags
+    return roots.select("root").distinct().join(more, "root", "left").select("root", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def traced(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """``reach`` and, per root, whether an unvisited node lies beyond the bound."""
+    found = reach(edges, roots, max_depth)
+    return found, _cut_off(found, edges, roots, max_depth)
+
+
+def discovered(edges: DataFrame, roots: DataFrame, max_depth: int | None, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(root, node, hop, place) in the order in which a queue would meet the nodes, and (root, truncated).
+
+    The root has place 1.  A node is met from the first of its parents by place, at its least
+    place among that parent's children; children come in the order of the columns ``order``
+    of the edges, then of their names by code units.  Each step numbers what it found over range
+    partitions, so that neither a hub nor a level need fit into a task.  Edges of null
+    ends lead nowhere; repeated edges and loops change nothing; ``max_depth`` None walks to the end.
+    """
+    scratch = Scratch(edges.sparkSession, "discovered")
+    steps = scratch.keep(edges.where("source <> target").select("source", "target", *order).distinct(), "edges")
+    keys = [f"k{i}" for i in range(len(order) + 2)]
+    frontier = scratch.keep(roots.select("root").where("root is not null").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("hop"), F.lit(1).cast("long").alias("place")), "hop-0")
+    seen, hop = frontier, 0
+    while max_depth is None or hop < max_depth:
+        hop += 1
+        at = F.struct(*[c.alias(k) for k, c in zip(keys, [F.col("place"), *map(F.col, order), code_units(F.col("target"))])])
+        near = frontier.join(steps, frontier["node"] == steps["source"]).select("root", F.col("target").alias("node"), at.alias("at"))
+        fresh = near.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("at").alias("at"))
+        level = numbered(fresh.select("root", "node", "at.*"), ["root"], [F.col(k) for k in keys], "place", scratch, f"level-{hop}")
+        met = seen.groupBy("root").agg(F.max("place").alias("met"))
+        placed = level.join(met, "root").select("root", "node", F.lit(hop).alias("hop"), (F.col("place") + F.col("met")).alias("place"))
+        frontier = scratch.keep(placed, f"hop-{hop}")
+        scratch.drop(f"level-{hop}-sorted")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen, _cut_off(seen, steps, roots.where("root is not null"), hop if max_depth is None else max_depth)
 
 
 def contexts(edges: DataFrame, entries: DataFrame, max_depth: int | None = None, step: str = "id") -> DataFrame:

@@ -48,6 +48,29 @@ def downstream_reasoning(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(a.chain(spark, d), a.first_turns(spark, d), 5)
 
 
+DISCOVERY_DEPTH = 4
+
+
+def _discovery_sql(depth: int) -> str:
+    steps = ["ways AS (SELECT type, source AS x, target AS y FROM edge_sites UNION SELECT type, target, source FROM edge_sites)",
+             "s0 AS (SELECT DISTINCT target AS root, target AS node, 0 AS hop, 1 AS place FROM base_edges WHERE target LIKE 'contract:region:%')"]
+    for k in range(1, depth + 1):
+        steps.append(f"""f{k} AS (SELECT root, y AS node, place, type FROM s{k - 1} s JOIN ways ON x = node WHERE hop = {k - 1} AND NOT EXISTS (SELECT 1 FROM s{k - 1} z WHERE z.root = s.root AND z.node = y) QUALIFY row_number() OVER (PARTITION BY root, y ORDER BY place, type) = 1)""")
+        steps.append(f"""s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT root, node, {k}, met + row_number() OVER (PARTITION BY root ORDER BY place, type, node) FROM f{k} JOIN (SELECT root, count(*) AS met FROM s{k - 1} GROUP BY root) USING (root))""")
+    more = f"SELECT DISTINCT root FROM s{depth} s JOIN ways ON x = node WHERE hop = {depth} AND NOT EXISTS (SELECT 1 FROM s{depth} z WHERE z.root = s.root AND z.node = y)"
+    return f"WITH {', '.join(steps)} SELECT root, node, hop, place::BIGINT AS place, root IN ({more}) AS truncated FROM s{depth}"
+
+
+@query("discovery_order", sql("base_edges edge_sites", _discovery_sql(DISCOVERY_DEPTH)))
+def discovery_order(spark: SparkSession, d: str) -> DataFrame:
+    """What each region reaches, in the order in which a queue would meet it."""
+    e = a.edge_sites(spark, d).select("type", "source", "target")
+    ways = e.unionByName(e.select("type", F.col("target").alias("source"), F.col("source").alias("target")))
+    roots = a.base_edges(spark, d).where("target like 'contract:region:%'").select(F.col("target").alias("root"))
+    found, flags = graph.discovered(ways, roots, DISCOVERY_DEPTH, ["type"])
+    return found.join(flags, "root")
+
+
 LAST = "last_turns AS (SELECT conv_id || ':' || max(turn) AS root FROM turns GROUP BY conv_id)"
 UP = "walk AS (SELECT root, root AS node, 0 AS hop FROM last_turns UNION SELECT root, source, hop + 1 FROM walk JOIN chain ON target = node WHERE hop < 5), found AS (SELECT root, node, min(hop) AS hop FROM walk GROUP BY root, node)"
 

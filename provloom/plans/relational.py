@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provloom.functions import ids, text
-from provloom.functions.canonical import content_id
+from provloom.functions.canonical import content_id, content_id_with
 from provloom.operators import aggregate, resolve, scope
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
@@ -41,6 +41,16 @@ def span_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.file", "s.line_start", "s.line_end")
 
 
+@query("metadata_content_ids", """WITH e AS (SELECT *, regexp_replace(value::VARCHAR, '\\.0$', '') AS v FROM events)
+    SELECT event_id, 'rel:' || substr(sha256('{"metadata":{"Z":[' || user_id || ',{"a":"' || event_type || '","b":null}],"m":{' || CASE WHEN event_id % 3 = 0 THEN '"9":true,"10":' || event_id || ',' ELSE '' END || '"\u00e9":' || v || '},"p":' || replace(props, ' ', '') || '},"source_id":"user:' || user_id || '","type":"' || event_type || '"}'), 1, 16) AS id FROM e""")
+def metadata_content_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of events with metadata of free form: keys in any order, spaces, nulls, nesting."""
+    e = load(spark, d, "events")
+    few = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"10" : '), F.col("event_id").cast("string"), F.lit(', "9": true,'))).otherwise("")
+    metadata = F.concat(F.lit('{ "p": '), F.col("props"), F.lit(', "m" : {'), few, F.lit('"\u00e9": '), F.col("value").cast("decimal(18,3)").cast("string"), F.lit('},\n"Z": ['), F.col("user_id").cast("string"), F.lit(', {"b": null, "a": "'), F.col("event_type"), F.lit('"}]}'))
+    return e.select("event_id", content_id_with("rel", {"metadata": metadata}, type=F.col("event_type"), source_id=F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("id"))
+
+
 @query("edge_content_ids", sql("base_edges", """SELECT source, target, 'rel:' || substr(sha256('{"source_id":"' || source || '","target_id":"' || target || '","type":"' || type || '"}'), 1, 16) AS id FROM base_edges"""))
 def edge_content_ids(spark: SparkSession, d: str) -> DataFrame:
     return a.base_edges(spark, d).select("source", "target", content_id("rel", type=F.col("type"), source_id=F.col("source"), target_id=F.col("target")).alias("id"))
