@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.operators import scope, validation
+from provloom.operators import scope, state_check, validation
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
@@ -131,3 +131,25 @@ def scope_report_violations(spark: SparkSession, d: str) -> DataFrame:
 def provenance_in_scope(spark: SparkSession, d: str) -> DataFrame:
     rows = scope.entries(scope.inventory(a.files(spark, d), ["**/*"], a.EXCLUDES, a.LIMIT_BYTES), a.issues(spark, d), scope.not_found(a.literals(spark, d), a.files(spark, d)))
     return validation.provenance_outside(a.files(spark, d).where("doc_id % 3 = 0"), rows)
+
+
+@query("state_violations", sql("base_edges", """WITH ids AS (SELECT DISTINCT target AS id FROM base_edges UNION ALL SELECT 'contract:customer:' || c_custkey FROM customer, range(CASE WHEN c_custkey % 17 = 0 THEN 2 WHEN c_custkey % 13 = 0 THEN 0 ELSE 1 END) UNION ALL SELECT 'contract:supplier:' || s_suppkey FROM supplier),
+    fact AS (SELECT event_id, 'fact:' || event_id AS id, 'contract:customer:' || user_id AS subject, event_type FROM events), obs AS (SELECT 'obs:' || event_id AS id, event_id FROM events WHERE event_type = 'purchase'),
+    ev AS (SELECT 'ev:' || event_id AS id, 'obs:' || (event_id + 1) AS o FROM events WHERE event_type = 'click'),
+    refs AS (SELECT 'relationship-endpoints' AS "check", 'rel:' || source AS source, unnest([source, target]) AS missing, 'e' AS held FROM base_edges UNION ALL SELECT 'fact-subject', id, subject, 'e' FROM fact UNION ALL SELECT 'fact-object', id, 'contract:none:' || event_id, 'e' FROM fact WHERE event_type = 'error'
+        UNION ALL SELECT 'observation-basis', id, unnest(['fact:' || event_id, 'fact:' || (event_id * 2)]), 'f' FROM obs UNION ALL SELECT 'evidence-supports', id, o, 'c' FROM ev UNION ALL SELECT 'evidence-contradicts', id, replace(id, 'ev:', 'fact:'), 'c' FROM ev),
+    held AS (SELECT DISTINCT id, 'e' AS held FROM ids UNION ALL SELECT id, unnest(['f', 'c']) FROM fact UNION ALL SELECT id, 'c' FROM obs)
+    SELECT 0 AS rank, 0 AS place, 'DuplicateCanonicalEntity' AS code, 'unique' AS "check", id AS source, NULL::VARCHAR AS missing FROM ids GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 1, 0, 'InvalidConfidence', 'fact', id, NULL FROM fact WHERE event_id % 19 = 0 UNION ALL SELECT 2, 0, 'MissingProvenance', 'fact', id, NULL FROM fact WHERE event_id % 23 = 0
+    UNION ALL SELECT 3, 0, 'InvalidReconState', "check", source, missing FROM refs ANTI JOIN held ON missing = held.id AND refs.held = held.held"""))
+def state_violations(spark: SparkSession, d: str) -> DataFrame:
+    """A state of five tables with ids that stand twice, wrong levels, lost provenance and lost references."""
+    edges, e, s = a.base_edges(spark, d), load(spark, d, "events"), F.col("event_id").cast("string")
+    customers = load(spark, d, "customer").withColumn("n", F.when(F.col("c_custkey") % 17 == 0, 2).when(F.col("c_custkey") % 13 == 0, 0).otherwise(1)).select(F.concat(F.lit("contract:customer:"), F.col("c_custkey").cast("string")).alias("id"), F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("id")
+    contracts = edges.select(F.col("target").alias("id")).distinct().unionByName(customers).unionByName(load(spark, d, "supplier").select(F.concat(F.lit("contract:supplier:"), F.col("s_suppkey").cast("string")).alias("id")))
+    facts = e.select(F.concat(F.lit("fact:"), s).alias("id"), F.concat(F.lit("contract:customer:"), F.col("user_id").cast("string")).alias("subject_id"), F.when(F.col("event_type") == "error", F.concat(F.lit("contract:none:"), s)).alias("object_id"),
+                     F.when(F.col("event_id") % 19 == 0, "DERIVED").otherwise("VERIFIED").alias("level"), F.filter(F.array(F.lit("p")), lambda p: F.col("event_id") % 23 != 0).alias("provenance"))
+    observations = e.where("event_type = 'purchase'").select(F.concat(F.lit("obs:"), s).alias("id"), F.array(F.concat(F.lit("fact:"), s), F.concat(F.lit("fact:"), (F.col("event_id") * 2).cast("string"))).alias("based_on"), F.lit("DERIVED").alias("level"))
+    evidence = e.where("event_type = 'click'").select(F.concat(F.lit("ev:"), s).alias("id"), F.array(F.concat(F.lit("obs:"), (F.col("event_id") + 1).cast("string"))).alias("supports"), F.array(F.concat(F.lit("fact:"), s)).alias("contradicts"), F.array(F.lit("p")).alias("provenance"))
+    relationships = edges.select(F.concat(F.lit("rel:"), "source").alias("id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"))
+    return state_check.state_violations({"contracts": contracts, "relationships": relationships, "facts": facts, "observations": observations, "evidence": evidence})
