@@ -52,3 +52,23 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], place: str,
     if not group:
         return through.withColumn(place, F.col("_n") + 1).select(*rows.columns, place)
     return through.join(firsts, same).withColumn(place, F.col("_n") - F.col("_first") + 1).select(*rows.columns, place)
+
+
+#: Severities of issues, the gravest first.
+SEVERITIES = ["FATAL", "RECOVERABLE", "UNKNOWN", "UNSUPPORTED"]
+
+
+def issues_in_order(issues: DataFrame) -> DataFrame:
+    """``issues`` with their ``place`` from 1: by severity, code, file, lines, count and message.
+
+    Texts are compared by code units; an absent or null file or message counts as empty, an absent or
+    null number as 0; other columns stay and do not order.  Issues that agree in all seven come in any
+    order.  A severity that is none of the four, or null, is refused.  No task holds all issues.
+    """
+    have = set(issues.columns)
+    text = lambda c: code_units(F.coalesce(F.col(c), F.lit(""))) if c in have else code_units(F.lit(""))
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in have else F.lit(0).cast("long")
+    place = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    grave = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("no severity: "), F.coalesce("severity", F.lit("null")))).cast("long"))
+    order = [grave, text("code"), text("file"), number("line_start"), number("line_end"), number("count"), text("message")]
+    return numbered(issues, [], order, "place", Scratch(issues.sparkSession, "issues"), "issues")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provloom.operators import scope, state_check, validation
+from provloom.operators import order, scope, state_check, validation
 from provloom.plans import adapters as a
 from provloom.plans.adapters import sql
 from provloom.plans.registry import query
@@ -153,3 +153,15 @@ def state_violations(spark: SparkSession, d: str) -> DataFrame:
     evidence = e.where("event_type = 'click'").select(F.concat(F.lit("ev:"), s).alias("id"), F.array(F.concat(F.lit("obs:"), (F.col("event_id") + 1).cast("string"))).alias("supports"), F.array(F.concat(F.lit("fact:"), s)).alias("contradicts"), F.array(F.lit("p")).alias("provenance"))
     relationships = edges.select(F.concat(F.lit("rel:"), "source").alias("id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"))
     return state_check.state_violations({"contracts": contracts, "relationships": relationships, "facts": facts, "observations": observations, "evidence": evidence})
+
+
+@query("issues_in_order", """WITH i AS (SELECT ['UNSUPPORTED', 'FATAL', 'UNKNOWN', 'RECOVERABLE'][event_id % 4 + 1] AS severity, event_type AS code, CASE WHEN user_id % 5 <> 0 THEN 'f' || user_id END AS file, CASE WHEN event_id % 7 <> 0 THEN event_id % 7 END AS line_start, event_id % 3 + 1 AS "count", props AS message FROM events)
+    SELECT severity, code, coalesce(file, '') AS file, coalesce(line_start, 0) AS line_start, "count", message, row_number() OVER (ORDER BY list_position(['FATAL', 'RECOVERABLE', 'UNKNOWN', 'UNSUPPORTED'], severity), code, coalesce(i.file, ''), coalesce(i.line_start, 0), "count", message) AS place FROM i""")
+def issues_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Events as issues, in the order in which a report lists them."""
+    k = F.col("event_id")
+    severity = F.element_at(F.array(*map(F.lit, ["UNSUPPORTED", "FATAL", "UNKNOWN", "RECOVERABLE"])), (k % 4 + 1).cast("int"))
+    issues = load(spark, d, "events").select(
+        severity.alias("severity"), F.col("event_type").alias("code"), F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("f"), F.col("user_id").cast("string"))).alias("file"),
+        F.when(k % 7 != 0, k % 7).alias("line_start"), (k % 3 + 1).alias("count"), F.col("props").alias("message"))
+    return order.issues_in_order(issues).fillna({"file": "", "line_start": 0})
