@@ -56,15 +56,17 @@ def read_write_sets(accesses: DataFrame) -> DataFrame:
     return found.withColumn("readwrite", F.array_intersect("reads", "writes"))
 
 
-def table_fingerprint(df: DataFrame, key: Column, value: Column, leaf_rows: int = 4096) -> DataFrame:
+def table_fingerprint(df: DataFrame, key: Column, value: Column, leaf_rows: int = 4096, max_depth: int | None = None) -> DataFrame:
     """One sha256 of a table's (key, value) lines, whatever their partitioning.
 
     A tree over the digits of the key's own hash: its depth follows from the number of rows,
     so that a leaf holds about ``leaf_rows`` lines and every other node sixteen digests.
+    ``max_depth`` fixes where the tree ends for those who compare fingerprints of such a tree;
+    from there on leaves grow with the table, by one line for every 16**max_depth.
     """
     lines = df.select(F.sha2(key, 256).alias("at"), key.alias("k"), F.concat(key, F.lit(" "), value).alias("line"))
     rows, depth = df.count(), 0
-    while rows > leaf_rows * 16**depth:
+    while rows > leaf_rows * 16**depth and depth != max_depth:
         depth += 1
     if not depth:
         return lines.agg(fingerprint(F.col("line"), F.col("k")).alias("fingerprint"), F.count("*").alias("rows"))

@@ -100,3 +100,15 @@ def test_fingerprint_ignores_partitioning(spark):
     one = aggregate.table_fingerprint(df, F.col("k"), F.col("v")).first()
     assert one == aggregate.table_fingerprint(df.repartition(7).orderBy(F.rand(1)), F.col("k"), F.col("v")).first()
     assert one != aggregate.table_fingerprint(df.where("id <> 3"), F.col("k"), F.col("v")).first()
+
+
+def test_fingerprint_of_a_tree_that_ends_at_a_depth(spark):
+    from hashlib import sha256
+
+    df = spark.range(40).selectExpr("cast(id as string) k", "concat('v', id) v")
+    got = aggregate.table_fingerprint(df, df["k"], df["v"], leaf_rows=1, max_depth=1).first()
+    digest = lambda lines: sha256("\n".join(lines).encode()).hexdigest()
+    leaves = {}
+    for k in sorted(map(str, range(40))):
+        leaves.setdefault(sha256(k.encode()).hexdigest()[0], []).append(f"{k} v{k}")
+    assert tuple(got) == (digest(f"{at} {digest(leaves[at])}" for at in sorted(leaves)), 40)
