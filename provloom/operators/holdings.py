@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provloom.functions.canonical import content_id
 from provloom.operators import resolve
 from provloom.operators.assets import FEE_PINS, REPRESENTATIONS, abi_signatures
+from provloom.storage import Scratch
 
 #: The relation of two classes held together, by the classes of its sides.
 PAIR_RULES = {
@@ -51,9 +52,11 @@ def claims(assets: DataFrame, contracts: DataFrame, functions: DataFrame, relati
     typed = assets.join(named, "name")
     tokens = typed.join(balance, "type_contract", "left_semi").select(F.col("asset_id").alias("claim_on"), F.col("state_var_id").alias("_token_var"), F.col("type_contract").alias("_token_type"))
     standing = typed.where(F.col("asset_type").isin(REPRESENTATIONS)).withColumnRenamed("represents_asset_id", "claim_on").join(tokens, "claim_on")
-    standing = standing.select(F.col("asset_id").alias("via"), "claim_on", "state_var_id", "type_contract", "_token_var", "_token_type")
-    reads = uses.where("type = 'READS'").select(F.col("source").alias("holder_ref"), F.col("target").alias("state_var_id"))
-    calls = uses.where("type = 'CALLS'").select(F.col("source").alias("holder_ref"), F.col("target").alias("function")).join(balance, "function").select("holder_ref", "type_contract").distinct()
+    standing = Scratch(assets.sparkSession, "claims").keep(standing.select(F.col("asset_id").alias("via"), "claim_on", "state_var_id", "type_contract", "_token_var", "_token_type"), "standing")
+    reads = uses.where("type = 'READS'").select(F.col("source").alias("holder_ref"), F.col("target").alias("state_var_id")).distinct()
+    # A function is called many times and lies in many closures: each caller meets only the closures of representations, once.
+    callers = uses.where("type = 'CALLS'").select(F.col("source").alias("holder_ref"), F.col("target").alias("function")).distinct()
+    calls = callers.join(balance.join(standing.select("type_contract").distinct(), "type_contract", "left_semi"), "function").select("holder_ref", "type_contract").distinct()
     found = standing.join(reads, "state_var_id").select(*standing.columns, "holder_ref").unionByName(standing.join(calls, "type_contract").select(*standing.columns, "holder_ref")).distinct()
     basis = F.array_sort(F.array_distinct(F.array("holder_ref", "state_var_id", "type_contract", "_token_var", "_token_type")))
     return found.select(content_id("semcl", holder_ref=F.col("holder_ref"), claim_on=F.col("claim_on"), via=F.col("via")).alias("id"), "holder_ref", "claim_on", "via", basis.alias("basis"))
