@@ -30,3 +30,16 @@ def test_claims_meet_each_caller_once(spark):
     found = holdings.claims(made, contracts, functions, bases, uses)
     assert most_rows(found) <= 200
     assert {(r["holder_ref"], r["claim_on"], r["via"]) for r in found.collect()} == {("h", "t", "l"), ("f", "t", "l")} and found.count() == 2
+
+
+def test_only_calls_ask_for_their_target(spark):
+    from provloom.operators import semantic
+
+    functions = spark.createDataFrame([("f", "c", "n", "payable", [], "a"), ("g", "c", "m", "payable", [], "a")], "id string, contract_id string, name string, mutability string, modifiers array<string>, file string")
+    links = [(f"r{k}", "READS", "f", f"s{k % 3}", None, "a", 1, 2) for k in range(100)] + [("k", "CALLS", "f", "g", "external", "a", 1, 2), ("l", "CALLS", "gone", "g", "external", "a", 1, 2)]
+    links = spark.createDataFrame(links, "id string, type string, source string, target string, call_kind string, file string, line_start long, line_end long")
+    facts = spark.createDataFrame([], "id string, subject string, predicate string, value string, file string, line_start long, line_end long")
+    made, _ = semantic.state_transitions(functions, links, facts, spark.createDataFrame([], "file string, code string"))
+    assert most_rows(made) <= 5
+    found = {r["function_id"]: (r["reads"], [e["target_ref"] for e in r["external_effects"]], len(r["basis"])) for r in made.collect()}
+    assert found == {"f": (["s0", "s1", "s2"], ["g"], 102), "g": ([], [], 1)}
