@@ -43,3 +43,20 @@ def test_only_calls_ask_for_their_target(spark):
     assert most_rows(made) <= 5
     found = {r["function_id"]: (r["reads"], [e["target_ref"] for e in r["external_effects"]], len(r["basis"])) for r in made.collect()}
     assert found == {"f": (["s0", "s1", "s2"], ["g"], 102), "g": ([], [], 1)}
+
+
+def test_numbered_moves_no_group_whole(spark):
+    from pyspark.sql import functions as F
+
+    from provloom.operators.order import numbered
+    from provloom.storage import Scratch
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") < 10, "few").otherwise("many").alias("g"), "id")
+        made = numbered(rows, ["g"], [-F.col("id")], "place", Scratch(spark, "numbered"), "rows")
+        found = {(r["g"], r["id"]): r["place"] for r in made.collect()}
+        assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {("few" if k < 10 else "many", k): 10 - k if k < 10 else 3000 - k for k in range(3000)}
