@@ -60,3 +60,46 @@ def test_numbered_moves_no_group_whole(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == {("few" if k < 10 else "many", k): 10 - k if k < 10 else 3000 - k for k in range(3000)}
+
+
+def shuffled(spark, job) -> int:
+    """Rows that all stages of ``job`` wrote to shuffles, joins by broadcast switched off."""
+    jvm, store = spark._jvm, spark._jsc.sc().statusStore()
+
+    def total():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = total()
+        job()
+        return total() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def long_walk(spark):
+    functions = [(f"f{k:02d}", "public" if k == 0 else "internal", []) for k in range(12)] + [(f"g{k:03d}", "internal", []) for k in range(400)]
+    calls = [(f"r{k:02d}", f"f{k:02d}", f"f{k + 1:02d}", "internal") for k in range(11)] + [(f"s{k:03d}", f"g{k:03d}", "gone", "internal") for k in range(400)]
+    return spark.createDataFrame(functions, "id string, visibility string, modifiers array<string>"), spark.createDataFrame(calls, "id string, source string, target string, call_kind string"), spark.createDataFrame([], "id string, subject string, value string")
+
+
+def test_routes_move_their_hops_once(spark):
+    from provloom.operators import routes
+
+    functions, calls, markers = long_walk(spark)
+    pairs, names, conditions = spark.createDataFrame([], "id string, source string, target string"), spark.createDataFrame([], "id string"), spark.createDataFrame([], "id string, function string")
+    found = []
+    moved = shuffled(spark, lambda: found.extend(routes.routes(functions, calls, markers, pairs, names, conditions)[0].collect()))
+    assert len(found) == 400 + 66 and moved < 6 * (411 + 412)
+
+
+def test_contexts_move_their_edges_once(spark):
+    from provloom.operators import graph
+
+    functions, calls, _ = long_walk(spark)
+    roots, found = functions.selectExpr("id as root"), []
+    moved = shuffled(spark, lambda: found.extend(graph.contexts(calls, roots).collect()))
+    assert len(found) == 412 + 400 + 66 and moved < 5 * (411 + 412)
