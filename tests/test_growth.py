@@ -1,5 +1,11 @@
 """Steps whose rows must not outgrow their input: counted in the plans that ran."""
 
+import os
+
+import pytest
+
+DATA = "/root/testdata/sf0.001"
+
 
 def most_rows(df) -> int:
     """Collects ``df``; the most rows that any join of its plan gave."""
@@ -103,3 +109,24 @@ def test_contexts_move_their_edges_once(spark):
     roots, found = functions.selectExpr("id as root"), []
     moved = shuffled(spark, lambda: found.extend(graph.contexts(calls, roots).collect()))
     assert len(found) == 412 + 400 + 66 and moved < 5 * (411 + 412)
+
+
+def test_influences_gather_accesses_once(spark):
+    from provloom.operators import artifacts
+
+    functions = spark.createDataFrame([(f"f{k}",) for k in range(100)], "id string")
+    reads = [(f"r{k}", "READS" if k % 2 else "WRITES", f"f{k % 100}", f"s{k % 50}", "a", k, k) for k in range(800)]
+    reads = spark.createDataFrame(reads, "id string, type string, source string, target string, file string, line_start int, line_end int")
+    calls = spark.createDataFrame([("c", "f0", "f50"), ("c", "f0", "f50"), ("d", "f1", "f51")], "id string, source string, target string")
+    gates = spark.createDataFrame([(f"g{k}", f"f{k}", ["x"]) for k in range(100)], "id string, function string, basis array<string>")
+    found = []
+    moved = shuffled(spark, lambda: found.extend(artifacts.influences(artifacts.attributed_accesses(reads, functions), gates, calls).collect()))
+    assert sorted(r["kind"] for r in found) == ["call-supported"] * 16 + ["control-supported"] * 800 and moved < 4 * 800
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_unknown_records_leave_edges_and_facts_alone(spark):
+    from provloom.plans.records import esm_unknowns
+
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert shuffled(spark, lambda: esm_unknowns(spark, DATA).collect()) < 1.5 * lines
