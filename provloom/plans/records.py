@@ -71,8 +71,7 @@ UNKNOWN_DRAFTS = f"""WITH {m.LAYERS}, du AS (SELECT record AS scope, 'unsupporte
 @query("esm_unknowns", UNKNOWN_DRAFTS + f""" SELECT DISTINCT {_ident('seme', """'{"basis":["' || basis || '"],"reason":"' || reason || '","scope":"' || scope || '"}'""")} AS id, scope, reason, basis FROM du""")
 def esm_unknowns(spark: SparkSession, d: str) -> DataFrame:
     """Unknown records of transitions and of calls whose target is not known."""
-    layer = semantic.state_transitions(m.functions(spark, d), m.relationships(spark, d), m.function_facts(spark, d), m.file_issues(spark, d))[1]
-    of_files = layer.where(F.col("reason").isin("unsupported_assembly", "dropped_file")).select(F.col("record_ref").alias("scope"), "reason", "basis")
+    of_files = semantic.file_unknowns(m.functions(spark, d), m.file_issues(spark, d)).select(F.col("record_ref").alias("scope"), "reason", "basis")
     calls = m.relationships(spark, d).where("type = 'CALLS' and call_kind is not null").join(m.functions(spark, d).select(F.col("id").alias("target")), "target", "left_anti")
     found = records.unknowns(of_files, calls.select(F.lit("boundary").alias("scope"), F.lit("out_of_scope_target").alias("reason"), F.array("id").alias("basis")))
     return found.withColumn("basis", F.array_join("basis", ","))
