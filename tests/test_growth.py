@@ -130,3 +130,12 @@ def test_unknown_records_leave_edges_and_facts_alone(spark):
 
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert shuffled(spark, lambda: esm_unknowns(spark, DATA).collect()) < 1.5 * lines
+
+
+def test_discovery_moves_its_edges_once(spark):
+    from provloom.operators import graph
+
+    _, calls, _ = long_walk(spark)
+    found = []
+    moved = shuffled(spark, lambda: found.extend(graph.discovered(calls, spark.createDataFrame([("f00",)], "root string"), 8, [])[0].collect()))
+    assert [r["place"] for r in sorted(found, key=lambda r: r["hop"])] == list(range(1, 10)) and moved < 4 * 411
