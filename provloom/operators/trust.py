@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provloom.functions.canonical import content_id
 from provloom.operators.order import code_units, sorted_by_units
+from provloom.storage import Scratch, buckets_for
 
 
 def dependencies(relationships: DataFrame, functions: DataFrame) -> DataFrame:
@@ -79,8 +80,8 @@ def remapped(path: Column, remappings: list[str], importer: Column | None = None
 KINDS = ["oracle", "dex"]
 
 
-def effect_targets(effects: DataFrame, functions: DataFrame, contracts: DataFrame, states: DataFrame) -> DataFrame:
-    """effects(transition_id, place, target_ref, basis) with (dep_key, name, capability); these are null where the target is out of scope.
+def call_targets(functions: DataFrame, contracts: DataFrame, states: DataFrame) -> DataFrame:
+    """(target_ref, dep_key, name, capability) of all that is in scope.
 
     functions(id, contract_id, signature), contracts(id, name), states(id, name).
     """
@@ -88,7 +89,7 @@ def effect_targets(effects: DataFrame, functions: DataFrame, contracts: DataFram
     key = F.concat(F.lit("statevar:"), "name")
     known = functions.select(F.col("id").alias("target_ref"))
     variables = states.join(known, states["id"] == known["target_ref"], "left_anti").select(F.col("id").alias("target_ref"), key.alias("dep_key"), "name", key.alias("capability"))
-    return effects.join(named.unionByName(variables), "target_ref", "left")
+    return named.unionByName(variables).where("dep_key is not null")
 
 
 def trust_model(effects: DataFrame, functions: DataFrame, contracts: DataFrame, states: DataFrame, implements: DataFrame, transition_facts: DataFrame, pins: dict[str, list[str]]) -> dict[str, DataFrame]:
@@ -98,40 +99,58 @@ def trust_model(effects: DataFrame, functions: DataFrame, contracts: DataFrame,
     function that takes callbacks.  A called contract's kind is the first of ``KINDS`` that
     has the signature which is called first, by transition and place; all others are unknown.
 
-    functions(id, contract_id, name, signature, visibility, parameters), contracts(id, name,
-    contract_type), implements(source, target), transition_facts(transition_id, function_id,
-    fact): the facts that a transition rests on (fact may be null).  links(dependency,
-    direction, basis) are rows, since a hub's calls have no bound that one row could hold.
+    effects(transition_id, place, target_ref, basis), functions(id, contract_id, name, signature,
+    visibility, parameters), contracts(id, name, contract_type), states(id, name),
+    implements(source, target), transition_facts(transition_id, function_id, fact): the facts that
+    a transition rests on (fact may be null).  links(dependency, direction, basis) are rows, since a
+    hub's calls have no bound that one row could hold.
+
+    What is met is moved once, without its basis, into buckets by transition; signatures, counts and
+    facts are gathered there first, so that no task sorts or hashes more than a bucket of it.
+    Effects meet their targets by hash joins, which hold targets alone and stream a hub's calls.
     """
-    met = effect_targets(effects, functions, contracts, states)
-    lost = met.where("dep_key is null").select(F.col("transition_id").alias("record_ref"), F.lit("external_effects").alias("field"), F.lit("out_of_scope_target").alias("reason"), sorted_by_units(F.col("basis")).alias("basis"))
-    seen = F.struct(code_units(F.col("transition_id")).alias("t"), "place")
-    observed = met.where("dep_key is not null").select("dep_key", "name", F.lit("observed").alias("direction"), "capability", F.array(seen).alias("seen"), "basis", "transition_id", F.startswith("dep_key", F.lit("external:")).alias("called"))
+    scratch = Scratch(effects.sparkSession, "trust")
+    buckets = buckets_for(effects.count() + functions.count())
+    targets = call_targets(functions, contracts, states)
+    lost = effects.join(targets.select("target_ref"), "target_ref", "left_anti").select(F.col("transition_id").alias("record_ref"), F.lit("external_effects").alias("field"), F.lit("out_of_scope_target").alias("reason"), sorted_by_units(F.col("basis")).alias("basis"))
     hooks = contracts.where("contract_type = 'interface'").select(F.col("id").alias("target"))
     implementers = implements.join(hooks, "target", "left_semi").join(contracts.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("contract"))
     surface, open_drafts = callbacks(functions, implementers)
-    own = surface.join(functions.withColumnRenamed("id", "function_id"), "function_id")
-    at = F.array(F.struct(code_units(F.col("function_id")).alias("t"), F.lit(0).alias("place")))
-    transition_of = transition_facts.select("function_id", "transition_id").distinct()
-    taken = own.join(transition_of, "function_id", "left").select(F.concat_ws(":", F.lit("callback"), "contract_id", "name").alias("dep_key"), F.concat(F.lit("callback:"), "name").alias("name"), "direction", F.col("signature").alias("capability"), at.alias("seen"), F.array("function_id").alias("basis"), "transition_id", F.lit(False).alias("called"))
-    rows = observed.unionByName(taken)
+    own = surface.join(functions.withColumnRenamed("id", "function_id"), "function_id").withColumn("dep_key", F.concat_ws(":", F.lit("callback"), "contract_id", "name"))
 
+    told = lambda basis: F.filter(basis, lambda b: F.startswith(b, F.lit("fact:"))).alias("told")
+    lean = effects.select("transition_id", "place", "target_ref", told(F.col("basis"))).join(targets.hint("shuffle_hash"), "target_ref")
+    observed = lean.select("dep_key", "name", F.lit("observed").alias("direction"), "capability", F.col("transition_id").alias("at"), "place", "transition_id", "told", F.startswith("dep_key", F.lit("external:")).alias("called"))
+    transition_of = transition_facts.select("function_id", "transition_id").distinct()
+    taken = own.join(transition_of, "function_id", "left").select("dep_key", F.concat(F.lit("callback:"), "name").alias("name"), "direction", F.col("signature").alias("capability"), F.col("function_id").alias("at"), F.lit(0).alias("place"), "transition_id", told(F.array("function_id")), F.lit(False).alias("called"))
+    # What has no transition is spread by the function.
+    rows = observed.unionByName(taken).withColumns({"held": F.col("transition_id").isNotNull(), "lot": F.coalesce("transition_id", "at", F.lit(""))}).drop("transition_id")
+    rows = scratch.keep_bucketed(rows, "rows", buckets, "lot")
+
+    once = rows.groupBy("lot", "at", "dep_key", "name", "direction", "capability").agg(F.min("place").alias("place"), F.count("*").alias("calls"), F.max("called").alias("called"))
+    seen = F.struct(code_units(F.col("at")).alias("t"), "place")
+    once = scratch.keep(once.groupBy("dep_key", "name", "direction", "capability").agg(F.min(seen).alias("at"), F.sum("calls").alias("calls"), F.max("called").alias("called")), "once")
     kind = F.lit(None).cast("string")
     for family in KINDS:
         kind = F.coalesce(kind, F.when(F.col("_first").isin(pins[family]), F.lit(family)))
-    first = rows.groupBy("dep_key", "name").agg(F.min_by("capability", F.col("seen")[0]).alias("_first"), F.bool_or("called").alias("called"), F.count("*").alias("calls"))
+    first = once.groupBy("dep_key", "name").agg(F.min_by("capability", F.struct("at", "capability")).alias("_first"), F.max("called").alias("called"), F.sum("calls").alias("calls"))
     named = first.withColumn("dependency_type", F.when(F.col("called"), F.coalesce(kind, F.lit("unknown"))).otherwise("unknown"))
     dependencies = named.select(content_id("semdep", dep_key=F.col("dep_key"), name=F.col("name"), dependency_type=F.col("dependency_type")).alias("id"), "dep_key", "name", "dependency_type", "calls")
-    rows = rows.join(dependencies.select("dep_key", F.col("id").alias("dependency")), "dep_key")
-    links = rows.select("dependency", "direction", F.explode("basis").alias("basis")).distinct()
+    ids = dependencies.select("dep_key", F.col("id").alias("dependency"))
+    # Ids join the targets and the surface, which are fewer than their effects and less often of one dependency.
+    named_targets = targets.join(ids, "dep_key").select("target_ref", "dependency")
+    met = effects.select("target_ref", F.explode("basis").alias("basis")).join(named_targets.hint("shuffle_hash"), "target_ref").select("dependency", F.lit("observed").alias("direction"), "basis")
+    links = met.unionByName(own.join(ids, "dep_key").select("dependency", "direction", F.col("function_id").alias("basis"))).repartition(buckets, "dependency", "direction", "basis").distinct()
 
     # Signatures in the order they are met, each once: as many as a contract has functions.
-    once = rows.groupBy("dependency", "direction", "capability").agg(F.min(F.col("seen")[0]).alias("at"))
-    listed = once.groupBy("dependency", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "capability"))), lambda x: x["capability"]).alias("capabilities"))
-    held = rows.select("dependency", "direction", "transition_id").distinct().join(transition_facts.where("fact is not null").select("transition_id", "fact"), "transition_id").select("dependency", "direction", "fact")
-    facts = held.unionByName(links.where("basis like 'fact:%'").withColumnRenamed("basis", "fact")).groupBy("dependency", "direction").agg(sorted_by_units(F.collect_set("fact")).alias("based_on"))
+    mine = once.groupBy("dep_key", "direction", "capability").agg(F.min("at").alias("at"))
+    listed = mine.groupBy("dep_key", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "capability"))), lambda x: x["capability"]).alias("capabilities"))
+    borne = transition_facts.where("fact is not null").select(F.col("transition_id").alias("lot"), "fact")
+    held = rows.where("held").select("lot", "dep_key", "direction").distinct().join(borne, "lot").select("dep_key", "direction", "fact")
+    facts = held.unionByName(rows.select("dep_key", "direction", F.explode("told").alias("fact"))).repartition(buckets, "dep_key", "direction", "fact").distinct()
+    facts = facts.groupBy("dep_key", "direction").agg(sorted_by_units(F.collect_list("fact")).alias("based_on"))
     none = F.array().cast("array<string>")
-    said = listed.join(facts, ["dependency", "direction"], "left").withColumn("based_on", F.coalesce("based_on", none)).withColumn("statement", capability_statement())
+    said = listed.join(facts, ["dep_key", "direction"], "left").join(ids, "dep_key").withColumn("based_on", F.coalesce("based_on", none)).withColumn("statement", capability_statement())
     said = said.withColumn("observation", content_id("semobs", statement=F.col("statement"), based_on=F.col("based_on")))
     trusted = F.format_string("Trust assumption for %s capability on %s: the external dependency behaves as expected for %s", "direction", "dependency", F.array_join("capabilities", ", "))
     said = said.withColumn("trusted", trusted).withColumn("assumption", content_id("semasm", statement=F.col("trusted"), based_on=F.array("observation")))

@@ -139,3 +139,16 @@ def test_discovery_moves_its_edges_once(spark):
     found = []
     moved = shuffled(spark, lambda: found.extend(graph.discovered(calls, spark.createDataFrame([("f00",)], "root string"), 8, [])[0].collect()))
     assert [r["place"] for r in sorted(found, key=lambda r: r["hop"])] == list(range(1, 10)) and moved < 4 * 411
+
+
+def test_trust_moves_its_effects_once(spark):
+    from provloom.operators import assets, trust
+
+    functions = spark.createDataFrame([(f"f{k}", f"c{k % 5}", "n", f"s{k % 3}()", "internal", []) for k in range(20)], "id string, contract_id string, name string, signature string, visibility string, parameters array<string>")
+    contracts = spark.createDataFrame([(f"c{k}", f"C{k}", "contract") for k in range(5)], "id string, name string, contract_type string")
+    effects = spark.createDataFrame([(f"t{k // 2}", k % 2, f"f{k % 20}", [f"r{k}"]) for k in range(2000)], "transition_id string, place int, target_ref string, basis array<string>")
+    facts = spark.createDataFrame([(f"t{k}", f"g{k}", f"fact:{k}" if k < 50 else None) for k in range(1000)], "transition_id string, function_id string, fact string")
+    nothing = spark.createDataFrame([], "id string, name string"), spark.createDataFrame([], "source string, target string")
+    found = []
+    moved = shuffled(spark, lambda: found.extend(trust.trust_model(effects, functions, contracts, *nothing, facts, assets.DEPENDENCY_PINS)["assumptions"].collect()))
+    assert len(found) == 5 and moved < 3 * 2000
