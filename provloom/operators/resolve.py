@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provloom.storage import Scratch
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order that must be total within the key."""
@@ -71,9 +73,21 @@ def in_one_container(issues: DataFrame, containers: DataFrame) -> DataFrame:
     return issues.select("issue").join(held, "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("containers"), F.when(F.col("n") == 1, F.col("container")).alias("container"))
 
 
+#: Least orders of up to this many keys are broadcast; more are joined as Spark chooses.
+FEW_KEYS = 1_000_000
+
+
 def first_link(links: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, value): the value of the least ``order`` of each key."""
-    return links.groupBy(key).agg(F.min_by(value, F.struct(order, value)).alias(value))
+    """(key, value): the value of the least ``order`` of each key, the least value where several have it.
+
+    The least orders are found first, links then meet them, and few are left to choose from: with an
+    ``order`` of fixed width (a number) no task sorts links or keeps more of them than it has keys.
+    """
+    least = Scratch(links.sparkSession, "first-link").keep(links.groupBy(key).agg(F.min(order).alias("_least")), "least")
+    least = least.select(F.col(key).alias("_key"), "_least")
+    least = F.broadcast(least) if least.count() <= FEW_KEYS else least
+    met = links.join(least, F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_least")))
+    return met.groupBy(key).agg(F.min(value).alias(value))
 
 
 def data_influence(accesses: DataFrame, calls: DataFrame) -> DataFrame:

@@ -266,7 +266,9 @@ def movement_anti_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("actor_link_first", sql("call_sites", """SELECT target, source FROM (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY 'rel:' || substr(sha256(source || target), 1, 16), source) AS n FROM (SELECT DISTINCT target, source FROM call_sites)) WHERE n = 1"""))
 def actor_link_first(spark: SparkSession, d: str) -> DataFrame:
-    links = a.call_sites(spark, d).select("target", "source").distinct().withColumn("id", F.concat(F.lit("rel:"), F.substring(F.sha2(F.concat("source", "target"), 256), 1, 16)))
+    # Relationship ids are one prefix and 16 hex digits, and so are ordered as the number that these digits are.
+    digits = F.substring(F.sha2(F.concat("source", "target"), 256), 1, 16)
+    links = a.call_sites(spark, d).select("target", "source").withColumn("id", F.conv(digits, 16, 10).cast("decimal(20,0)"))
     return resolve.first_link(links, "target", "source", "id")
 
 

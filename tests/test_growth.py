@@ -152,3 +152,11 @@ def test_trust_moves_its_effects_once(spark):
     found = []
     moved = shuffled(spark, lambda: found.extend(trust.trust_model(effects, functions, contracts, *nothing, facts, assets.DEPENDENCY_PINS)["assumptions"].collect()))
     assert len(found) == 5 and moved < 3 * 2000
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_first_links_move_least_orders_alone(spark):
+    from provloom.plans.graphs import actor_link_first
+
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert shuffled(spark, lambda: actor_link_first(spark, DATA).collect()) < lines / 4
