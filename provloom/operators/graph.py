@@ -83,6 +83,24 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def leading_to(edges: DataFrame, ends: DataFrame, rounds: int = 4) -> DataFrame:
+    """Edges (source, target) without most of those that lead to none of ``ends``(id), dead ends being taken away ``rounds`` times at most.
+
+    All ways to the ends stay whole; some other edges, that lead on for longer or to a cycle, may stay too.
+    """
+    scratch = Scratch(edges.sparkSession, "leading")
+    left = scratch.keep(edges.select("source", "target"), "left-0")
+    before, ends = left.count(), scratch.keep(ends.select("id").distinct(), "ends")
+    for k in range(1, rounds + 1):
+        goals = left.select(F.col("source").alias("target")).unionByName(ends.select(F.col("id").alias("target")))
+        left = scratch.keep(left.join(goals, "target", "left_semi").select("source", "target"), f"left-{k}")
+        after = left.count()
+        if after in (0, before):
+            break
+        before = after
+    return left
+
+
 def _cut_off(found: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(root, truncated): whether an unvisited node lies one step beyond the bound.
 

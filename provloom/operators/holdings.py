@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provloom.functions.canonical import content_id
-from provloom.operators import resolve
+from provloom.operators import graph, resolve
 from provloom.operators.assets import FEE_PINS, REPRESENTATIONS, abi_signatures
 from provloom.storage import Scratch
 
@@ -69,7 +69,9 @@ def fee_split(contracts: DataFrame, functions: DataFrame, relationships: DataFra
     two of which some one function touches, and that holds a classified asset.
     held(contract_id, asset_id).
     """
-    surface = abi_signatures(contracts, functions, relationships).where(F.col("signature").isin(FEE_PINS)).select("contract", F.col("function").alias("source"))
+    pinned = functions.where(F.col("signature").isin(FEE_PINS))
+    bases = graph.leading_to(relationships.where("type in ('INHERITS', 'IMPLEMENTS')"), pinned.select(F.col("contract_id").alias("id"))).withColumn("type", F.lit("INHERITS"))
+    surface = abi_signatures(contracts, pinned, bases).select("contract", F.col("function").alias("source"))
     uses = relationships.where("type in ('READS', 'WRITES')").join(variables.select(F.col("id").alias("target")), "target", "left_semi")
     written = surface.distinct().join(uses.where("type = 'WRITES'").select("source", "target"), "source").select("contract", F.col("target").alias("destination")).distinct()
     several = written.groupBy("contract").agg(F.count("*").alias("destinations")).where("destinations >= 2")

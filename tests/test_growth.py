@@ -160,3 +160,13 @@ def test_first_links_move_least_orders_alone(spark):
 
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert shuffled(spark, lambda: actor_link_first(spark, DATA).collect()) < lines / 4
+
+
+def test_only_ways_to_the_ends_stay(spark):
+    from provloom.operators import graph
+
+    ways = [("a", "b"), ("b", "end"), ("end", "on"), ("on", "further"), ("c", "dead"), ("x", "y"), ("y", "x"), ("y", "end")]
+    edges, ends = spark.createDataFrame(ways, "source string, target string"), spark.createDataFrame([("end",)], "id string")
+    found = {(r["source"], r["target"]) for r in graph.leading_to(edges, ends).collect()}
+    assert found == {("a", "b"), ("b", "end"), ("x", "y"), ("y", "x"), ("y", "end")}
+    assert graph.leading_to(edges, ends.where("id = 'none'")).count() == 2
