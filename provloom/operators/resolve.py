@@ -82,6 +82,7 @@ def first_link(links: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
     The least orders are found first, links then meet them, and few are left to choose from: with an
     ``order`` of fixed width (a number) no task sorts links or keeps more of them than it has keys.
+    A null order counts only where a key has no other.
     """
     least = Scratch(links.sparkSession, "first-link").keep(links.groupBy(key).agg(F.min(order).alias("_least")), "least")
     least = least.select(F.col(key).alias("_key"), "_least")
