@@ -170,3 +170,31 @@ def test_only_ways_to_the_ends_stay(spark):
     found = {(r["source"], r["target"]) for r in graph.leading_to(edges, ends).collect()}
     assert found == {("a", "b"), ("b", "end"), ("x", "y"), ("y", "x"), ("y", "end")}
     assert graph.leading_to(edges, ends.where("id = 'none'")).count() == 2
+
+
+def test_compositions_move_their_steps_once(spark):
+    from provloom.operators import records
+    from provloom.storage import Scratch
+
+    functions, calls, _ = long_walk(spark)
+    steps = calls.selectExpr("source as function_id", "id as site", "'call-inline' as operator", "target")
+    steps = steps.unionByName(spark.createDataFrame([("f03", "x", "call-inline", "f01"), ("f04", "y", "call-inline", None), ("gone", "z", "call-inline", "away")], steps.schema))
+    roots, found = functions.select("id").unionByName(spark.createDataFrame([("f10",)], "id string")), []
+    moved = shuffled(spark, lambda: found.extend(records.compositions(roots, steps, Scratch(spark, "compositions")).collect()))
+    after = {}
+    for r in steps.collect():
+        after.setdefault(r["function_id"], []).append(r)
+    expected = []
+
+    def walk(root, chain, depth):
+        for s in after.get(chain[-1], []):
+            flag = "unresolved" if s["target"] is None else "cyclic" if s["target"] in chain else "bound-hit" if depth > 8 else "taken"
+            expected.append((root, depth, chain, s["operator"], s["site"], flag))
+            if flag == "taken":
+                walk(root, [*chain, s["target"]], depth + 1)
+
+    for r in roots.collect():
+        walk(r["id"], [r["id"]], 1)
+    key = lambda r: (r[0], r[2], r[4])
+    assert sorted(((r["root"], r["depth"], r["chain"], r["operator"], r["site"], r["flag"]) for r in found), key=key) == sorted(expected, key=key)
+    assert {r["flag"] for r in found} == {"taken", "unresolved", "cyclic", "bound-hit"} and moved < 3 * (414 + 413)
