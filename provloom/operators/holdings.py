@@ -28,13 +28,19 @@ def accounting_pairs(assets: DataFrame, accesses: DataFrame) -> DataFrame:
     of functions and the variables they read or write.  Being held together is not enough:
     some function must access both.  Each side keeps only the classes that a rule names.
     """
-    rules = assets.sparkSession.createDataFrame([(k, a, b) for k, (left, right) in PAIR_RULES.items() for a in left for b in right], "relation_kind string, l_type string, r_type string")
-    used = accesses.select("source", "target").distinct().join(assets.select(F.col("state_var_id").alias("target"), "asset_id", "contract_id", "asset_type"), "target")
-    left, right = (used.select("contract_id", "source", F.col("asset_id").alias(f"{p}_asset"), F.col("asset_type").alias(f"{p}_type")) for p in "lr")
-    both = left.join(F.broadcast(rules), "l_type").join(right, ["contract_id", "source", "r_type"])
+    scratch = Scratch(assets.sparkSession, "pairs")
+    named = sorted({t for sides in PAIR_RULES.values() for side in sides for t in side})
+    held = scratch.keep(assets.where(F.col("asset_type").isin(named)).select("asset_id", F.col("state_var_id").alias("target"), "contract_id", "asset_type", "basis"), "held")
+    # Rules count whose two sides are there; what is in use is met once, for both sides.
+    there = {r["asset_type"] for r in held.select("asset_type").distinct().collect()}
+    rules = assets.sparkSession.createDataFrame([(k, a, b) for k, (left, right) in PAIR_RULES.items() for a in left for b in right if {a, b} <= there], "relation_kind string, l_type string, r_type string")
+    sides = held.drop("basis").join(F.broadcast(rules.select(F.explode(F.array("l_type", "r_type")).alias("asset_type")).distinct()), "asset_type", "left_semi")
+    used = scratch.keep(accesses.select("source", "target").distinct().join(sides.hint("shuffle_hash"), "target").select("contract_id", "source", "asset_id", "asset_type"), "used")
+    left, right = (used.select("contract_id", "source", F.col("asset_id").alias(f"{p}_asset"), F.col("asset_type").alias(f"{p}_type")).join(F.broadcast(rules.select("relation_kind", f"{p}_type").distinct()), f"{p}_type") for p in "lr")
+    both = left.join(F.broadcast(rules.select("relation_kind", "l_type", "r_type")), ["relation_kind", "l_type"]).join(right, ["contract_id", "source", "relation_kind", "r_type"])
     pairs = both.groupBy("contract_id", "relation_kind", "l_asset", "r_asset").agg(F.array_sort(F.collect_set("source")).alias("accessors"))
     for p in "lr":
-        pairs = pairs.join(assets.select(F.col("asset_id").alias(f"{p}_asset"), F.col("basis").alias(f"{p}_basis")), f"{p}_asset")
+        pairs = pairs.join(held.select(F.col("asset_id").alias(f"{p}_asset"), F.col("basis").alias(f"{p}_basis")), f"{p}_asset")
     made = pairs.withColumn("endpoints", F.array_sort(F.array_distinct(F.array("l_asset", "r_asset")))).withColumn("derivation", F.lit("paired-storage"))
     basis = F.array_sort(F.array_distinct(F.concat("l_basis", "r_basis", "accessors", F.array("contract_id"))))
     return made.select(content_id("semacc", derivation=F.col("derivation"), endpoints=F.col("endpoints"), relation_kind=F.col("relation_kind")).alias("id"), "relation_kind", "endpoints", "derivation", "accessors", basis.alias("basis"))

@@ -198,3 +198,16 @@ def test_compositions_move_their_steps_once(spark):
     key = lambda r: (r[0], r[2], r[4])
     assert sorted(((r["root"], r["depth"], r["chain"], r["operator"], r["site"], r["flag"]) for r in found), key=key) == sorted(expected, key=key)
     assert {r["flag"] for r in found} == {"taken", "unresolved", "cyclic", "bound-hit"} and moved < 3 * (414 + 413)
+
+
+def test_pairs_meet_accesses_once(spark):
+    from provloom.operators import holdings
+
+    kinds = ["debt", "collateral", "erc20", "unknown"]
+    made = [(f"a{k:03d}", f"v{k}", f"c{k // 4}", kinds[k % 4], [f"v{k}"]) for k in range(200)]
+    made = spark.createDataFrame(made, "asset_id string, state_var_id string, contract_id string, asset_type string, basis array<string>")
+    accesses = spark.createDataFrame([(f"f{j}", f"v{k}") for k in range(200) for j in range(5)] * 2, "source string, target string")
+    found = []
+    moved = shuffled(spark, lambda: found.extend(holdings.accounting_pairs(made, accesses).collect()))
+    assert {(*r["endpoints"], r["relation_kind"], len(r["accessors"])) for r in found} == {(f"a{k:03d}", f"a{k + 1:03d}", "debt_collateral", 5) for k in range(0, 200, 4)}
+    assert len(found) == 50 and moved < 4.5 * 1000
