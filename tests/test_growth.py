@@ -123,6 +123,16 @@ def test_influences_gather_accesses_once(spark):
     moved = shuffled(spark, lambda: found.extend(artifacts.influences(artifacts.attributed_accesses(reads, functions), gates, calls).collect()))
     assert sorted(r["kind"] for r in found) == ["call-supported"] * 16 + ["control-supported"] * 800 and moved < 4 * 800
 
+def test_influences_of_more_accesses_lie_in_more_buckets(spark):
+    from provloom.operators import artifacts
+
+    accesses = spark.createDataFrame([("s1", "f0", ["w"], []), ("s1", "f1", [], ["r"])], "location string, function string, write_ids array<string>, read_ids array<string>")
+    calls = spark.createDataFrame([("c", "f0", "f1")], "id string, source string, target string")
+    made = artifacts.influences(accesses, spark.createDataFrame([], "id string, function string, basis array<string>"), calls, rows=1_000_000)
+    assert sorted(r["kind"] for r in made.collect()) == ["call-supported", "data-supported"]
+    assert "out of 11" in made._jdf.queryExecution().toString()
+
+
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_unknown_records_leave_edges_and_facts_alone(spark):
