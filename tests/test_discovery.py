@@ -51,3 +51,17 @@ def test_nothing_to_walk(spark):
     edges = spark.createDataFrame([], SCHEMA)
     found, flags = graph.discovered(edges, spark.createDataFrame([], "root string"), 3, ["type"])
     assert found.isEmpty() and flags.isEmpty()
+
+
+def test_least_parents_are_found_without_sorts(spark, monkeypatch):
+    plans, real = [], graph.numbered
+
+    def seen(rows, *more):
+        plans.append(rows._jdf.queryExecution().toString())
+        return real(rows, *more)
+
+    monkeypatch.setattr(graph, "numbered", seen)
+    edges = spark.createDataFrame([("a", "c", "Y", 1), ("a", "b", "Y", 1), ("a", "c", "X", 1)], SCHEMA)
+    found, _ = graph.discovered(edges, spark.createDataFrame([("a",)], "root string"), 2, ["type"])
+    assert sorted((r["place"], r["node"]) for r in found.collect()) == [(1, "a"), (2, "c"), (3, "b")]
+    assert plans and not any("SortAggregate" in p for p in plans)
